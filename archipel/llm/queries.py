@@ -30,5 +30,29 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM s GROUP BY doc_id
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.content_store import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store}
 ORACLE = {"op4_line_dedup": OP4_SQL}
