@@ -46,8 +46,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .groupBy(F.col("id").alias("__id"), F.col("row").alias("__row"))
         .agg(F.collect_set("pos").alias("__gone"))
     )
-    joined = base.join(gone, (F.col(id_col) == F.col("__id")) & (row == F.col("__row")), "left")
-    parts = F.split(text, "\n")
+    joined = base.join(gone, (F.col(id_col) == F.col("__id")) & (row == F.col("__row")), "left").withColumn("__parts", F.split(text, "\n"))
+    parts = F.col("__parts")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return joined.select(*(F.col(c) for c in base.columns), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))

@@ -36,6 +36,28 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.minhash import Sketching, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Sketching(width=2))
+
+
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+undirected AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x, y FROM undirected UNION SELECT r.x, b.y FROM reach r JOIN undirected b ON r.y = b.x),
+least AS (SELECT x, min(least(x, y)) AS m FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m, w.doc_id) AS component_id, coalesce(m, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id
+"""
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archipel.llm.packing import pack_documents
 
@@ -54,5 +76,43 @@ def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store}
-ORACLE = {"op4_line_dedup": OP4_SQL}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op8_sql() -> str:
+    """The same templates, windows and slots in DuckDB: re2 has no look-around, and neither has the operator."""
+    from archipel.llm import decontamination as d
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def side(name: str, key: str) -> str:
+        return f"""
+{name}_n AS (SELECT {key}, ' ' || coalesce(text, '') || ' ' AS raw, regexp_replace(' ' || coalesce(text, '') || ' ', {quoted(d.NAME_PATTERN)}, '\\1 {d.NAME} ', 'g') AS named FROM {name} WHERE {key} IS NOT NULL),
+{name}_w AS (SELECT {key}, raw, named, regexp_split_to_array(lower(regexp_replace(regexp_replace(named, {quoted(d.NUMBER_PATTERN)}, ' {d.NUMBER} ', 'g'), {quoted(d.UNIT_PATTERN)}, '{d.NUMBER} {d.UNIT} \\1', 'g')), {quoted(d.GAP_PATTERN)}) AS ws FROM {name}_n),
+{name}_r AS (SELECT {key}, unnest(range(len(ws) - 4)) AS pos, unnest(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4])) AS run FROM {name}_w WHERE len(ws) >= 5),
+{name}_s AS (
+  SELECT {key}, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{d.NAME}')) AS slot, lower(substr(unnest(regexp_extract_all(raw, {quoted(d.NAME_PATTERN)})), 3)) AS value FROM {name}_w
+  UNION ALL
+  SELECT {key}, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{d.NUMBER}')), lower(unnest(regexp_extract_all(named, {quoted(d.NUMBER_PATTERN)}))) FROM {name}_w)"""
+
+    marks = f"'{d.NAME}', '{d.NUMBER}', '{d.UNIT}', ''"
+    return f"""
+WITH {side("documents", "doc_id")}, {side("benchmark", "item_id")},
+wanted AS (SELECT item_id, pos AS item_pos, run, list_contains(run, '{d.NAME}') OR list_contains(run, '{d.NUMBER}') AS has_slot FROM benchmark_r
+  WHERE len(list_filter(run, lambda w: w NOT IN ({marks}))) >= 3 AND NOT list_contains(run, '')),
+hits AS (SELECT DISTINCT doc_id, item_id, item_pos, has_slot, pos - item_pos AS shift FROM documents_r JOIN wanted ON documents_r.run = wanted.run),
+bound AS (SELECT DISTINCT h.doc_id, h.item_id, h.shift, i.value AS iv, s.value AS dv FROM hits h JOIN benchmark_s i ON i.item_id = h.item_id AND i.slot BETWEEN h.item_pos AND h.item_pos + 4
+  JOIN documents_s s ON s.doc_id = h.doc_id AND s.slot = i.slot + h.shift WHERE h.has_slot),
+clash AS (SELECT doc_id, item_id, shift FROM bound GROUP BY ALL HAVING count(*) <> count(DISTINCT iv) OR count(*) <> count(DISTINCT dv)),
+matched AS (SELECT doc_id, item_id, count(DISTINCT item_pos) AS n FROM hits WHERE NOT has_slot OR (doc_id, item_id, shift) NOT IN (SELECT (doc_id, item_id, shift) FROM clash) GROUP BY ALL),
+sizes AS (SELECT item_id, count(DISTINCT item_pos) AS m FROM wanted GROUP BY item_id)
+SELECT doc_id, matched.item_id, m::BIGINT AS n_windows, n::BIGINT AS n_matched, n / m AS coverage FROM matched JOIN sizes ON sizes.item_id = matched.item_id WHERE n >= 0.5 * m
+"""
+
+
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op8_benchmark_decontamination": op8_benchmark_decontamination}
+ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": _op8_sql()}
