@@ -66,7 +66,7 @@ def _stage(tokenizer: str, end_id: int, spots: int):
         encode, pack, seen = memo(tokenizer), zstandard.ZstdCompressor(level=3), set()
         schema = pa.schema([("kind", pa.string()), ("hash", pa.binary()), ("n", pa.int32()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("hashes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("spot", pa.int32())])
         for batch in batches:
-            for part in text_slices(batch, 1, 4 << 20):
+            for part in text_slices(batch, 1, 8 << 20):
                 tokens, begins = encode.encode(part.column(1))
                 ids = np.insert(tokens, begins[1:], end_id)
                 begins = begins + np.arange(len(begins))
@@ -107,7 +107,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
     spark = docs.sparkSession
     spots = max(8, shuffle_width(spark))
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_stage(tokenizer, end_id, spots), _STAGED)
-    placed = rows.repartition(spots, "spot").sortWithinPartitions("kind", "hash")
+    placed = rows.repartition(spots, "spot")
     places = {name: f"{path}/{name}" for name in ("staged", "recipes", "manifest")}
     placed.mapInArrow(_first_of_each, _STAGED).drop("spot", "crc").write.option("compression", "none").partitionBy("kind").parquet(places["staged"])
     places["chunks"] = places.pop("staged")
@@ -127,14 +127,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows, the first chunk row of each digest, and all recipe rows."""
-    last = None
+    """The first chunk row of each digest, and all recipe rows. Remembers the partition's digests, 16 bytes for each stored chunk."""
+    seen: set[bytes] = set()
     for batch in batches:
         keep = []
         for digest in batch.column("hash").to_pylist():
-            keep.append(digest is None or digest != last)
-            last = digest
-        yield batch.filter(pa.array(keep))
+            keep.append(digest is None or digest not in seen)
+            if digest is not None:
+                seen.add(digest)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,19 +62,23 @@ class PieceMemo:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_pieces(self, keys: list[str]) -> list[bytes]:
         """The ids of each key."""
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
-        new = [k for k in keys if k not in known]
-        known.update(zip(new, self.library([k[1:] if k[:1] == _FIRST else " " + k for k in new]), strict=True))
-        return [known[k] for k in keys]
+        found = list(map(self.known.get, keys))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = [keys[i] for i in missing]
+            for i, key, ids in zip(missing, new, self.library([k[1:] if k[0] == _FIRST else " " + k for k in new]), strict=True):
+                self.known[key] = found[i] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and where each text's ids begin (one more number: where they end); null is empty."""
@@ -85,7 +90,7 @@ class PieceMemo:
         cut = pc.split_pattern(pc.binary_join_element_wise(_text(_FIRST), plain, _text("")), " ")
         coded = pc.list_flatten(cut).dictionary_encode()
         own = self.of_pieces(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in own], dtype=np.int64) // self.dtype.itemsize
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
         values = np.frombuffer(b"".join(own), dtype=self.dtype)
         index = np.asarray(coded.indices)
         count = lengths[index]
