@@ -53,9 +53,12 @@ def slots(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     named = _named(text)
     base = df.select(F.col(id_col).alias("id"), template(text).alias("words"), F.regexp_extract_all(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), F.lit(f"{NAME_PATTERN}"), F.lit(0)).alias("names"), F.regexp_extract_all(named, F.lit(NUMBER_PATTERN), F.lit(0)).alias("numbers"))
+    def places(mark: str) -> Column:
+        return F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] == F.lit(mark))
+
     out = None
     for mark, values in ((NAME, "names"), (NUMBER, "numbers")):
-        where = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x, m=mark: x["w"] == m)
+        where = places(mark)
         own = base.select("id", F.explode(F.arrays_zip(F.transform(where, lambda x: x["i"]).alias("pos"), F.col(values).alias("value"))).alias("s"))
         own = own.select("id", F.col("s.pos").alias("pos"), F.lower(F.when(F.lit(mark == NAME), F.substring("s.value", 3, 1 << 20)).otherwise(F.col("s.value"))).alias("value"))
         out = own if out is None else out.unionByName(own)

@@ -76,6 +76,14 @@ def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.toxicity import score_toxicity
+
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    out = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where(fold != 0))
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archipel.llm.decontamination import contaminated
 
@@ -114,5 +122,5 @@ SELECT doc_id, matched.item_id, m::BIGINT AS n_windows, n::BIGINT AS n_matched,
 """
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op8_benchmark_decontamination": op8_benchmark_decontamination}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination}
 ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": _op8_sql()}

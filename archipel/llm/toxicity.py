@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from archipel.llm.minhash import mixed
-from archipel.llm.token_memo import text_slices
+from archipel.llm.token_memo import ragged_take, text_slices
 
 _EDGE = ".,;:!?|()[]{}\"'<>*_-"
 
@@ -21,13 +22,13 @@ _EDGE = ".,;:!?|()[]{}\"'<>*_-"
 class Training:
     """How the classifier is fitted. `per_label` bounds the sample: so many whole texts of each label at most, by hash order of their ids."""
 
-    per_label: int = 2000
-    buckets: int = 1 << 17
+    per_label: int = 3000
+    buckets: int = 1 << 21
     dim: int = 4
     grams: tuple[int, ...] = (3, 4, 5)
-    rounds: int = 60
+    rounds: int = 200
     rate: float = 0.5
-    decay: float = 1e-4
+    least_sure: float = 6.0
     seed: int = 11
 
 
@@ -61,57 +62,75 @@ def word_index(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return np.asarray(coded.indices), coded.dictionary.to_pylist(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
 
 
-def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows."""
-    total = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
-
-
-def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.column_stack([np.bincount(index, weights=values[:, d], minlength=size) for d in range(values.shape[1])])
+def _evidence(word_of: np.ndarray, entries: np.ndarray, buckets: np.ndarray, n_sub: np.ndarray, labels: np.ndarray, how: Training) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket, the log-odds of label 1 among the texts that hold it, and how sure it is (a two-proportion z)."""
+    held = np.zeros((2, how.buckets))
+    starts = np.cumsum(n_sub) - n_sub
+    ends = np.cumsum(entries)
+    for lo, hi, label in zip((ends - entries).tolist(), ends.tolist(), labels.tolist(), strict=True):
+        own = word_of[lo:hi]
+        held[label, np.unique(ragged_take(buckets, starts[own], n_sub[own]))] += 1
+    n = np.bincount(labels, minlength=2)[:, None]
+    odds = np.log((held + 0.5) / (n - held + 0.5))
+    share = (held / n)[::-1]
+    both = held.sum(axis=0) / n.sum()
+    sure = (share[0] - share[1]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n).sum())
+    return odds[1] - odds[0], sure
 
 
 def fit(texts: list[str], labels: np.ndarray, how: Training = Training()) -> tuple[np.ndarray, float]:
     """The logit that each subword bucket adds to a text (averaged over its words), and the bias.
 
     A word is the mean of its subwords' embeddings, a text the mean of its words; a linear
-    softmax reads the label from it. Embeddings, weights and bias are trained together by
-    Adam on the mean cross-entropy, both labels weighing the same. With one label only,
-    the answer is that label for any text; without texts, every score is a half.
+    softmax reads the label from it. Embeddings begin at the log-odds of their subword, and
+    at zero where these could be chance; then embeddings, weights and bias are trained
+    together by Adam on the mean cross-entropy, both labels weighing the same. With one
+    label only, the answer is that label for any text; without texts, every score is a half.
     """
     kinds = set(labels.tolist())
     if len(kinds) < 2:
         return np.zeros(how.buckets), 8.0 if 1 in kinds else -8.0 if kinds else 0.0
-    rng = np.random.default_rng(how.seed)
     index, words, begins = word_index(pa.array(texts))
+    n_words = np.maximum(1, np.diff(begins))
     docs = np.repeat(np.arange(len(texts)), np.diff(begins))
     pair, count = np.unique(docs * len(words) + index, return_counts=True)
     doc_of, word_of = pair // len(words), pair % len(words)
-    share = (count / np.maximum(1, np.diff(begins))[doc_of])[:, None]
-    entries = np.bincount(doc_of, minlength=len(texts))
     buckets, n_sub = subwords(words, how)
-    per_sub = np.repeat(1 / n_sub, n_sub)[:, None]
-    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-    params = [rng.normal(0, 0.1, (how.buckets, how.dim)), rng.normal(0, 0.5, (how.dim, 2)), np.zeros(2)]
+    odds, sure = _evidence(word_of, np.bincount(doc_of, minlength=len(texts)), buckets, n_sub, labels, how)
+    used = np.flatnonzero(np.abs(sure) >= how.least_sure)
+    slot = np.full(how.buckets, -1)
+    slot[used] = np.arange(len(used))
+    # Only words with a used subword move a text; features[i]: (text, used bucket) with its share of the text.
+    sub_word = np.repeat(np.arange(len(words)), n_sub)
+    live = slot[buckets] >= 0
+    per_word = np.bincount(sub_word[live], minlength=len(words))
+    first = np.cumsum(per_word) - per_word
+    reach = per_word[word_of]
+    feature = ragged_take(slot[buckets[live]], first[word_of], reach)
+    text_of = np.repeat(doc_of, reach)
+    share = np.repeat(count / n_words[doc_of] / n_sub[word_of], reach)
+    rng = np.random.default_rng(how.seed)
+    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
+    params = [odds[used, None] * rng.normal(1, 0.1, how.dim), np.column_stack([-np.ones(how.dim), np.ones(how.dim)]) / how.dim, np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2)[labels]
     for step in range(1, how.rounds + 1):
         table, out, bias = params
-        vectors = _sums(table[buckets] * per_sub, n_sub)
-        means = _sums(vectors[word_of] * share, entries)
+        means = np.column_stack([np.bincount(text_of, weights=table[feature, d] * share, minlength=len(texts)) for d in range(how.dim)])
         logits = means @ out + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
-        wrong = (chance - target) * weight[:, None]
-        to_words = _scatter(word_of, (wrong @ out.T)[doc_of] * share, len(words))
-        slopes = [_scatter(buckets, np.repeat(to_words, n_sub, axis=0) * per_sub, how.buckets) + how.decay * table / how.buckets, means.T @ wrong, wrong.sum(axis=0)]
-        for p, g, (m, v) in zip(params, slopes, moments, strict=True):
+        wrong = (chance - target) * weight
+        back = wrong @ out.T
+        slope = np.column_stack([np.bincount(feature, weights=back[text_of, d] * share, minlength=len(used)) for d in range(how.dim)])
+        for p, g, (m, v) in zip(params, [slope, means.T @ wrong, wrong.sum(axis=0)], moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
     table, out, bias = params
-    return table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
+    weights = np.zeros(how.buckets)
+    weights[used] = table @ (out[:, 1] - out[:, 0])
+    return weights, float(bias[1] - bias[0])
 
 
 def scores(texts: pa.Array, weights: np.ndarray, bias: float, how: Training) -> np.ndarray:
@@ -161,5 +180,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None =
                 own = scores(part.column(at), weights, bias, how)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array((own >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    schema = base.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return base.mapInArrow(score, schema)
