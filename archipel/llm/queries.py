@@ -122,5 +122,11 @@ SELECT doc_id, matched.item_id, m::BIGINT AS n_windows, n::BIGINT AS n_matched,
 """
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination}
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_passage_dedup": op10_passage_dedup}
 ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": _op8_sql()}
