@@ -28,7 +28,8 @@ class Sketching:
     bands: int = 32
     rows: int = 5
     bits: int = 4
-    margin: float = 0.18  # five standard errors of the estimate: what lies further below the threshold is not confirmed
+    margin: float = 0.14  # over four standard errors of the estimate: what lies further below the threshold is not confirmed
+    rounds: tuple[int, ...] = (3, 10, 32)  # the bands used up to the end of each round of stars
 
     @property
     def size(self) -> int:
@@ -169,7 +170,7 @@ def _cross(how: Sketching):
     return cross
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, how: Sketching) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, how: Sketching) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as a table. Only texts of paired documents are read into sets."""
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -193,10 +194,12 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), block: int =
     1. One pass makes each document's set size, a 128-bit mark of the set, the packed low
        bits of its minima, and its band keys. Documents with equal sets become one node.
     2. In each band bucket every node is paired with the bucket's least node only; the bit
-       counts of the signatures drop pairs that are far off; full sets confirm the rest.
-    3. Links join nodes to components. In buckets that still hold several components, the
-       nodes outside the main one are compared with the rest by signature, in blocks of
-       bounded size, and likely pairs across components are confirmed the same way.
+       counts of the signatures drop pairs that are far off; full sets confirm the rest,
+       and links join nodes to components. Bands are used in rounds, and each round leaves
+       out pairs that earlier ones have joined.
+    3. In buckets that still hold several components, the nodes outside the main one are
+       compared with the rest by signature, in blocks of bounded size, and likely pairs
+       across components are confirmed the same way.
 
     So every pair that shares a bucket is either linked through others already or
     compared; a large group of copies costs a row a copy, and no pairs within a group are
@@ -212,8 +215,10 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), block: int =
     same_set = node_of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     nodes = real.join(marks.withColumnRenamed("mark", "rep_mark"), (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark")), "left_semi").dropDuplicates(["doc_id"])
     nodes = written(nodes.select(F.col("doc_id").alias("id"), "signature", "keys"), "nodes")
-    entries = written(nodes.select("id", F.explode("keys").alias("key")), "bands")
+    entries = written(nodes.select("id", F.posexplode("keys").alias("band", "key")), "bands")
     buckets = written(entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z"), "buckets")
+    met = written(entries.join(buckets, "key"), "met")
+    drop_written(entries)
     signature = nodes.select("id", "signature")
 
     def with_estimate(pairs: DataFrame) -> DataFrame:
@@ -221,11 +226,19 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), block: int =
         both = left.join(signature.select(F.col("id").alias("b"), F.col("signature").alias("right")), "b")
         return both.select("a", "b", "left", "right").mapInArrow(_likely(how), "a long, b long")
 
-    stars = entries.join(buckets, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = _confirmed(with_estimate(stars), source, sketch, how)
-    first = written(components(links), "labels")
+    labels = written(components(same_set.limit(0)), "labels")
+    tested, since = [], 0
+    for until in [*(r for r in how.rounds if r < how.bands), how.bands]:
+        stars = met.where((F.col("band") >= since) & (F.col("band") < until) & (F.col("id") != F.col("a"))).select("a", F.col("id").alias("b")).distinct()
+        mine = stars.join(labels.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b", "left").join(labels.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a", "left")
+        tested.append(written(mine.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"), "stars"))
+        links = _confirmed(with_estimate(tested[-1]), source, how)
+        labels, old = written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), "labels"), labels
+        drop_written(links, old)
+        since = until
     label = F.coalesce(F.col("component"), F.col("id")).alias("label")
-    held = written(entries.join(buckets, "key").join(first, "id", "left").select("key", "id", label), "held")
+    held = written(met.join(labels, "id", "left").select("key", "id", label), "held")
+    drop_written(met)
     # The component of a bucket's least node is its main side: those nodes need no comparing among themselves.
     open_keys = held.groupBy("key").agg(F.min_by("label", "id").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "main")
     crowd = written(held.join(written(open_keys, "open"), "key").select("key", "id", "label", (F.col("label") == F.col("main")).alias("main")), "crowd")
@@ -240,10 +253,10 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), block: int =
     rest = rest.select("key", "id", "label", F.when(F.col("s") == F.col("o"), 0).when(F.col("s") < F.col("o"), 1).otherwise(2).alias("side"), F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q"))
     dealt = mains.unionByName(asks).unionByName(rest).join(signature, "id")
     more = dealt.groupBy("key", "p", "q").applyInArrow(_cross(how), "a long, b long").distinct()
-    more = more.join(stars, ["a", "b"], "left_anti")
-    more_links = _confirmed(more, source, sketch, how)
-    final = components(links.unionByName(more_links).unionByName(same_set))
-    drop_written(entries)
+    for pairs in tested:
+        more = more.join(pairs, ["a", "b"], "left_anti")
+    more_links = _confirmed(more, source, how)
+    final = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more_links).unionByName(same_set))
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left")
     component = F.coalesce("component", "doc_id").alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
