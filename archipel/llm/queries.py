@@ -128,5 +128,25 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_passage_dedup": op10_passage_dedup}
-ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": _op8_sql()}
+def op9_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.search import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 100 = 0")).withColumn("score", F.round("score", 4))
+
+
+OP9_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+stats AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM w),
+p AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * d.dl / mean))) AS score
+  FROM tf q JOIN tf d ON q.term = d.term JOIN df ON df.term = d.term, stats WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, score FROM s)
+SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10
+"""
+
+
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_bm25_search": op9_bm25_search, "op10_passage_dedup": op10_passage_dedup}
+ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": _op8_sql(), "op9_bm25_search": OP9_SQL}
