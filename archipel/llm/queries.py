@@ -58,6 +58,13 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id
 """
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archipel.llm.pitman_yor import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archipel.llm.packing import pack_documents
 
@@ -148,5 +155,5 @@ SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10
 """
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_bm25_search": op9_bm25_search, "op10_passage_dedup": op10_passage_dedup}
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_pitman_yor": op2_pitman_yor, "op3_best_fit_packing": op3_best_fit_packing, "op4_line_dedup": op4_line_dedup, "op5_token_counts": op5_token_counts, "op6_content_store": op6_content_store, "op7_toxicity": op7_toxicity, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_bm25_search": op9_bm25_search, "op10_passage_dedup": op10_passage_dedup}
 ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_benchmark_decontamination": _op8_sql(), "op9_bm25_search": OP9_SQL}
