@@ -77,3 +77,20 @@ def hash128(*columns: Column) -> list[Column]:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: So many ids (16 MB) are broadcast; more meet their rows in a shuffle join.
+BROADCAST_IDS = 2_000_000
+
+
+def pick(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """`rows` joined with `ids` (a written table whose first column is the key) by a left_semi, left_anti or inner join.
+
+    The ids are counted first: up to BROADCAST_IDS of them are broadcast, so that wide
+    rows stay where they are.
+    """
+    first = ids.columns[0]
+    own = ids.withColumnRenamed(first, "__pick")
+    own = F.broadcast(own) if ids.count() <= BROADCAST_IDS else own
+    out = rows.join(own, rows[key] == F.col("__pick"), how)
+    return out.drop("__pick") if how == "inner" else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipel.llm.common import written
+from archipel.llm.common import pick, written
 
 #: Placeholders for names, numbers and units.
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
@@ -99,7 +99,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, least_li
     # Slots of matched windows, on both sides.
     item_slots = slots(items, "item_id", "text").select(F.col("id").alias("item_id"), F.col("pos").alias("slot"), F.col("value").alias("item_value"))
     in_slots = hits.where("has_slot").join(item_slots, "item_id").where(F.col("slot").between(F.col("item_pos"), F.col("item_pos") + width - 1)).select("doc_id", "item_id", "shift", "slot", "item_value").distinct()
-    slotted = clean.join(hits.where("has_slot").select("doc_id").distinct(), "doc_id", "left_semi")
+    slotted = pick(clean, "doc_id", written(hits.where("has_slot").select("doc_id").distinct(), "slotted"), "left_semi")
     doc_slots = slots(slotted, "doc_id", "text").select(F.col("id").alias("doc_id"), (F.col("pos")).alias("at"), F.col("value").alias("doc_value"))
     bound = in_slots.withColumn("at", F.col("slot") + F.col("shift")).join(doc_slots, ["doc_id", "at"])
     pairs = bound.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_value", "doc_value").alias("n"), F.countDistinct("item_value").alias("ni"), F.countDistinct("doc_value").alias("nd"))

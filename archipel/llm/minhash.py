@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archipel.llm.common import drop_written, written
+from archipel.llm.common import drop_written, pick, written
 from archipel.llm.graph import components
 from archipel.llm.token_memo import text_slices
 
@@ -174,7 +174,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, how: Sketching) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as a table. Only texts of paired documents are read into sets."""
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets(how.width), "id long, items array<long>")
+    sets = pick(docs, "doc_id", written(wanted, "ids"), "left_semi").select("doc_id", "text").mapInArrow(_sets(how.width), "id long, items array<long>")
     sets = written(sets.dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archipel.llm.common import drop_written, shuffle_width, written
+from archipel.llm.common import drop_written, pick, shuffle_width, written
 from archipel.llm.graph import components
 from archipel.llm.minhash import mixed, word_hashes
 from archipel.llm.token_memo import text_slices
@@ -185,7 +185,9 @@ def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: s
     met = written(met, "met")
     pairs = written(met.where("whole2 is not null").distinct(), "paragraph-pairs")
     wanted = pairs.select("doc", "pos").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos"))).distinct().groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    items = written(source.join(wanted, "doc").select("doc", "text", "places").mapInArrow(_contents(how), "doc long, pos long, items array<long>").dropDuplicates(["doc", "pos"]), "paragraph-items")
+    wanted = written(wanted, "wanted")
+    asked = pick(source, "doc", written(wanted.select("doc"), "ids"), "left_semi").join(wanted, "doc")
+    items = written(asked.select("doc", "text", "places").mapInArrow(_contents(how), "doc long, pos long, items array<long>").dropDuplicates(["doc", "pos"]), "paragraph-items")
     both = pairs.join(items.withColumnRenamed("items", "x"), ["doc", "pos"]).join(items.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("items").alias("y")), ["doc2", "pos2"])
     shared = F.size(F.array_intersect("x", "y"))
     linked = written(both.where(100 * shared >= how.threshold * (F.size("x") + F.size("y") - shared)).drop("x", "y"), "paragraph-links")

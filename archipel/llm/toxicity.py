@@ -22,10 +22,10 @@ _EDGE = ".,;:!?|()[]{}\"'<>*_-"
 class Training:
     """How the classifier is fitted. `per_label` bounds the sample: so many whole texts of each label at most, by hash order of their ids."""
 
-    per_label: int = 3000
-    buckets: int = 1 << 21
+    per_label: int = 1500
+    buckets: int = 1 << 20
     dim: int = 4
-    grams: tuple[int, ...] = (3, 4, 5)
+    grams: tuple[int, ...] = (4, 5)
     rounds: int = 200
     rate: float = 0.5
     least_sure: float = 6.0
@@ -45,12 +45,12 @@ def subwords(words: list[str], how: Training) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = mixed(h + codes[k : k + len(h)])
         inside = owner[: len(h)] == owner[n - 1 :]
-        found.append((h[inside] >> np.uint64(20)) % np.uint64(how.buckets))
-        of.append(owner[: len(h)][inside])
+        found.append(((h[inside] >> np.uint64(20)) % np.uint64(how.buckets)).astype(np.int32))
+        of.append(owner[: len(h)][inside].astype(np.int32))
     bare = np.setdiff1d(np.arange(len(words)), of[0] if of else [])  # nothing but marks, or a single letter
-    found.append(np.zeros(len(bare), np.uint64))
-    of.append(bare)
-    buckets, of = np.concatenate(found).astype(np.int64), np.concatenate(of)
+    found.append(np.zeros(len(bare), np.int32))
+    of.append(bare.astype(np.int32))
+    buckets, of = np.concatenate(found), np.concatenate(of)
     order = np.argsort(of, kind="stable")
     return buckets[order], np.bincount(of, minlength=len(words))
 

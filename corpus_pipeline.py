@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archipel.llm.common import table, written
+from archipel.llm.common import pick, table, written
 from archipel.llm.decontamination import contaminated
 from archipel.llm.line_dedup import dedup_lines
 from archipel.llm.minhash import Sketching, near_duplicates
@@ -24,7 +24,7 @@ def _tokenizer() -> str:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return pick(docs, "doc_id", written(ids.select("doc_id").distinct(), "gone"), "left_anti")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item, re-parameterised or not."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
