@@ -29,6 +29,7 @@ class Sketching:
     rows: int = 5
     bits: int = 4
     margin: float = 0.14  # over four standard errors of the estimate: what lies further below the threshold is not confirmed
+    bins: int = 512  # of the finer one-permutation sketch, a byte each, that blocks are compared by
     rounds: tuple[int, ...] = (3, 10, 32)  # the bands used up to the end of each round of stars
 
     @property
@@ -91,6 +92,15 @@ def packed(least: np.ndarray, bits: int) -> bytes:
     return b"".join(np.packbits((least >> np.uint64(k)).astype(np.uint8) & 1).tobytes() for k in range(bits))
 
 
+def binned(values: np.ndarray, bins: int) -> bytes:
+    """One permutation cut into bins: a byte of the least hash in each, 0 for none. `values` are sorted, so the first of a bin is its least."""
+    spot = (values >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
+    out = np.zeros(bins, dtype=np.uint8)
+    out[spot[first]] = 1 + (values[first] >> np.uint64(8)) % np.uint64(255)
+    return out.tobytes()
+
+
 def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.arange(bands, dtype=np.uint64)
     for column in least.reshape(bands, rows).T:
@@ -99,8 +109,8 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def estimate(left: np.ndarray, right: np.ndarray, how: Sketching) -> np.ndarray:
-    """The collision-corrected similarity of packed signatures (arrays of bytes, planes in the last axis)."""
-    plane = left.shape[-1] // how.bits
+    """The collision-corrected similarity of packed signatures (arrays of bytes, planes first in the last axis)."""
+    plane = -(-how.size // 8)
     differ = np.zeros(np.broadcast_shapes(left.shape, right.shape)[:-1] + (plane,), dtype=np.uint8)
     for k in range(how.bits):
         differ |= left[..., k * plane : (k + 1) * plane] ^ right[..., k * plane : (k + 1) * plane]
@@ -119,7 +129,7 @@ def _sketches(how: Sketching):
                     if len(own):
                         least = minima(own, a, b)
                         mark = xxhash.xxh3_128_digest(own.tobytes())
-                        rows.append((doc, len(own), mark, packed(least, how.bits), band_keys(least, how.bands, how.rows)))
+                        rows.append((doc, len(own), mark, packed(least, how.bits) + binned(own, how.bins), band_keys(least, how.bands, how.rows)))
                     else:
                         rows.append((doc, 0, None, None, None))
                 columns = list(zip(*rows, strict=True))
@@ -151,17 +161,44 @@ def _likely(how: Sketching):
     return likely
 
 
+def finer(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The similarity of bin sketches, and its standard error: bins that neither set fills are left out, and a sketch that holds nearly the whole sets is nearly exact."""
+    filled = ((left > 0) | (right > 0)).sum(axis=1)
+    equal = ((left == right) & (left > 0)).sum(axis=1) / np.maximum(1, filled)
+    union = sizes / (1 + equal)
+    return equal, np.sqrt(0.16 / np.maximum(1, filled) * np.clip(1 - filled / np.maximum(1, union), 0.02, 1))
+
+
 def _cross(how: Sketching):
-    """Of a block of a bucket's rows: the likely pairs between different labels."""
+    """Of a block of a bucket's rows: the pairs between different labels that may be links.
+
+    Where some pairs of a node and a label are links beyond doubt (over four standard
+    errors above the threshold), the two best of them stand for all: one link joins them.
+    """
+    coarse, wanted = -(-how.size // 8) * how.bits, how.threshold / 100
 
     def cross(group: pa.Table) -> pa.Table:
-        ids, labels, sides = (group.column(c).to_numpy() for c in ("id", "label", "side"))
-        signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        ids, labels, sides, sizes = (group.column(c).to_numpy() for c in ("id", "label", "side", "n"))
+        both = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        signatures, fine = both[:, :coarse], both[:, coarse:]
         left, right = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
         out_a, out_b = [], []
         for i in left.tolist():
-            near = right[estimate(signatures[i], signatures[right], how) >= how.threshold / 100 - how.margin]
+            near = right[estimate(signatures[i], signatures[right], how) >= wanted - how.margin]
             near = near[(labels[near] != labels[i]) & ((sides[near] == 2) | (ids[near] > ids[i]))]
+            if not len(near):
+                continue
+            value, error = finer(fine[i], fine[near], sizes[i] + sizes[near])
+            likely = value >= wanted - 4.5 * error
+            near, value, error = near[likely], value[likely], error[likely]
+            sure = value >= wanted + 4.5 * error + 0.01
+            if sure.any():
+                order = np.lexsort((-value, labels[near]))
+                mine = labels[near][order]
+                starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+                place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+                settled = np.repeat(sure[order][starts], np.diff(np.append(starts, len(order))))
+                near = near[order][~settled | (place < 2)]
             out_a.append(np.full(len(near), ids[i]))
             out_b.append(ids[near])
         a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
@@ -214,12 +251,12 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), block: int =
     node_of = real.select("doc_id", "mark").join(marks, "mark").select("doc_id", "rep")
     same_set = node_of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     nodes = real.join(marks.withColumnRenamed("mark", "rep_mark"), (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark")), "left_semi").dropDuplicates(["doc_id"])
-    nodes = written(nodes.select(F.col("doc_id").alias("id"), "signature", "keys"), "nodes")
+    nodes = written(nodes.select(F.col("doc_id").alias("id"), "n", "signature", "keys"), "nodes")
     entries = written(nodes.select("id", F.posexplode("keys").alias("band", "key")), "bands")
     buckets = written(entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z"), "buckets")
     met = written(entries.join(buckets, "key"), "met")
     drop_written(entries)
-    signature = nodes.select("id", "signature")
+    signature = nodes.select("id", F.substring("signature", 1, -(-how.size // 8) * how.bits).alias("signature"))
 
     def with_estimate(pairs: DataFrame) -> DataFrame:
         left = pairs.join(signature.select(F.col("id").alias("a"), F.col("signature").alias("left")), "a")
@@ -251,7 +288,7 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching(), block: int =
     asks = crowd.where("not main").select("key", "id", "label", F.lit(1).alias("side"), own("k").alias("p"), every("m").alias("q")).withColumn("q", -1 - F.col("q"))
     rest = crowd.where("not main").select("key", "id", "label", own("k").alias("s"), every("k").alias("o"))
     rest = rest.select("key", "id", "label", F.when(F.col("s") == F.col("o"), 0).when(F.col("s") < F.col("o"), 1).otherwise(2).alias("side"), F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q"))
-    dealt = mains.unionByName(asks).unionByName(rest).join(signature, "id")
+    dealt = mains.unionByName(asks).unionByName(rest).join(nodes.select("id", "n", "signature"), "id")
     more = dealt.groupBy("key", "p", "q").applyInArrow(_cross(how), "a long, b long").distinct()
     for pairs in tested:
         more = more.join(pairs, ["a", "b"], "left_anti")
