@@ -3,10 +3,502 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from archipel.functions import checksums, codecs, crypto, fields, formats, paths, times
+from archipel.operators import layout
+from archipel.sources.archives import entries_of, join_volumes, pack_archives, split_volumes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+PASSWORD = b"correct horse"
+
+
+def query(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bytes(df: DataFrame) -> DataFrame:
+    return df.withColumn("raw", F.encode("text", "UTF-8"))
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files to be archived, one archive for each source."""
+    d = _t(spark, sf_dir, "documents")
+    name = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return d.select(F.col("source").alias("archive"), name.alias("name"), F.lit("file").alias("kind"), F.encode("text", "UTF-8").alias("content"), (F.lit(1_600_000_000) + 2 * F.col("doc_id")).alias("mtime"), F.lit(0o640).alias("mode"))
+
+
+_NAME = "lang || '/' || doc_id || '.txt'"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Deflate every document, inflate it again, verify size and CRC-32, and sum up by language."""
+    d = _bytes(_t(spark, sf_dir, "documents"))
+    back = d.withColumn("back", codecs.decode(codecs.encode(F.col("raw"), "deflate"), "deflate"))
+    status = fields.verify(F.octet_length("raw"), F.crc32("raw"), F.col("back"))
+    return back.groupBy("lang").agg(F.count("*").alias("files"), F.count_if(status == "ok").alias("verified"), F.sum(F.octet_length("back")).cast("long").alias("bytes"))
+
+
+query("deflate_roundtrip_summary", "SELECT lang, count(*) AS files, count(*) AS verified, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")(flagship)
+
+
+def _roundtrip(codec: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _bytes(_t(spark, sf_dir, "documents"))
+        return d.select("doc_id", F.sha2(codecs.decode(codecs.encode(F.col("raw"), codec), codec), 256).alias("sha"))
+
+    return run
+
+
+for _codec in ("store", "deflate", "bzip2", "lzma", "lzma_alone", "lzma2", "xz", "zstd", "gzip", "lzip"):
+    query(f"codec_roundtrip_{_codec}", "SELECT doc_id, sha256(text) AS sha FROM documents")(_roundtrip(_codec))
+
+
+@query("codec_best_of", "SELECT count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes, TRUE AS never_larger FROM documents")
+def codec_best_of(spark, sf_dir):
+    d = _bytes(_t(spark, sf_dir, "documents")).withColumn("packed", codecs.smaller("raw"))
+    body = F.expr("substring(packed, 2)")
+    stored = F.substring("packed", 1, 1) == F.unhex(F.lit("00"))
+    plain = F.coalesce(F.when(stored, body), codecs.decode(F.when(~stored, body), "deflate"))
+    return d.select("raw", "packed", plain.alias("plain")).agg(F.count("*").alias("files"), F.sum(F.octet_length("plain")).cast("long").alias("bytes"), F.bool_and(F.octet_length("packed") <= F.octet_length("raw") + 1).alias("never_larger"))
+
+
+@query("deflate_chunks_concat", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def deflate_chunks_concat(spark, sf_dir):
+    """Pieces packed apart, concatenated in order, inflate as one stream."""
+    d = _bytes(_t(spark, sf_dir, "documents")).select("doc_id", F.explode(codecs.chunks(F.col("raw"), 1000)).alias("c"))
+    packed = d.select("doc_id", "c.i", codecs.deflate_chunk("c.data", "c.last").alias("p"))
+    whole = packed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.hex("p").alias("h")))).alias("parts"))
+    return whole.select("doc_id", F.sha2(codecs.decode(F.unhex(F.array_join(F.col("parts.h"), "")), "deflate"), 256).alias("sha"))
+
+
+@query("gzip_members_concat", "SELECT source, sha256(string_agg(text, '' ORDER BY doc_id)) AS sha FROM documents WHERE doc_id < 200 GROUP BY source")
+def gzip_members_concat(spark, sf_dir):
+    d = _bytes(_t(spark, sf_dir, "documents")).where("doc_id < 200").select("source", "doc_id", F.hex(codecs.encode(F.col("raw"), "gzip")).alias("h"))
+    whole = d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "").alias("h"))
+    return whole.select("source", F.sha2(codecs.decode(F.unhex("h"), "gzip"), 256).alias("sha"))
+
+
+for _filter in codecs.XZ_FILTERS:
+    query(f"xz_filter_{_filter}", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE lang = 'de'")(
+        lambda spark, sf_dir, name=_filter: _bytes(_t(spark, sf_dir, "documents").where("lang = 'de'")).select("doc_id", F.sha2(codecs.decode(codecs.xz_filtered(F.col("raw"), name), "xz"), 256).alias("sha"))
+    )
+
+
+@query("crc_combine", "SELECT count(*) AS files, count(*) AS equal FROM documents")
+def crc_combine(spark, sf_dir):
+    """CRC-32 of chunks folded in order equals that of the whole."""
+    d = _bytes(_t(spark, sf_dir, "documents")).select("doc_id", F.crc32("raw").alias("whole"), F.explode(codecs.chunks(F.col("raw"), 700)).alias("c"))
+    parts = d.groupBy("doc_id").agg(F.first("whole").alias("whole"), F.collect_list(F.struct("c.i", F.crc32("c.data").alias("crc"), F.octet_length("c.data").alias("length"))).alias("parts"))
+    return parts.withColumn("folded", checksums.crc32_fold("parts")).agg(F.count("*").alias("files"), F.count_if(F.col("folded") == F.col("whole")).alias("equal"))
+
+
+@query("bzip2_stream_crc", "SELECT o_custkey, list_reduce(list_prepend(0::BIGINT, list(o_orderkey ORDER BY o_orderkey)), lambda a, b: xor(((a << 1) & 4294967295) | (a >> 31), b))::BIGINT AS crc FROM orders GROUP BY o_custkey")
+def bzip2_stream_crc(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(checksums.bzip2_stream_crc(F.array_sort(F.collect_list("o_orderkey"))).alias("crc"))
+
+
+@query("sha_digests", "SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def sha_digests(spark, sf_dir):
+    return _bytes(_t(spark, sf_dir, "documents")).select("doc_id", F.sha1("raw").alias("sha1"), F.sha2("raw", 256).alias("sha256"))
+
+
+@query("other_digests")
+def other_digests(spark, sf_dir):
+    d = _bytes(_t(spark, sf_dir, "benchmark"))
+    key = F.encode(F.lit("key"), "UTF-8")
+    return d.select("item_id", F.hex(checksums.crc64("raw")).alias("crc64"), F.hex(checksums.xxh64("raw")).alias("xxh64"), checksums.bzip2_crc("raw").alias("bzip2_crc"), F.hex(checksums.hmac_sha1(key, "raw")).alias("hmac"), F.hex(checksums.pbkdf2_sha1(PASSWORD, 10, 32)("raw")).alias("pbkdf2"))
+
+
+def _encryption(scheme: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _bytes(_t(spark, sf_dir, "benchmark"))
+        sealed = d.withColumn("check", F.shiftright(F.crc32("raw"), 24)).withColumn("sealed", crypto.encrypt(F.col("raw"), PASSWORD, scheme))
+        return sealed.select("item_id", F.sha2(crypto.decrypt(F.col("sealed"), PASSWORD, scheme, F.col("check")), 256).alias("sha"), (F.octet_length("sealed") - F.octet_length("raw")).cast("long").alias("overhead"))
+
+    return run
+
+
+for _name, _, _, _over, _ in fields.SCHEMES:
+    query(f"encrypt_roundtrip_{_name}", f"SELECT item_id, sha256(text) AS sha, {_over}::BIGINT AS overhead FROM benchmark")(_encryption(_name))
+
+
+# --- archives ---------------------------------------------------------------------------------------------------------
+
+_LISTING = f"SELECT source || '{{0}}' AS archive, {_NAME} AS name, octet_length(encode(text))::BIGINT AS size, (1600000000 + 2 * doc_id)::BIGINT AS mtime, 416 AS mode FROM documents"
+_CONTENT = f"SELECT source || '{{0}}' AS archive, {_NAME} AS name, sha256(text) AS sha FROM documents"
+
+
+def _listing(entries: DataFrame) -> DataFrame:
+    return entries.select("archive", "name", "size", F.col("meta.mtime").alias("mtime"), F.col("meta.unix_mode").alias("mode"))
+
+
+def _sha(entries: DataFrame) -> DataFrame:
+    return entries.select("archive", "name", F.sha2("content", 256).alias("sha"))
+
+
+for _fmt in formats.WRITABLE:
+    _dot = formats.SUFFIXES[_fmt][0]
+    query(f"pack_list_{_fmt.replace('.', '_')}", _LISTING.format(_dot))(lambda spark, sf_dir, fmt=_fmt: _listing(entries_of(pack_archives(inputs(spark, sf_dir), "archive", fmt))))
+    query(f"pack_extract_{_fmt.replace('.', '_')}", _CONTENT.format(_dot))(lambda spark, sf_dir, fmt=_fmt: _sha(entries_of(pack_archives(inputs(spark, sf_dir), "archive", fmt), content=True)))
+
+for _dialect in ("ustar", "gnu"):
+    query(f"tar_dialect_{_dialect}", _CONTENT.format(".tar"))(lambda spark, sf_dir, d=_dialect: _sha(entries_of(pack_archives(inputs(spark, sf_dir), "archive", "tar", dialect=d), content=True)))
+
+for _method in ("store", "bzip2"):
+    query(f"zip_method_{_method}", _CONTENT.format(".zip"))(lambda spark, sf_dir, m=_method: _sha(entries_of(pack_archives(inputs(spark, sf_dir), "archive", "zip", m), content=True)))
+
+for _scheme in ("aes256", "aes128"):
+    query(f"zip_encrypted_{_scheme}", _CONTENT.format(".zip") + " WHERE lang = 'es'")(
+        lambda spark, sf_dir, s=_scheme: _sha(entries_of(pack_archives(inputs(spark, sf_dir).where("name like 'es/%'"), "archive", "zip", password=PASSWORD, encryption=s), content=True, password=PASSWORD))
+    )
+
+
+@query("zip_volumes_roundtrip", _CONTENT.format(".zip"))
+def zip_volumes_roundtrip(spark, sf_dir):
+    """Raw pieces of 64 KiB put together again."""
+    return _sha(entries_of(join_volumes(split_volumes(pack_archives(inputs(spark, sf_dir), "archive"), 65536)), content=True))
+
+
+@query("tar_hard_links", f"""
+WITH f AS (SELECT source || '.tar' AS archive, {_NAME} AS name, text, row_number() OVER (PARTITION BY source, text ORDER BY {_NAME}) AS n, first_value({_NAME}) OVER (PARTITION BY source, text ORDER BY {_NAME}) AS f FROM documents)
+SELECT archive, name, CASE WHEN n > 1 THEN 'hardlink' ELSE 'file' END AS kind, CASE WHEN n > 1 THEN f ELSE '' END AS link_to FROM f""")
+def tar_hard_links(spark, sf_dir):
+    rows = inputs(spark, sf_dir).withColumn("inode", F.sha2("content", 256))
+    return entries_of(pack_archives(rows, "archive", "tar")).select("archive", "name", F.col("meta.kind").alias("kind"), F.col("tar.linkname").alias("link_to"))
+
+
+@query("selective_extract", _CONTENT.format(".zip") + " WHERE lang = 'fr'")
+def selective_extract(spark, sf_dir):
+    return _sha(entries_of(pack_archives(inputs(spark, sf_dir), "archive"), content=True, selection=["fr/"]))
+
+
+@query("archive_totals", "SELECT source || '.zip' AS archive, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source")
+def archive_totals(spark, sf_dir):
+    return entries_of(pack_archives(inputs(spark, sf_dir), "archive")).groupBy("archive").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
+
+
+@query("format_by_magic", " UNION ALL ".join(f"SELECT '{f}' AS written, '{f}' AS found, count(DISTINCT source) AS n FROM documents" for f in formats.WRITABLE))
+def format_by_magic(spark, sf_dir):
+    rows = inputs(spark, sf_dir)
+    out = None
+    for fmt in formats.WRITABLE:
+        own = pack_archives(rows, "archive", fmt).select(F.lit(fmt).alias("written"), formats.resolved(F.lit(None).cast("string"), F.col("content"), F.col("path")).alias("found"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("written", "found").agg(F.count("*").alias("n"))
+
+
+# --- names and layout -------------------------------------------------------------------------------------------------
+
+_PAGE_NAMES = """WITH n AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN '/' || url WHEN 1 THEN '../' || url WHEN 2 THEN 'a/../' || page_id WHEN 3 THEN 'C:' || page_id
+  WHEN 4 THEN 'con.' || page_id || '/x' WHEN 5 THEN 'dir/./' || page_id || '//f' WHEN 6 THEN '' ELSE 'ok\\' || page_id || '.' END AS name FROM pages),
+c AS (SELECT *, list_filter(regexp_split_to_array(name, '[/\\\\]'), lambda x: x <> '' AND x <> '.') AS parts FROM n)"""
+
+
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "pages")
+    n = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 8
+    name = (
+        F.when(kind == 0, F.concat(F.lit("/"), "url")).when(kind == 1, F.concat(F.lit("../"), "url")).when(kind == 2, F.concat(F.lit("a/../"), n)).when(kind == 3, F.concat(F.lit("C:"), n))
+        .when(kind == 4, F.concat(F.lit("con."), n, F.lit("/x"))).when(kind == 5, F.concat(F.lit("dir/./"), n, F.lit("//f"))).when(kind == 6, "").otherwise(F.concat(F.lit("ok\\"), n, F.lit(".")))
+    )
+    return p.select("page_id", name.alias("name"))
+
+
+_NATIVE = "CASE WHEN name = '' THEN 'empty' WHEN regexp_matches(name, '[\\x00-\\x1f\\x7f]') THEN 'illegal_character' WHEN regexp_matches(name, '^[/\\\\]') THEN 'absolute' {} WHEN len(parts) = 0 THEN 'empty' END"
+
+
+@query("name_policy_native", _PAGE_NAMES + f"SELECT page_id, {_NATIVE.format("WHEN list_contains(parts, '..') THEN 'parent_traversal'")} AS rejection FROM c")
+def name_policy_native(spark, sf_dir):
+    return page_names(spark, sf_dir).select("page_id", paths.rejection(F.col("name")).alias("rejection"))
+
+
+_STRICT = """WHEN regexp_matches(name, '^[A-Za-z]:') THEN 'absolute'
+  WHEN len(list_filter(faults, lambda f: f <> '')) > 0 THEN list_filter(faults, lambda f: f <> '')[1]"""
+_RESERVED = ", ".join(f"'{r}'" for r in paths.WINDOWS_RESERVED)
+
+
+@query("name_policy_strict", _PAGE_NAMES + f""", f AS (SELECT *, list_transform(parts, lambda p: CASE WHEN p = '..' THEN 'parent_traversal'
+  WHEN regexp_matches(p, '[<>:"|?*]|[. ]$') OR upper(split_part(p, '.', 1)) IN ({_RESERVED}) THEN 'illegal_character' ELSE '' END) AS faults FROM c)
+SELECT page_id, {_NATIVE.format(_STRICT)} AS rejection FROM f""")
+def name_policy_strict(spark, sf_dir):
+    return page_names(spark, sf_dir).select("page_id", paths.rejection(F.col("name"), strict=True).alias("rejection"))
+
+
+@query("path_normalised", _PAGE_NAMES + "SELECT page_id, array_to_string(parts, '/') AS path, len(parts)::INT AS depth, regexp_matches(name, '[/\\\\]$') AS is_dir FROM c")
+def path_normalised(spark, sf_dir):
+    n = F.col("name")
+    return page_names(spark, sf_dir).select("page_id", paths.relative(n).alias("path"), F.size(paths.components(n)).alias("depth"), paths.has_directory_suffix(n).alias("is_dir"))
+
+
+_DOC_NAMES = "WITH n AS (SELECT doc_id, 'corpus/' || source || '/' || lang || '/' || doc_id || '.txt' AS name, source, octet_length(encode(text))::BIGINT AS size FROM documents)"
+
+
+def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    return d.select(F.lit("a").alias("archive"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("corpus/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("file").alias("kind"), F.octet_length("text").cast("long").alias("size"), "source", "lang")
+
+
+@query("selection_prefix", _DOC_NAMES + "SELECT doc_id, name FROM n WHERE name = 'corpus/src1' OR starts_with(name, 'corpus/src1/') OR starts_with(name, 'corpus/src2/en/')")
+def selection_prefix(spark, sf_dir):
+    return doc_entries(spark, sf_dir).where(paths.selected(F.col("name"), ["corpus/src1/", "corpus/src2/en"])).select(F.col("ordinal").alias("doc_id"), "name")
+
+
+@query("selection_semi_join", _DOC_NAMES + "SELECT doc_id, name FROM n WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def selection_semi_join(spark, sf_dir):
+    want = _t(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("ordinal"))
+    return doc_entries(spark, sf_dir).join(want, "ordinal", "left_semi").select(F.col("ordinal").alias("doc_id"), "name")
+
+
+@query("strip_components", _DOC_NAMES + "SELECT doc_id, array_to_string(string_split(name, '/')[3:], '/') AS path FROM n")
+def strip_components(spark, sf_dir):
+    return doc_entries(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), paths.strip_leading(F.col("name"), 2).alias("path"))
+
+
+@query("strip_root", _DOC_NAMES + "SELECT doc_id, array_to_string(string_split(name, '/')[2:], '/') AS path FROM n")
+def strip_root(spark, sf_dir):
+    return layout.place(doc_entries(spark, sf_dir), strip_root=True).select(F.col("ordinal").alias("doc_id"), "path")
+
+
+def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source and language fall on one path."""
+    return layout.place(doc_entries(spark, sf_dir).withColumn("name", F.concat_ws("/", F.lit("x"), "source", "lang")), strip=1)
+
+
+_COLLIDE = "WITH r AS (SELECT doc_id, source || '/' || lang AS path, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id {0}) AS n, min(doc_id) OVER (PARTITION BY source, lang) AS slot FROM documents) SELECT path, doc_id, slot FROM r WHERE n = 1"
+for _over, _way in (("always", "DESC"), ("never", "ASC")):
+    query(f"collision_{_over}", _COLLIDE.format(_way))(lambda spark, sf_dir, o=_over: layout.resolve_collisions(_colliding(spark, sf_dir), o).where("status = 'placed'").select("path", F.col("ordinal").alias("doc_id"), "slot"))
+
+
+@query("extract_summary", """
+WITH r AS (SELECT octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS n FROM documents)
+SELECT count(*) FILTER (n = 1) AS files, 0::BIGINT AS directories, 0::BIGINT AS symlinks, 0::BIGINT AS hardlinks, 0::BIGINT AS specials, count(*) FILTER (n > 1) AS skipped, 0::BIGINT AS refused,
+  sum(size) FILTER (n = 1)::BIGINT AS bytes FROM r""")
+def extract_summary(spark, sf_dir):
+    return layout.extract_summary(layout.resolve_collisions(_colliding(spark, sf_dir)))
+
+
+@query("placement_skips", _PAGE_NAMES + f", s AS (SELECT {_NATIVE.format("WHEN list_contains(parts, '..') THEN 'parent_traversal'")} AS why, parts FROM c) SELECT CASE WHEN why IS NOT NULL THEN 'refused' WHEN len(parts) <= 1 THEN 'stripped' ELSE 'placed' END AS status, count(*) AS n FROM s GROUP BY 1")
+def placement_skips(spark, sf_dir):
+    rows = page_names(spark, sf_dir).withColumn("archive", F.lit("a"))
+    return layout.place(rows, strip=1, unsafe="skip").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("hard_link_names", "SELECT doc_id, CASE WHEN row_number() OVER w > 1 THEN first_value(" + _NAME + ") OVER w END AS link_to FROM documents WINDOW w AS (PARTITION BY text ORDER BY " + _NAME + ")")
+def hard_link_names(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.sha2("text", 256).alias("inode"))
+    return layout.hard_links(d, ["inode"]).select("doc_id", "link_to")
+
+
+@query("link_targets", "SELECT d.doc_id, l.doc_id IS NOT NULL AS resolved FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id // 2")
+def link_targets(spark, sf_dir):
+    links = _t(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 2").cast("string").alias("target"))
+    return layout.resolve_links(links, _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))).select("doc_id", "resolved")
+
+
+@query("symlink_escape", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN FALSE ELSE TRUE END AS escapes FROM pages""")
+def symlink_escape(spark, sf_dir):
+    kind = F.col("page_id") % 5
+    target = F.when(kind == 0, "/etc/passwd").when(kind == 1, "../x/./y").when(kind == 2, "../../../z").when(kind == 3, "q/../../w").otherwise("C:\\boot")
+    return _t(spark, sf_dir, "pages").select("page_id", paths.symlink_escapes(F.lit("a/b/link"), target).alias("escapes"))
+
+
+@query("zip_offsets", f"WITH r AS (SELECT source, {_NAME} AS name, 30 + octet_length(encode({_NAME})) + octet_length(encode(text)) AS len FROM documents) SELECT source, name, (sum(len) OVER (PARTITION BY source ORDER BY name) - len)::BIGINT AS \"offset\" FROM r")
+def zip_offsets(spark, sf_dir):
+    rows = inputs(spark, sf_dir).select(F.col("archive").alias("source"), "name", (30 + F.octet_length("name") + F.octet_length("content")).alias("len"))
+    return layout.with_offsets(rows, "len", "name", "source").select("source", "name", "offset")
+
+
+@query("volume_assignment", "WITH r AS (SELECT l_orderkey, l_linenumber, (sum(l_quantity::BIGINT * 1000) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - l_quantity::BIGINT * 1000)::BIGINT AS o FROM lineitem) SELECT l_orderkey, l_linenumber, o AS \"offset\", o // 65536 AS volume FROM r")
+def volume_assignment(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").withColumn("len", (F.col("l_quantity") * 1000).cast("long")).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return layout.with_offsets(rows, "len", "o", "l_orderkey").select("l_orderkey", "l_linenumber", "offset", layout.volume_of(F.col("offset"), 1000).alias("volume"))
+
+
+@query("volume_lookup", "SELECT p_partkey, (p_partkey * 37) // 500 AS volume, (p_partkey * 37) % 500 AS within FROM part")
+def volume_lookup(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37).alias("offset"), F.lit("a").alias("archive"))
+    n = p.agg((F.max("offset") / 500).cast("long") + 1).first()[0]
+    volumes = spark.range(n).select(F.lit("a").alias("archive"), F.col("id").alias("volume"), (F.col("id") * 500).alias("start"), F.lit(500).alias("length"))
+    return layout.locate(p, volumes).select("p_partkey", "volume", "within")
+
+
+@query("directory_order", "SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey % 3 DESC, r_name)::INT AS place FROM region")
+def directory_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    depth = F.col("r_regionkey") % 3
+    return _t(spark, sf_dir, "region").select("r_regionkey", F.row_number().over(Window.orderBy(depth.desc(), "r_name")).alias("place"))
+
+
+@query("wave_batches")
+def wave_batches(spark, sf_dir):
+    return layout.waves(inputs(spark, sf_dir).select("archive", F.monotonically_increasing_id().alias("ordinal"), F.octet_length("content").cast("long").alias("size")), 4, 20_000).groupBy("archive", "wave").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("concat_inputs", "SELECT source AS archive, count(*) * 2 AS n FROM documents GROUP BY source")
+def concat_inputs(spark, sf_dir):
+    """Inputs given twice give two sources: no deduplication."""
+    rows = inputs(spark, sf_dir)
+    return rows.unionByName(rows).groupBy("archive").agg(F.count("*").alias("n"))
+
+
+# --- scalar packs -----------------------------------------------------------------------------------------------------
+
+@query("dos_datetime", """SELECT event_id, ((year(ts) - 1980) * 512 + month(ts) * 32 + day(ts))::INT AS dos_date, (hour(ts) * 2048 + minute(ts) * 32 + second(ts)::INT // 2)::INT AS dos_time,
+  (epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', ts))::BIGINT % 2) AS back FROM events""")
+def dos_datetime(spark, sf_dir):
+    s = F.unix_timestamp("ts")
+    e = _t(spark, sf_dir, "events").select("event_id", times.dos_date(s).alias("dos_date"), times.dos_time(s).alias("dos_time"))
+    return e.withColumn("back", times.from_dos(F.col("dos_date"), F.col("dos_time")))
+
+
+@query("dos_clamped", "SELECT p_partkey, epoch(make_date((1980 + (p_partkey * 131 % 65536) // 512)::INT, greatest(1, least(12, (p_partkey * 131 % 65536) // 32 % 16))::INT, 1)::TIMESTAMP)::BIGINT + (greatest(1, p_partkey * 131 % 65536 % 32) - 1) * 86400 + least(23, (p_partkey * 77 % 65536) // 2048) * 3600 + least(59, (p_partkey * 77 % 65536) // 32 % 64) * 60 + least(58, p_partkey * 77 % 65536 % 32 * 2) AS unix FROM part")
+def dos_clamped(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", times.from_dos((F.col("p_partkey") * 131 % 65536).cast("int"), (F.col("p_partkey") * 77 % 65536).cast("int")).alias("unix"))
+
+
+@query("filetime", "SELECT o_orderkey, (epoch(o_orderdate)::BIGINT + 11644473600) * 10000000 AS ticks, epoch(o_orderdate)::BIGINT AS back FROM orders")
+def filetime(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", times.to_filetime(F.unix_timestamp("o_orderdate")).alias("ticks"))
+    return o.withColumn("back", times.from_filetime(F.col("ticks")))
+
+
+@query("method_facts", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'stored' WHEN 1 THEN 'deflate' WHEN 2 THEN 'bzip2' ELSE 'zstd' END AS method, greatest(CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 46 ELSE 63 END, CASE WHEN p_size > 25 THEN 45 ELSE 0 END, CASE WHEN p_size % 2 = 0 THEN 51 ELSE 0 END)::INT AS needed FROM part")
+def method_facts(spark, sf_dir):
+    kind = F.col("p_size") % 4
+    code = F.when(kind == 0, 0).when(kind == 1, 8).when(kind == 2, 12).otherwise(93)
+    return _t(spark, sf_dir, "part").select("p_partkey", fields.method_name(code).alias("method"), fields.version_needed(code, F.col("p_size") > 25, F.col("p_size") % 2 == 0).alias("needed"))
+
+
+@query("level_flags", "SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 6 END AS flags, CASE c_nationkey % 4 WHEN 0 THEN 9 WHEN 1 THEN 9 ELSE 1 END AS block FROM customer")
+def level_flags(spark, sf_dir):
+    kind = F.col("c_nationkey") % 4
+    level = F.when(kind == 0, "best").when(kind == 1, "default").when(kind == 2, "fast").otherwise("none")
+    return _t(spark, sf_dir, "customer").select("c_custkey", fields.level_flags(level).alias("flags"), fields.bzip2_block_size(level).alias("block"))
+
+
+@query("attributes_roundtrip", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'directory' ELSE 'symlink' END AS kind, (l_partkey % 512)::INT AS mode FROM lineitem WHERE l_partkey % 512 <> 0")
+def attributes_roundtrip(spark, sf_dir):
+    k = F.col("l_linenumber") % 3
+    li = _t(spark, sf_dir, "lineitem").where("l_partkey % 512 <> 0").select("l_orderkey", "l_linenumber", "l_partkey", F.when(k == 0, "file").when(k == 1, "directory").otherwise("symlink").alias("k"), (F.col("l_partkey") % 512).cast("int").alias("m"))
+    packed = li.withColumn("x", fields.attributes(F.col("k"), F.col("m"), F.lit(None).cast("int")))
+    made = F.lit(3 * 256 + 20)
+    return packed.select("l_orderkey", "l_linenumber", "l_partkey", fields.attribute_kind(F.col("x"), made, F.lit(False)).alias("kind"), fields.attribute_mode(F.col("x"), made).cast("int").alias("mode"))
+
+
+@query("readability", "SELECT p_partkey, CASE WHEN p_size & 64 <> 0 THEN 'strong_encryption' WHEN p_size & 1 <> 0 THEN 'password_required' WHEN p_size % 5 = 0 THEN 'unsupported_method' ELSE 'ok' END AS status FROM part")
+def readability(spark, sf_dir):
+    size = F.col("p_size")
+    return _t(spark, sf_dir, "part").select("p_partkey", fields.readability(size, F.when(size % 5 == 0, 97).otherwise(8), F.lit(None).cast("int"), F.lit(False)).alias("status"))
+
+
+@query("tar_sizes", "SELECT source, (((sum(512 + octet_length(encode(text)) + (-octet_length(encode(text))) % 512 + CASE WHEN octet_length(encode(text)) % 512 = 0 THEN 0 ELSE 512 END) + 1024 + 10239) // 10240) * 10240)::BIGINT AS size FROM documents GROUP BY source")
+def tar_sizes(spark, sf_dir):
+    size = F.octet_length("content")
+    return inputs(spark, sf_dir).groupBy(F.col("archive").alias("source")).agg(fields.tar_end(F.sum(512 + size + fields.tar_padding(size))).cast("long").alias("size"))
+
+
+@query("octal_fields", "SELECT o_orderkey, lpad(printf('%o', o_orderkey), 11, '0') AS field, o_orderkey AS back FROM orders")
+def octal_fields(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", fields.octal_field(F.col("o_orderkey"), 12).alias("field"))
+    return o.withColumn("back", fields.parse_octal(F.col("field")))
+
+
+@query("little_endian_fields", "SELECT o_orderkey, o_orderkey AS back, 4::INT AS width FROM orders")
+def little_endian_fields(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("raw", fields.little_endian(F.col("o_orderkey"), 4))
+    return o.select("o_orderkey", fields.from_little_endian(F.col("raw"), 0, 4).alias("back"), F.octet_length("raw").alias("width"))
+
+
+@query("zip64_rule", "SELECT l_orderkey, l_linenumber, l_partkey, l_partkey * 5000000 >= 4294967295 AS zip64, least(l_partkey * 5000000, 4294967295)::BIGINT AS field FROM lineitem")
+def zip64_rule(spark, sf_dir):
+    big = F.col("l_partkey") * 5_000_000
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fields.needs_zip64(F.lit(0), big, F.lit(0)).alias("zip64"), fields.saturated(big).alias("field"))
+
+
+@query("lzma_properties", "SELECT p_partkey, (((p_size % 5) * 5 + p_size % 4) * 9 + p_size % 9)::INT AS props, (p_size % 9)::INT AS lc, (p_size % 4)::INT AS lp, (p_size % 5)::INT AS pb FROM part")
+def lzma_properties(spark, sf_dir):
+    size = F.col("p_size")
+    p = _t(spark, sf_dir, "part").select("p_partkey", fields.lzma_props(size % 9, size % 4, size % 5).alias("props"))
+    return p.withColumn("f", fields.lzma_fields(F.col("props"))).select("p_partkey", "props", "f.lc", "f.lp", "f.pb")
+
+
+@query("dictionary_sizes", "SELECT p_partkey, ((2 + p_size % 2) * 2 ** (p_size % 40 // 2 + 11))::BIGINT AS lzma2 FROM part WHERE p_size % 40 % 2 = p_size % 2")
+def dictionary_sizes(spark, sf_dir):
+    return _t(spark, sf_dir, "part").where("p_size % 40 % 2 = p_size % 2").select("p_partkey", fields.lzma2_dictionary((F.col("p_size") % 40).cast("int")).alias("lzma2"))
+
+
+@query("pax_records", "SELECT doc_id, 'path=' || lang || '/' || doc_id AS kv, (length('path=' || lang || '/' || doc_id) + 4)::INT AS length FROM documents WHERE doc_id BETWEEN 10 AND 90")
+def pax_records(spark, sf_dir):
+    value = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
+    d = _t(spark, sf_dir, "documents").where("doc_id between 10 and 90").withColumn("r", fields.pax_record(F.lit("path"), value))
+    return d.select("doc_id", F.regexp_extract("r", r"^\d+ (.*)\n$", 1).alias("kv"), F.octet_length("r").alias("length"))
+
+
+@query("ustar_names", "SELECT doc_id, repeat('d', 90) || '/' || repeat('e', 60) AS prefix, doc_id || '.txt' AS rest FROM documents")
+def ustar_names(spark, sf_dir):
+    name = F.concat(F.lit("d" * 90 + "/" + "e" * 60 + "/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return _t(spark, sf_dir, "documents").select("doc_id", paths.ustar_split(name).alias("s")).select("doc_id", "s.prefix", "s.rest")
+
+
+@query("volume_names", "SELECT p_partkey, 'x.z' || lpad(p_partkey::VARCHAR, greatest(2, length(p_partkey::VARCHAR))::INT, '0') AS volume, 'x.zip' AS base FROM part")
+def volume_names(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", paths.volume_name(F.lit("x"), F.col("p_partkey")).alias("volume"))
+    return p.withColumn("base", paths.volume_base(F.col("volume")))
+
+
+@query("sparse_maps", """
+WITH s AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity)::BIGINT AS stored FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, stored, TRUE AS valid, n::INT AS segments FROM s""")
+def sparse_maps(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumn("length", F.col("l_quantity").cast("long"))
+    s = li.groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_linenumber").cast("long") * 0 + F.col("length")).alias("length"))).alias("parts"))
+    seg = F.transform("parts", lambda p, i: F.struct((i * 1000).cast("long").alias("offset"), p["length"].alias("length")))
+    s = s.select("l_orderkey", seg.alias("segments"))
+    return s.select("l_orderkey", fields.sparse_stored(F.col("segments")).alias("stored"), fields.valid_sparse(F.col("segments"), F.lit(1_000_000)).alias("valid"), F.size("segments").alias("segments"))
+
+
+@query("byte_histogram", "WITH b AS (SELECT unnest(range(1, strlen(hex(encode(text)))::BIGINT, 2)) AS i, hex(encode(text)) AS h FROM benchmark) SELECT substr(h, i, 2) AS byte, count(*) AS n FROM b GROUP BY 1")
+def byte_histogram(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"))).alias("byte"))
+    return b.groupBy("byte").agg(F.count("*").alias("n"))
+
+
+@query("byte_ranges", "SELECT doc_id, substr(text, 11, 20) AS part FROM documents WHERE octet_length(encode(text)) = length(text)")
+def byte_ranges(spark, sf_dir):
+    d = _bytes(_t(spark, sf_dir, "documents")).where(F.octet_length("text") == F.char_length("text"))
+    return d.select("doc_id", F.decode(F.expr("substring(raw, 11, 20)"), "UTF-8").alias("part"))
+
+
+@query("progress_percent", "SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE least(100.0, (o_orderkey % 120) * 100.0 / 90)::DOUBLE END AS percent, greatest(1, least(8, o_custkey % 13))::INT AS threads FROM orders")
+def progress_percent(spark, sf_dir):
+    total = F.when(F.col("o_custkey") % 10 == 0, 0).otherwise(90)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", fields.percent(F.col("o_orderkey") % 120, total).alias("percent"), fields.thread_count(F.lit(0), F.lit(8), F.col("o_custkey") % 13).cast("int").alias("threads"))
+
+
+@query("verify_status", "SELECT CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'size_mismatch' ELSE 'checksum_mismatch' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def verify_status(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    d = _bytes(_t(spark, sf_dir, "documents"))
+    status = fields.verify(F.octet_length("raw") + F.when(k == 1, 1).otherwise(0), F.crc32("raw") + F.when(k == 2, 1).otherwise(0), F.col("raw"))
+    return d.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("formats_by_suffix", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'zip' WHEN 1 THEN 'tar.gz' WHEN 2 THEN 'tar.gz' WHEN 3 THEN NULL WHEN 4 THEN 'tar' ELSE 'zip' END AS format FROM pages")
+def formats_by_suffix(spark, sf_dir):
+    k = F.col("page_id") % 6
+    suffix = F.when(k == 0, ".ZIP").when(k == 1, ".tar.gz").when(k == 2, ".tgz").when(k == 3, ".gz").when(k == 4, ".tar").otherwise(".whl")
+    return _t(spark, sf_dir, "pages").select("page_id", formats.by_suffix(F.concat(F.lit("dir.d/f"), F.col("page_id").cast("string"), suffix)).alias("format"))
