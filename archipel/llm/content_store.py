@@ -56,47 +56,75 @@ def cut_points(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.array(cuts, dtype=np.int64)
 
 
-_STAGED = "kind string, hash binary, n int, bytes binary, doc_id long, crc long, hashes array<binary>, sizes array<int>, spot int"
+_STAGED = "kind string, spot int, doc_id long, n int, hashes binary, sizes binary, bytes binary"
+_ARROW = pa.schema([("kind", pa.string()), ("spot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+#: Bytes of a chunk's digest.
+DIGEST = 16
 
 
 def _stage(tokenizer: str, end_id: int, spots: int):
-    """Documents to chunk rows (once per task and content) and recipe rows. `spot`: the partition they go to."""
+    """Documents to packs of new chunks (a row a slice and partition) and recipe rows. `spot`: the partition they go to."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack, seen = memo(tokenizer), zstandard.ZstdCompressor(level=3), set()
-        schema = pa.schema([("kind", pa.string()), ("hash", pa.binary()), ("n", pa.int32()), ("bytes", pa.binary()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("hashes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("spot", pa.int32())])
+        encode, pack, seen = memo(tokenizer), zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
-            for part in text_slices(batch, 1, 8 << 20):
+            for part in text_slices(batch, 1):
                 tokens, begins = encode.encode(part.column(1))
                 ids = np.insert(tokens, begins[1:], end_id)
                 begins = begins + np.arange(len(begins))
                 cuts = cut_points(ids, begins)
-                ends = np.append(cuts[1:], len(ids))
-                raw, wide = ids.tobytes(), ids.dtype.itemsize
-                first = np.searchsorted(cuts, begins)
-                digests = [hashlib.blake2b(raw[lo * wide : hi * wide], digest_size=16).digest() for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True)]
-                sizes = (ends - cuts).tolist()
-                rows = []
+                sizes = np.diff(np.append(cuts, len(ids)))
+                raw, wide = memoryview(ids.tobytes()), ids.dtype.itemsize
+                digests = [hashlib.blake2b(raw[lo * wide : (lo + n) * wide], digest_size=DIGEST).digest() for lo, n in zip(cuts.tolist(), sizes.tolist(), strict=True)]
+                packs: dict[int, list[int]] = {}
                 for k, digest in enumerate(digests):
                     if digest not in seen:
                         seen.add(digest)
-                        rows.append(("chunk", digest, sizes[k], pack.compress(raw[cuts[k] * wide : ends[k] * wide]), None, None, None, None, int.from_bytes(digest[:4], "little") % spots))
+                        packs.setdefault(int.from_bytes(digest[:4], "little") % spots, []).append(k)
                 if len(seen) > 1_000_000:
                     seen.clear()  # only saves shuffling; the store drops repeats in any case
+                rows = [("chunk", spot, None, len(own), b"".join([digests[k] for k in own]), sizes[own].astype("<u4").tobytes(), pack(b"".join([raw[cuts[k] * wide : (cuts[k] + sizes[k]) * wide] for k in own]))) for spot, own in packs.items()]
+                first = np.searchsorted(cuts, begins).tolist()
+                length = np.diff(begins).tolist()
                 for i, doc in enumerate(part.column(0).to_pylist()):
-                    lo, hi = first[i], first[i + 1]
-                    rows.append(("recipe", None, int(begins[i + 1] - begins[i]), None, doc, None, digests[lo:hi], sizes[lo:hi], zlib.crc32(digests[lo]) % spots))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    hashes = b"".join(digests[first[i] : first[i + 1]])
+                    rows.append(("recipe", zlib.crc32(hashes) % spots, doc, length[i], hashes, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     return stage
 
 
+def _digests(blob: bytes) -> list[bytes]:
+    return [blob[i : i + DIGEST] for i in range(0, len(blob), DIGEST)]
+
+
+def _once(width: int):
+    """Packs without the chunks that came before in this partition; recipes pass. Remembers the partition's digests, 16 bytes for each stored chunk."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            is_pack = np.array([k == "chunk" for k in batch.column("kind").to_pylist()], dtype=bool)
+            yield batch.filter(pa.array(~is_pack))
+            for row in batch.filter(pa.array(is_pack)).to_pylist():
+                own = _digests(row["hashes"])
+                keep = [k for k, d in enumerate(own) if d not in seen]
+                seen.update(own)
+                if keep:
+                    sizes, raw = np.frombuffer(row["sizes"], "<u4"), unpack(row["bytes"])
+                    ends = np.cumsum(sizes.astype(np.int64)) * width
+                    row |= {"n": len(keep), "hashes": b"".join([own[k] for k in keep]), "sizes": sizes[keep].tobytes(), "bytes": pack(b"".join([raw[ends[k] - sizes[k] * width : ends[k]] for k in keep]))}
+                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+    return once
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict[str, str]:
     """Writes the ids of `docs` under `path` and returns the places of its three tables.
 
-    chunks    kind 'chunk': hash, n, bytes: every distinct chunk once, compressed, named by its digest
-    recipes   shard, doc_id, start, n, hashes, sizes: in ascending doc_id order; `start` counts the ids before it
+    chunks    kind 'chunk': n, hashes, sizes, bytes: packs of n chunks, every distinct chunk once, named by digest
+    recipes   shard, doc_id, start, n, hashes: in ascending doc_id order; `start` counts the ids before it
     manifest  shard, first_doc, last_doc, n_docs, n_ids, root: the Merkle root over the shard's recipes
 
     One shuffle carries each task's new chunks, compressed, to the partition of their
@@ -109,35 +137,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_stage(tokenizer, end_id, spots), _STAGED)
     placed = rows.repartition(spots, "spot")
     places = {name: f"{path}/{name}" for name in ("staged", "recipes", "manifest")}
-    placed.mapInArrow(_first_of_each, _STAGED).drop("spot", "crc").write.option("compression", "none").partitionBy("kind").parquet(places["staged"])
+    placed.mapInArrow(_once(memo(tokenizer).dtype.itemsize), _STAGED).drop("spot").write.option("compression", "none").partitionBy("kind").parquet(places["staged"])
     places["chunks"] = places.pop("staged")
-    recipes = spark.read.schema("doc_id long, n int, hashes array<binary>, sizes array<int>, kind string").parquet(places["chunks"]).where("kind = 'recipe'").drop("kind")
+    recipes = spark.read.schema("doc_id long, n int, hashes binary, kind string").parquet(places["chunks"]).where("kind = 'recipe'").drop("kind")
     ordered = recipes.repartitionByRange(spots, "doc_id").sortWithinPartitions("doc_id", "hashes").withColumn("shard", F.spark_partition_id())
     ordered = written(ordered, path=f"{path}/ordered")
     totals = ordered.groupBy("shard").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     before = totals.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))  # a row for each shard
     running = F.sum("n").over(Window.partitionBy("shard").orderBy("doc_id", "hashes").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ordered.join(F.broadcast(before), "shard").withColumn("start", (F.col("before") + running - F.col("n")).cast("long")).drop("before")
-    out.select("shard", "doc_id", "start", "n", "hashes", "sizes").write.option("compression", "zstd").parquet(places["recipes"])
-    leaves = spark.read.parquet(places["recipes"]).select("shard", "start", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), F.concat_ws("", F.transform("hashes", F.hex)).cast("binary")), 256).alias("leaf"))
+    out.select("shard", "doc_id", "start", "n", "hashes").write.option("compression", "zstd").parquet(places["recipes"])
+    leaves = spark.read.parquet(places["recipes"]).select("shard", "start", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), F.col("hashes")), 256).alias("leaf"))
     roots = leaves.repartition(spots, "shard").sortWithinPartitions("shard", "start").mapInArrow(_merkle_roots, "shard int, root string")
     totals.join(roots, "shard", "left").write.parquet(places["manifest"])
     drop_written(ordered)
     return places
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first chunk row of each digest, and all recipe rows. Remembers the partition's digests, 16 bytes for each stored chunk."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for digest in batch.column("hash").to_pylist():
-            keep.append(digest is None or digest not in seen)
-            if digest is not None:
-                seen.add(digest)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Pairs are hashed together level by level; an odd last one moves up alone. No leaves: the hash of nothing."""
     level = leaves or [hashlib.sha256(b"").digest()]
@@ -187,16 +203,22 @@ def read_chunks(spark: SparkSession, places: dict[str, str], width: int = 2) ->
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            crc = []
-            for digest, n, data in zip(*(batch.column(c).to_pylist() for c in ("hash", "n", "bytes")), strict=True):
-                raw = unpack.decompress(data)
-                if hashlib.blake2b(raw, digest_size=16).digest() != digest or len(raw) != n * width:
-                    raise ValueError(f"chunk {digest.hex()} is damaged")
-                crc.append(zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), pa.array(crc, pa.int64())], ["hash", "n", "crc"])
-
-    stored = spark.read.schema("hash binary, n int, bytes binary, kind string").parquet(places["chunks"]).where("kind = 'chunk'").drop("kind")
-    return stored.mapInArrow(check, "hash binary, n int, crc long")
+            for hashes, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("hashes", "sizes", "bytes")), strict=True):
+                own, each = _digests(hashes), np.frombuffer(sizes, "<u4").astype(np.int64)
+                raw = memoryview(unpack.decompress(data))
+                if len(raw) != each.sum() * width:
+                    raise ValueError(f"the pack of chunk {own[0].hex()} is damaged")
+                plain = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
+                crc, at = [], 0
+                for digest, n in zip(own, each.tolist(), strict=True):
+                    if hashlib.blake2b(raw[at * width : (at + n) * width], digest_size=DIGEST).digest() != digest:
+                        raise ValueError(f"chunk {digest.hex()} is damaged")
+                    crc.append(zlib.crc32(plain[4 * at : 4 * (at + n)]))
+                    at += n
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(each, pa.int64()), pa.array(crc, pa.int64())], ["hash", "n", "crc"])
+
+    stored = spark.read.schema("n int, hashes binary, sizes binary, bytes binary, kind string").parquet(places["chunks"]).where("kind = 'chunk'").drop("kind")
+    return stored.mapInArrow(check, "hash binary, n long, crc long")
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -257,9 +279,10 @@ def read_documents(spark: SparkSession, places: dict[str, str]) -> DataFrame:
             crc = [joined_crc([p["crc"] for p in parts], [4 * p["n"] for p in parts]) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    recipes = spark.read.schema("shard int, doc_id long, start long, n int, hashes array<binary>, sizes array<int>").parquet(places["recipes"])
+    recipes = spark.read.schema("shard int, doc_id long, start long, n int, hashes binary").parquet(places["recipes"])
     chunks = written(read_chunks(spark, places), "chunk-crc")
-    parts = recipes.select("doc_id", "start", "n", F.posexplode("hashes").alias("pos", "hash")).join(chunks.select("hash", F.col("n").alias("size"), "crc"), "hash")
+    split = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("hashes") / DIGEST).cast("int") - 1), lambda i: F.substring(F.col("hashes"), i * DIGEST + 1, F.lit(DIGEST)))
+    parts = recipes.select("doc_id", "start", "n", F.posexplode(split).alias("pos", "hash")).join(chunks.select("hash", F.col("n").alias("size"), "crc"), "hash")
     whole = parts.groupBy("doc_id", "start").agg(F.first("n").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("pos", "crc", F.col("size").alias("n")))).alias("parts"))
     return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -112,11 +112,12 @@ def test_store_keeps_each_chunk_once_and_notices_damage(spark, docs, tmp_path):
 
     places = write_store(docs, str(tmp_path / "store"), BYTE)
     chunks = spark.read.parquet(places["chunks"]).where("kind = 'chunk'")
-    assert chunks.count() == chunks.select("hash").distinct().count()
+    stored = [bytes(r["hashes"][i : i + 16]) for r in chunks.collect() for i in range(0, len(r["hashes"]), 16)]
+    assert len(stored) == len(set(stored)) == chunks.agg(F.sum("n")).first()[0]
     manifest = spark.read.parquet(places["manifest"])
     assert manifest.agg(F.sum("n_docs")).first()[0] == len(rows())
-    bad = chunks.withColumn("bytes", F.when(F.col("n") == F.lit(chunks.agg(F.max("n")).first()[0]), F.lit(chunks.orderBy("n").first()["bytes"])).otherwise(F.col("bytes")))
-    bad.write.parquet(str(tmp_path / "bad"))
+    bad = chunks.withColumn("bytes", F.lit(chunks.orderBy(F.octet_length("bytes")).first()["bytes"]))
+    bad.write.partitionBy("kind").parquet(str(tmp_path / "bad"))
     with pytest.raises(Exception, match="damaged"):
         read_documents(spark, places | {"chunks": str(tmp_path / "bad")}).collect()
 
