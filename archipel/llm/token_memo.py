@@ -37,13 +37,16 @@ def _text(value: str) -> pa.Scalar:
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts hold about `most_bytes` at most (one text may hold more)."""
+    """The batch in slices whose texts hold about `most_bytes` at most (one text may hold more).
+
+    Slices are copies: some of Arrow's string functions read sliced columns from the wrong place.
+    """
     sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = (np.cumsum(sizes) // most_bytes).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi > lo:
-            yield batch.slice(lo, hi - lo)
+            yield batch.take(pa.array(np.arange(lo, hi)))
 
 
 def ragged_take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

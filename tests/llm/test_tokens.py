@@ -135,3 +135,20 @@ def test_kernels():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pack_documents(empty, BYTE).count() == store_and_read(empty, BYTE).count() == count_tokens(empty, WORD).count() == 0
+
+
+def test_slices_of_a_batch_hold_their_own_texts():
+    from archipel.llm.minhash import word_hashes
+    from archipel.llm.token_memo import text_slices
+
+    random.seed(8)
+    texts = ["".join(random.choice("aÄé ßZ\n的.") for _ in range(random.randint(0, 300))) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(text_slices(batch, 1, 5000))
+    assert len(parts) > 10 and [t for p in parts for t in p.column(1).to_pylist()] == texts
+    words, ids = counter(WORD), memo(BYTE)
+    for part in parts:
+        own = part.column(1)
+        whole = pa.array(own.to_pylist())
+        assert (word_hashes(own)[0] == word_hashes(whole)[0]).all() and (word_hashes(own)[1] == word_hashes(whole)[1]).all()
+        assert (words.counts(own) == words.counts(whole)).all() and (ids.encode(own)[0] == ids.encode(whole)[0]).all()
