@@ -102,8 +102,11 @@ class Spelling:
         self.chance = [s / max(1, kept) for s in sums]
         self.mass = [m / max(1, kept) for m in masses]
 
-    def log10(self, words: list[str]) -> np.ndarray:
+    def log10(self, words: list[str], step: int = 16_384) -> np.ndarray:
         """log10 of the probability of each word's letters and its end."""
+        return np.concatenate([np.zeros(0), *(self._log10(words[lo : lo + step]) for lo in range(0, len(words), step))])
+
+    def _log10(self, words: list[str]) -> np.ndarray:
         text = "".join(f"{_START}{w}{_END}" for w in words)
         sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
         letters = np.array(list(text), dtype=object)
@@ -201,13 +204,14 @@ def _grams(depth: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: list[str] = []
+                total: dict[str, int] = {}
                 for word, n in zip(_words(blob), _open(counts, "<u8").tolist(), strict=True):
                     if n:
                         marked = f"{_START}{word}{_END}"
-                        found += [marked[max(0, i - depth) : i + 1] for i in range(1, len(marked))]
-                own = pd.Series(found, dtype=object).value_counts(sort=False)
-                yield pa.RecordBatch.from_arrays([pa.array(own.index.tolist(), pa.string()), pa.array(own.to_numpy(), pa.int64())], ["gram", "n"])
+                        for i in range(1, len(marked)):
+                            gram = marked[max(0, i - depth) : i + 1]
+                            total[gram] = total.get(gram, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
     return grams
 

@@ -157,7 +157,8 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training, id_col: str = "doc
     for kind in (0, 1):
         picked += [(r["id"], kind) for r in one.where(F.col("lo") == kind).orderBy(F.xxhash64("id"), "id").limit(how.per_label).select("id").collect()]
     chosen = spark.createDataFrame(picked, "id long, label int")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).where(F.col(text_col).isNotNull()).select(F.col("id"), F.col(text_col).alias("text"), "label").collect()
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").collect()
     return sorted({(r["id"], r["text"], r["label"]) for r in rows})
 
 
