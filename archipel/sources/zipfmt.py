@@ -7,7 +7,7 @@ import time
 import zlib
 from calendar import timegm
 
-from archipel.functions import crypto
+from archipel.functions import crypto, legacy
 from archipel.functions.codecs import CODECS, ZIP_METHODS
 
 _CODES = {v: k for k, v in ZIP_METHODS.items()}
@@ -130,6 +130,20 @@ def entries(data: bytes) -> list[dict]:
     return out
 
 
+def unpacked(body: bytes, method: int, flags: int, size: int) -> bytes:
+    if method in ZIP_METHODS:
+        return CODECS[ZIP_METHODS[method]][1](body)
+    if method == 1:
+        return legacy.unshrink(body, size)
+    if 2 <= method <= 5:
+        return legacy.expand_reduced(body, size, method - 1)
+    if method == 6:
+        return legacy.explode(body, size, bool(flags & 2), bool(flags & 4))
+    if method == 9:
+        return legacy.inflate64(body)
+    raise NotImplementedError(f"compression method {method}")
+
+
 def content(data: bytes, entry: dict, password: bytes | None = None) -> bytes:
     """An entry's bytes, decrypted, decompressed and verified: the size first, then the CRC (AE-2 entries have none)."""
     z = entry["zip"]
@@ -151,9 +165,7 @@ def content(data: bytes, entry: dict, password: bytes | None = None) -> bytes:
         else:
             clock = struct.unpack_from("<H", data, at + 10)[0]
             body = crypto.zipcrypto_open(password, body, clock >> 8 if flags & 8 else z["crc32"] >> 24)
-    if method not in ZIP_METHODS:
-        raise NotImplementedError(f"compression method {method}")
-    out = CODECS[ZIP_METHODS[method]][1](body)
+    out = unpacked(body, method, flags, entry["size"])
     if len(out) != entry["size"]:
         raise Malformed("size mismatch")
     if not (z["aes"] and z["aes"]["version"] == 2) and zlib.crc32(out) != z["crc32"]:
