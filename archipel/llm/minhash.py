@@ -128,8 +128,8 @@ def _sketches(how: Sketching):
                 for doc, own in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), how.width), strict=True):
                     if len(own):
                         least = minima(own, a, b)
-                        mark = xxhash.xxh3_128_digest(own.tobytes())
-                        rows.append((doc, len(own), mark, packed(least, how.bits) + binned(own, how.bins), band_keys(least, how.bands, how.rows)))
+                        mark, keys = xxhash.xxh3_128_digest(own.tobytes()), band_keys(least, how.bands, how.rows)
+                        rows.append((doc, len(own), mark, packed(least, how.bits) + binned(own, how.bins) + keys.astype("<u4").tobytes(), keys))
                     else:
                         rows.append((doc, 0, None, None, None))
                 columns = list(zip(*rows, strict=True))
@@ -177,15 +177,18 @@ def _cross(how: Sketching):
     """
     coarse, wanted = -(-how.size // 8) * how.bits, how.threshold / 100
 
-    def cross(group: pa.Table) -> pa.Table:
+    def cross(key: tuple, group: pa.Table) -> pa.Table:
         ids, labels, sides, sizes = (group.column(c).to_numpy() for c in ("id", "label", "side", "n"))
         both = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        signatures, fine = both[:, :coarse], both[:, coarse:]
+        signatures, fine, keys = both[:, :coarse], both[:, coarse : coarse + how.bins], np.ascontiguousarray(both[:, coarse + how.bins :]).view("<u4")
+        here = np.uint32(key[0].as_py() & 0xFFFFFFFF)
+        before = np.argmax(keys == here, axis=1)[0] if len(ids) else 0  # earlier bands have their own buckets
         left, right = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
         out_a, out_b = [], []
         for i in left.tolist():
             near = right[estimate(signatures[i], signatures[right], how) >= wanted - how.margin]
             near = near[(labels[near] != labels[i]) & ((sides[near] == 2) | (ids[near] > ids[i]))]
+            near = near[~(keys[near, :before] == keys[i, :before]).any(axis=1)]  # a pair is looked at in its first bucket
             if not len(near):
                 continue
             value, error = finer(fine[i], fine[near], sizes[i] + sizes[near])
