@@ -109,7 +109,9 @@ def _paragraph_rows(how: Paragraphs):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, whole, doc, pos: members of equal paragraphs, and pairs of unequal ones that share a key.
+    """Of entries sorted by key, whole, doc, pos: members of equal paragraphs, and pairs of unequal ones of different documents that share a key.
+
+    Paragraphs of one document overlap and so share most keys; they say nothing about other documents.
 
     A stream with constant memory: remembers the first entry of the bucket, and the first and
     the latest entry of the current paragraph.
@@ -131,9 +133,10 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 members.append(row)
                 last = row
             else:
-                pairs.append((*bucket, *row))
-                if run is not bucket:
-                    pairs.append((*run, *row))
+                if doc != bucket[1]:
+                    pairs.append((*bucket, *row))
+                if run is not bucket and doc != last[1]:
+                    pairs.append((*last, *row))
                 run = last = row
         columns = [[*(m[0] for m in members), *(p[0] for p in pairs)], [*(m[1] for m in members), *(p[1] for p in pairs)], [*(m[2] for m in members), *(p[2] for p in pairs)]]
         columns += [[None] * len(members) + [p[i] for p in pairs] for i in (3, 4, 5)]
