@@ -51,7 +51,7 @@ def anchors(order: np.ndarray, begin: int, end: int, how: Paragraphs) -> np.ndar
 
     Documents shorter than a paragraph have none; shorter than a paragraph and a gap, one.
     """
-    places = order[begin : end - how.length + 1]
+    places = order[begin : max(begin, end - how.length + 1)]
     if not len(places):
         return np.zeros(0, np.int64)
     if len(places) <= how.gap:
