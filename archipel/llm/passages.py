@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: MinHash banding of anchored paragraphs."""
+"""Passages that repeat across documents: prefix filtering of anchored paragraphs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,15 @@ class Paragraphs:
     gap: int = 20
     width: int = 5
     threshold: int = 80  # percent
-    bands: int = 2  # pairs of similarity 0.9 meet with probability 0.96, equal paragraphs always
-    rows: int = 2
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """Sets of similarity `threshold` share one of so many least members: of n, all but `threshold` percent are needed, and one more."""
+        return n + (-n * self.threshold) // 100 + 1
+
+    @property
+    def apart(self) -> int:
+        """The most members that only one of two similar sets has."""
+        return 2 * (self.length - self.width + 1) * (100 - self.threshold) // (100 + self.threshold)
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -63,84 +71,155 @@ def anchors(order: np.ndarray, begin: int, end: int, how: Paragraphs) -> np.ndar
     return begin + np.flatnonzero(places == reach)
 
 
+def _cut(texts: pa.Array, how: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs of the texts: text, place among its words, and hash of each; and the hashes of all shingles, moved to where paragraphs begin."""
+    hashes, begins = word_hashes(texts)
+    # Anchors depend on three words only, so passages anchor alike up to their edges.
+    order = _runs(hashes, 3)
+    order = np.append(order, np.full(len(hashes) - len(order), np.iinfo(np.uint64).max, dtype=np.uint64))
+    found = [anchors(order, lo, hi, how) for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    at = np.concatenate([*found, np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    whole = np.zeros(len(at), dtype=np.uint64)
+    for k in range(how.length):
+        whole = mixed(whole + hashes[at + k])
+    shingles = _runs(hashes, how.width)
+    return owner, at - begins[:-1][owner], whole, np.lib.stride_tricks.sliding_window_view(shingles, how.length - how.width + 1)[at] if len(at) else np.zeros((0, how.length - how.width + 1), np.uint64)
+
+
+def _distinct(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each row in order, and which are the first of their value."""
+    items = np.sort(items, axis=1)
+    return items, np.column_stack([np.ones(len(items), bool), items[:, 1:] != items[:, :-1]])
+
+
+def _parity(items: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
+    """`bits` parities of each set's members: two sets differ in no more bits than members."""
+    one = np.left_shift(np.uint64(1), items % np.uint64(bits))
+    return np.bitwise_xor.reduce(np.where(first, one, np.uint64(0)), axis=1)
+
+
 def _paragraph_rows(how: Paragraphs):
-    """Entries (band key, paragraph hash, doc, pos), one for each distinct paragraph of a slice, and members: paragraphs that repeat within it."""
+    """Entries (key, whole, doc, pos): a key is one of a paragraph's least shingles in its upper half, and 32 parities of the shingles in its lower.
+
+    The entries of the least shingle have the place and list every paragraph; in the others
+    pos is -1, and of a paragraph that repeats within a slice they have the least and the
+    greatest document.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, 4 << 20):
                 docs = part.column(0).to_numpy(zero_copy_only=False)
-                hashes, begins = word_hashes(part.column(1))
-                shingles = _runs(hashes, how.width)
-                n_shingles = how.length - how.width + 1
-                # Anchors depend on three words only, so passages anchor alike up to their edges.
-                order = _runs(hashes, 3)
-                order = np.append(order, np.full(len(hashes) - len(order), np.iinfo(np.uint64).max, dtype=np.uint64))
-                found = [anchors(order, lo, hi, how) for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-                at = np.concatenate([*found, np.zeros(0, np.int64)])
-                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                whole = np.zeros(len(at), dtype=np.uint64)
-                least = [np.full(len(at), np.iinfo(np.uint64).max, dtype=np.uint64) for _ in range(how.bands * how.rows)]
-                factors = [np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15 >> 8) | np.uint64(1) for k in range(7, 7 + len(least))]
-                for k in range(how.length):
-                    whole = mixed(whole + hashes[at + k])
-                for k in range(n_shingles):
-                    own = shingles[at + k]
-                    for i, factor in enumerate(factors):
-                        np.minimum(least[i], own * factor, out=least[i])
-                doc, pos = docs[owner], (at - begins[:-1][owner]).astype(np.int64)
-                order_in = np.lexsort((pos, doc, whole))
-                first = np.append(True, whole[order_in][1:] != whole[order_in][:-1])
-                many = ~(first & np.append(first[1:], True))
-                repeats, kept = order_in[many], order_in[first]
-                out = [(np.zeros(len(repeats), np.int64), whole[repeats], doc[repeats], pos[repeats], np.zeros(len(repeats), bool))]
-                for band in range(how.bands):
-                    key = np.full(len(kept), band, dtype=np.uint64)
-                    for i in range(band * how.rows, (band + 1) * how.rows):
-                        key = mixed(key + least[i][kept])
-                    out.append((key.view(np.int64), whole[kept], doc[kept], pos[kept], np.ones(len(kept), bool)))
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                # Members need no company: spread them over all partitions.
-                columns[0] = np.where(columns[4], columns[0], mixed(columns[1] + columns[2].astype(np.uint64) + columns[3].astype(np.uint64)).view(np.int64))
-                columns[1] = columns[1].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "whole", "doc", "pos", "entry"])
+                owner, pos, whole, items = _cut(part.column(1), how)
+                doc = docs[owner]
+                order = np.lexsort((pos, doc, whole))
+                doc, pos, whole = doc[order], pos[order], whole[order]
+                same = np.append(False, whole[1:] == whole[:-1])
+                last = np.append(~same[1:], True)[: len(same)]
+                heads = np.flatnonzero(~same[: len(whole)])
+                least = doc[heads[np.cumsum(~same[: len(whole)]) - 1]] if len(whole) else doc
+                ends = ~same[: len(whole)] | (last & (doc != least))
+                for lo in range(0, len(order), 16384):
+                    here = slice(lo, lo + 16384)
+                    own, first = _distinct(items[order[here]])
+                    low = _parity(own, first, 32)
+                    rank = np.cumsum(first, axis=1) - 1
+                    used = first & (rank < how.prefix(first.sum(axis=1))[:, None])
+                    used &= (rank == 0) | ends[here][:, None]
+                    row, col = np.nonzero(used)
+                    key = (mixed(own[row, col]) >> np.uint64(32) << np.uint64(32)) | low[row]
+                    places = np.where(col == 0, pos[here][row], -1)
+                    columns = [key.view(np.int64), whole[here][row].view(np.int64), doc[here][row].astype(np.int64), places.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "whole", "doc", "pos"])
 
     return rows
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, whole, doc, pos: members of equal paragraphs, and pairs of unequal ones of different documents that share a key.
+def _in_groups(group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """All pairs i < j of rows of one group (groups lie together); groups of more than `most` rows are given as ranges instead."""
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(group)))
+    large = sizes > most
+    ahead = np.repeat(np.where(large, 0, starts + sizes), sizes) - np.arange(len(group)) - 1
+    ahead = np.maximum(0, ahead)
+    left = np.repeat(np.arange(len(group)), ahead)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+    return left, right, list(zip(starts[large].tolist(), (starts + sizes)[large].tolist(), strict=True))
 
-    Paragraphs of one document overlap and so share most keys; they say nothing about other documents.
 
-    A stream with constant memory: remembers the first entry of the bucket, and the first and
-    the latest entry of the current paragraph.
-    """
-    key = None
-    bucket = run = last = None
+def _apart(lo: np.ndarray, hi: np.ndarray, i, j) -> np.ndarray:
+    """Whether two paragraphs are found in different documents: not both in one and the same only."""
+    return np.minimum(lo[i], lo[j]) < np.maximum(hi[i], hi[j])
+
+
+def _forest(lo: int, hi: int, near) -> list[tuple[int, int]]:
+    """A spanning forest of the rows lo..hi: each row is tested against all later ones that are not yet in its tree. near(i, rows) gives those linked to i."""
+    labels, out = np.arange(lo, hi), []
+    for i in range(lo, hi - 1):
+        open_rows = i + 1 + np.flatnonzero(labels[i + 1 - lo :] != labels[i - lo])
+        if len(open_rows):
+            linked = near(i, open_rows)
+            if len(linked):
+                trees, at = np.unique(labels[linked - lo], return_index=True)
+                out += [(i, j) for j in linked[at].tolist()]
+                labels[np.isin(labels, trees)] = labels[i - lo]
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], of, least: int = 1 << 17) -> Iterator[pa.Table]:
+    """Batches sorted by a group, cut anew so that none is divided; of(batch) gives the group of each row."""
+    held, n, tail = [], 0, None
     for batch in batches:
-        members, pairs = [], []
-        for k, whole, doc, pos, entry in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            row = (whole, doc, pos)
-            if not entry:
-                members.append(row)
-                continue
-            if k != key:
-                key, bucket, run, last = k, row, row, row
-            elif whole == run[0]:
-                if last is run:
-                    members.append(run)
-                members.append(row)
-                last = row
-            else:
-                if doc != bucket[1]:
-                    pairs.append((*bucket, *row))
-                if run is not bucket and doc != last[1]:
-                    pairs.append((*last, *row))
-                run = last = row
-        columns = [[*(m[0] for m in members), *(p[0] for p in pairs)], [*(m[1] for m in members), *(p[1] for p in pairs)], [*(m[2] for m in members), *(p[2] for p in pairs)]]
-        columns += [[None] * len(members) + [p[i] for p in pairs] for i in (3, 4, 5)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["whole", "doc", "pos", "whole2", "doc2", "pos2"])
+        if not batch.num_rows:
+            continue
+        group = of(batch)
+        starts = np.flatnonzero(np.append(tail is None or group[0] != tail, group[1:] != group[:-1]))
+        if n + batch.num_rows >= least and len(starts) and (starts[-1] or held):
+            cut = int(starts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)], batch.schema)
+            held, n = [], 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+        tail = group[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meetings(how: Paragraphs, most: int = 64):
+    """Of entries sorted by key, whole, doc, pos: members of equal paragraphs, and possible links between unequal ones that share a key.
+
+    All distinct paragraphs of a key are compared by their parities, which drop no pair of
+    the wanted similarity; of a large crowd only a spanning forest of the possible links is given.
+    """
+
+    def bucket(batch) -> np.ndarray:
+        return batch.column(0).to_numpy() >> 32
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, bucket):
+            key, whole, doc, pos = (table.column(c).to_numpy() for c in range(4))
+            new = np.append(True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]))
+            node = np.cumsum(new) - 1
+            listed = np.flatnonzero(pos >= 0)
+            member = listed[np.bincount(node[listed], minlength=node[-1] + 1)[node[listed]] > 1]
+            heads = np.flatnonzero(new)
+            name, low, high = whole[heads], doc[heads], doc[np.append(heads[1:], len(key)) - 1]
+            marks = (key[heads] & 0xFFFFFFFF).astype(np.uint32)
+            i, j, crowds = _in_groups(key[heads] >> 32, most)
+            kept = (np.bitwise_count(marks[i] ^ marks[j]) <= how.apart) & (name[i] != name[j]) & _apart(low, high, i, j)
+            links = [np.column_stack([i[kept], j[kept]])]
+            for begin, end in crowds:
+                forest = _forest(begin, end, lambda i, rows: rows[(np.bitwise_count(marks[i] ^ marks[rows]) <= how.apart) & (name[i] != name[rows]) & _apart(low, high, i, rows)])
+                links.append(np.array(forest, dtype=np.int64).reshape(-1, 2))
+            a, b = np.concatenate(links).T
+            none = pa.nulls(len(member), pa.int64())
+            columns = [pa.chunked_array([pa.array(whole[member]), pa.array(name[a])]), pa.chunked_array([pa.array(doc[member]), pa.array(low[a])]), pa.chunked_array([pa.array(pos[member]), pa.nulls(len(a), pa.int64())])]
+            columns += [pa.chunked_array([none, pa.array(c)]) for c in (high[a], name[b], low[b], high[b])]
+            yield from pa.table(columns, ["whole", "doc", "pos", "high", "whole2", "doc2", "high2"]).combine_chunks().to_batches()
+
+    return meetings
 
 
 def _contents(how: Paragraphs):
@@ -148,30 +227,85 @@ def _contents(how: Paragraphs):
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1, 8 << 20):
-                hashes, begins = word_hashes(part.column(1))
-                shingles = _runs(hashes, how.width).view(np.int64)
-                doc, pos, items = [], [], []
-                for i, (own, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    for p in places:
-                        if p + how.length <= begins[i + 1] - begins[i]:
-                            doc.append(own)
-                            pos.append(p)
-                            items.append(np.unique(shingles[begins[i] + p : begins[i] + p + how.length - how.width + 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc", "pos", "items"])
+            for part in text_slices(batch, 1, 4 << 20):
+                owner, pos, whole, items = _cut(part.column(1), how)
+                asked = part.column(2)
+                wanted = set(zip(np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(asked))).tolist(), pc.list_flatten(asked).to_pylist(), strict=True))
+                kept = np.array([(o, w) in wanted for o, w in zip(owner.tolist(), whole.view(np.int64).tolist(), strict=True)], dtype=bool)
+                flat = np.ascontiguousarray(items[kept])
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * flat.shape[1]), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+                docs = part.column(0).to_numpy(zero_copy_only=False)[owner[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(whole[kept].view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(pos[kept].astype(np.int64)), packed], ["whole", "doc", "pos", "items"])
 
     return contents
 
 
+def _similar(items: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray, how: Paragraphs, step: int = 16384) -> np.ndarray:
+    """Whether the sets of rows i and j have the wanted Jaccard similarity."""
+    out = [np.zeros(0, bool)]
+    for lo in range(0, len(i), step):
+        a, b = i[lo : lo + step], j[lo : lo + step]
+        both, distinct = _distinct(np.concatenate([items[a], items[b]], axis=1))
+        union = distinct.sum(axis=1)
+        out.append(100 * (first[a].sum(axis=1) + first[b].sum(axis=1) - union) >= how.threshold * union)
+    return np.concatenate(out)
+
+
+def _links(how: Paragraphs, most: int = 64):
+    """Of paragraphs sorted by crowd, with shingles: links that join all similar ones."""
+
+    def crowd_of(batch) -> np.ndarray:
+        return batch.column(0).to_numpy()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, crowd_of, 1 << 14):
+            crowd, whole, low, high = (table.column(c).to_numpy() for c in range(4))
+            items = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(crowd), -1)
+            items, first = _distinct(items)
+            marks = _parity(items, first, 64)
+            # Within a crowd too, similar sets share one of their least members.
+            rank = np.cumsum(first, axis=1) - 1
+            row, col = np.nonzero(first & (rank < how.prefix(first.sum(axis=1))[:, None]))
+            member = items[row, col]
+            order = np.lexsort((row, member, crowd[row]))
+            row, member = row[order], member[order]
+            new = np.append(True, (member[1:] != member[:-1]) | (crowd[row[1:]] != crowd[row[:-1]]))
+            i, j, crowds = _in_groups(np.cumsum(new), most)
+            i, j = row[i], row[j]
+            kept = (np.bitwise_count(marks[i] ^ marks[j]) <= how.apart) & _apart(low, high, i, j)
+            i, j = np.unique(np.column_stack([i[kept], j[kept]]), axis=0).T
+            real = _similar(items, first, i, j, how)
+            found = [np.column_stack([i[real], j[real]])]
+
+            for begin, end in crowds:
+                own = row[begin:end]
+
+                def near(i: int, rows: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+                    mine, others = own[i], own[rows]
+                    kept = (np.bitwise_count(marks[mine] ^ marks[others]) <= how.apart) & _apart(low, high, mine, others)
+                    rows, others = rows[kept], others[kept]
+                    return rows[_similar(items, first, np.full(len(rows), mine), others, how)]
+
+                forest = np.array(_forest(0, len(own), near), dtype=np.int64).reshape(-1, 2)
+                found.append(own[forest])
+            a, b = np.concatenate(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(whole[a]), pa.array(whole[b])], ["a", "b"])
+
+    return links
+
+
 def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, n_words, cluster_id, kept) of every passage that other documents share.
 
     Text runs on across lines, so paragraphs are not lines here: a paragraph is `how.length`
-    words from a content-defined anchor, and any shared run of 51 words holds one. Every
-    paragraph has `how.bands` MinHash keys over its five-word shingles. Paragraphs that
-    share a key meet in one sorted stream: equal ones are members of the same cluster
-    without further proof (128 bits agree), unequal ones are confirmed by the exact Jaccard
-    similarity of their shingles, against the first of their bucket and their neighbour.
+    words from a content-defined anchor, and any shared run of 51 words holds one. Equal
+    paragraphs are members of the same cluster without further proof (64 bits of hash and
+    32 parities agree). Unequal ones are found by prefix filtering, which misses none:
+    sets of five-word shingles whose exact Jaccard similarity reaches `how.threshold`
+    share one of their least members. All paragraphs with such a member in common are
+    compared by parities, which only drop pairs below the threshold; what is left joins to
+    crowds, and within a crowd all that are not yet linked are compared by their full sets.
+    Paragraphs that are both in one and the same document only are not compared.
     Clusters are the components of confirmed links. Overlapping paragraphs of a document
     join to passages; `start` and `n_words` count words. In each cluster the least document
     keeps its passage (`kept`), the others' are for removal. `cluster_id` is the least
@@ -183,19 +317,22 @@ def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: s
     """
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(_paragraph_rows(how), "key long, whole long, doc long, pos long, entry boolean")
-    met = rows.repartition(max(8, shuffle_width(spark)), "key").sortWithinPartitions("key", "whole", "doc", "pos").mapInArrow(_meetings, "whole long, doc long, pos long, whole2 long, doc2 long, pos2 long")
+    rows = source.mapInArrow(_paragraph_rows(how), "key long, whole long, doc long, pos long")
+    width = max(8, shuffle_width(spark))
+    met = rows.repartition(width, F.shiftright("key", 32)).sortWithinPartitions("key", "whole", "doc", "pos").mapInArrow(_meetings(how), "whole long, doc long, pos long, high long, whole2 long, doc2 long, high2 long")
     met = written(met, "met")
-    pairs = written(met.where("whole2 is not null").distinct(), "paragraph-pairs")
-    wanted = pairs.select("doc", "pos").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos"))).distinct().groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    wanted = written(wanted, "wanted")
+    possible = met.where("whole2 is not null")
+    ends = possible.select("whole", "doc", "high").unionByName(possible.select(F.col("whole2").alias("whole"), F.col("doc2").alias("doc"), F.col("high2").alias("high")))
+    nodes = written(ends.groupBy("whole").agg(F.min("doc").alias("low"), F.max("high").alias("high")), "near-nodes")
+    crowds = written(components(possible.select(F.col("whole").alias("a"), F.col("whole2").alias("b"))), "crowds")
+    wanted = written(nodes.groupBy(F.col("low").alias("doc")).agg(F.collect_list("whole").alias("wholes")), "wanted")
     asked = pick(source, "doc", written(wanted.select("doc"), "ids"), "left_semi").join(wanted, "doc")
-    items = written(asked.select("doc", "text", "places").mapInArrow(_contents(how), "doc long, pos long, items array<long>").dropDuplicates(["doc", "pos"]), "paragraph-items")
-    both = pairs.join(items.withColumnRenamed("items", "x"), ["doc", "pos"]).join(items.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("items").alias("y")), ["doc2", "pos2"])
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = written(both.where(100 * shared >= how.threshold * (F.size("x") + F.size("y") - shared)).drop("x", "y"), "paragraph-links")
-    of_whole = written(components(linked.select(F.col("whole").alias("a"), F.col("whole2").alias("b"))), "clusters")
-    members = met.where("whole2 is null").select("whole", "doc", "pos").unionByName(linked.select("whole", "doc", "pos")).unionByName(linked.select(F.col("whole2").alias("whole"), F.col("doc2").alias("doc"), F.col("pos2").alias("pos"))).distinct()
+    items = written(asked.select("doc", "text", "wholes").mapInArrow(_contents(how), "whole long, doc long, pos long, items binary"), "paragraph-items")
+    sets = items.dropDuplicates(["whole"]).join(nodes.select("whole", "low", "high"), "whole").join(crowds, F.col("whole") == F.col("id")).select("component", "whole", "low", "high", "items")
+    linked = written(sets.repartition(width, "component").sortWithinPartitions("component", "whole").mapInArrow(_links(how), "a long, b long"), "paragraph-links")
+    of_whole = written(components(linked), "clusters")
+    near = items.select("whole", "doc", "pos").join(of_whole.select(F.col("id").alias("whole")), "whole", "left_semi")
+    members = met.where("whole2 is null").select("whole", "doc", "pos").unionByName(near).distinct()
     members = written(members.join(of_whole, F.col("whole") == F.col("id"), "left").select("doc", "pos", F.coalesce("component", "whole").alias("cluster")), "members")
     keepers = written(members.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("doc").alias("other")).where("keeper < other").drop("other"), "keepers")
     marked = members.join(keepers, "cluster").withColumn("kept", F.col("doc") == F.col("keeper"))
@@ -203,5 +340,5 @@ def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: s
     fresh = F.coalesce((F.col("pos") > F.lag("pos").over(in_order) + how.length).cast("int"), F.lit(1))
     islands = marked.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     out = islands.groupBy("doc", "kept", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + how.length).alias("n_words"), F.min("cluster").alias("cluster_id"))
-    drop_written(pairs, items)
+    drop_written(nodes, crowds, items)
     return out.select(F.col("doc").alias("doc_id"), "start", "n_words", "cluster_id", "kept")
