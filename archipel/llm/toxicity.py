@@ -25,10 +25,11 @@ class Training:
     per_label: int = 1500
     buckets: int = 1 << 20
     dim: int = 4
-    grams: tuple[int, ...] = (4, 5)
+    grams: tuple[int, ...] = (3, 4, 5)
     rounds: int = 200
     rate: float = 0.5
-    least_sure: float = 6.0
+    least_sure: float = 2.0  # an embedding begins at half its log-odds where its z is this, nearer to them above
+    decay: float = 1e-5  # pulls embeddings to where they began
     seed: int = 11
 
 
@@ -82,8 +83,8 @@ def fit(texts: list[str], labels: np.ndarray, how: Training = Training()) -> tup
     """The logit that each subword bucket adds to a text (averaged over its words), and the bias.
 
     A word is the mean of its subwords' embeddings, a text the mean of its words; a linear
-    softmax reads the label from it. Embeddings begin at the log-odds of their subword, and
-    at zero where these could be chance; then embeddings, weights and bias are trained
+    softmax reads the label from it. Embeddings begin at the log-odds of their subword,
+    shrunk where these could be chance, and a decay keeps rare ones near there; then embeddings, weights and bias are trained
     together by Adam on the mean cross-entropy, both labels weighing the same. With one
     label only, the answer is that label for any text; without texts, every score is a half.
     """
@@ -97,32 +98,28 @@ def fit(texts: list[str], labels: np.ndarray, how: Training = Training()) -> tup
     doc_of, word_of = pair // len(words), pair % len(words)
     buckets, n_sub = subwords(words, how)
     odds, sure = _evidence(word_of, np.bincount(doc_of, minlength=len(texts)), buckets, n_sub, labels, how)
-    used = np.flatnonzero(np.abs(sure) >= how.least_sure)
-    slot = np.full(how.buckets, -1)
-    slot[used] = np.arange(len(used))
-    # Only words with a used subword move a text; features[i]: (text, used bucket) with its share of the text.
+    used, slot = np.unique(buckets, return_inverse=True)
     sub_word = np.repeat(np.arange(len(words)), n_sub)
-    live = slot[buckets] >= 0
-    per_word = np.bincount(sub_word[live], minlength=len(words))
-    first = np.cumsum(per_word) - per_word
-    reach = per_word[word_of]
-    feature = ragged_take(slot[buckets[live]], first[word_of], reach)
-    text_of = np.repeat(doc_of, reach)
-    share = np.repeat(count / n_words[doc_of] / n_sub[word_of], reach)
+    part = 1 / n_sub[sub_word]
+    share = count / n_words[doc_of]
     rng = np.random.default_rng(how.seed)
     weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
-    params = [odds[used, None] * rng.normal(1, 0.1, how.dim), np.column_stack([-np.ones(how.dim), np.ones(how.dim)]) / how.dim, np.zeros(2)]
+    begin = odds[used] * sure[used] ** 2 / (sure[used] ** 2 + how.least_sure**2)
+    params = [begin[:, None] * rng.normal(1, 0.1, how.dim), np.column_stack([-np.ones(how.dim), np.ones(how.dim)]) / how.dim, np.zeros(2)]
+    origin = params[0].copy()
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2)[labels]
     for step in range(1, how.rounds + 1):
         table, out, bias = params
-        means = np.column_stack([np.bincount(text_of, weights=table[feature, d] * share, minlength=len(texts)) for d in range(how.dim)])
+        of_word = [np.bincount(sub_word, weights=table[slot, d] * part, minlength=len(words)) for d in range(how.dim)]
+        means = np.column_stack([np.bincount(doc_of, weights=w[word_of] * share, minlength=len(texts)) for w in of_word])
         logits = means @ out + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
         wrong = (chance - target) * weight
         back = wrong @ out.T
-        slope = np.column_stack([np.bincount(feature, weights=back[text_of, d] * share, minlength=len(used)) for d in range(how.dim)])
+        to_word = [np.bincount(word_of, weights=back[doc_of, d] * share, minlength=len(words)) for d in range(how.dim)]
+        slope = np.column_stack([np.bincount(slot, weights=w[sub_word] * part, minlength=len(used)) for w in to_word]) + how.decay * (table - origin)
         for p, g, (m, v) in zip(params, [slope, means.T @ wrong, wrong.sum(axis=0)], moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
