@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,22 @@ def drop_written(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, and at the end, memory that the last one took goes back to the system.
+
+    Python workers outlive their tasks, and both Arrow's and the C library's allocators keep what was freed.
+    """
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        trim = lambda _: 0
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else untouched (`lower` would also fold letters outside ASCII)."""
     plain = F.octet_length(text) == F.char_length(text)

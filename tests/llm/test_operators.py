@@ -89,14 +89,23 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_lines(spark, broadcast_keys):
     shared = "This line is boilerplate that is long enough to count."
     texts = [(i, f"own {i}\n  {shared.upper() if i % 2 else shared} \nend") for i in range(6)]
     texts += [(6, None), (7, ""), (8, shared[:20]), (9, f"{shared}\n{shared}"), (9, f"{shared}\n{shared}"), (None, shared)]
-    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in dedup_lines(table(spark, texts)).collect()]
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in dedup_lines(table(spark, texts), broadcast_keys=broadcast_keys).collect()]
     want = [(i, 3, 1, f"own {i}\nend") for i in range(6)] + [(6, 1, 0, ""), (7, 1, 0, ""), (8, 1, 0, shared[:20]), *[(9, 2, 0, f"{shared}\n{shared}")] * 2, (None, 1, 0, shared)]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert dedup_lines(table(spark, [])).count() == 0
+    assert dedup_lines(table(spark, []), broadcast_keys=broadcast_keys - 1).count() == 0
+
+
+def test_keys_that_agree_in_half_are_told_apart():
+    from archipel.llm.line_dedup import SharedKeys
+
+    known = SharedKeys(np.array([5, 5, 5, 9]), np.array([1, 3, 2, 1]), np.array([7, 8, 9, 7]))
+    assert known.goes(np.array([5, 5, 5, 9, 4]), np.array([3, 3, 4, 1, 1]), np.array([8, 1, 1, 1, 1])).tolist() == [False, True, False, True, False]
+    assert not SharedKeys(*[np.zeros(0, np.int64)] * 3).goes(np.array([1]), np.array([1]), np.array([1])).any()
 
 
 def test_toxicity_learns_and_meets_unseen_spellings(spark):
