@@ -64,28 +64,41 @@ def _matrix_times(matrix: list[int], vector: int) -> int:
     return out
 
 
-def _squared(matrix: list[int]) -> list[int]:
-    return [_matrix_times(matrix, row) for row in matrix]
+def _zero_bytes() -> list[list[int]]:
+    """operators[k]: what 2**k zero bytes do to a CRC-32, as a matrix of 32 columns over GF(2); each is the one before, twice."""
+    step = [_CRC32_STEP, *(1 << i for i in range(31))]
+    out = []
+    for k in range(3 + 44):
+        if k >= 3:
+            out.append(step)
+        step = [_matrix_times(step, column) for column in step]
+    return out
 
 
-def crc32_joined(left: int, right: int, right_length: int) -> int:
-    """The CRC-32 of two parts end to end: `left` is moved over the length of the right part by squaring its zero-bit matrix."""
-    step = [_CRC32_STEP, *(1 << i for i in range(31))]
-    bits = 8 * right_length
-    while bits:
-        if bits & 1:
-            left = _matrix_times(step, left)
-        step, bits = _squared(step), bits >> 1
-    return left ^ right
+_ZERO_BYTES = _zero_bytes()
 
 
-def _fold(parts: list[dict]) -> int:
+def joined_crc32(crcs: list[int], lengths: list[int]) -> int:
+    """The CRC-32 of parts end to end, from the CRC-32 and byte length of each: what came before moves over the zeros that the part's bytes stand for."""
     total = 0
-    for part in sorted(parts, key=lambda p: p["i"]):
-        total = crc32_joined(total, part["crc"], part["length"])
+    for crc, length in zip(crcs, lengths, strict=True):
+        for k in range(length.bit_length() if total else 0):
+            if length >> k & 1:
+                total = _matrix_times(_ZERO_BYTES[k], total)
+        total ^= crc
     return total
 
 
+def crc32_joined(left: int, right: int, right_length: int) -> int:
+    """The CRC-32 of two parts end to end."""
+    return joined_crc32([left, right], [0, right_length])
+
+
+def _fold(parts: list[dict]) -> int:
+    ordered = sorted(parts, key=lambda p: p["i"])
+    return joined_crc32([p["crc"] for p in ordered], [p["length"] for p in ordered])
+
+
 crc64 = arrow_kernel(crc64_bytes, "binary")
 xxh64 = arrow_kernel(xxh64_bytes, "binary")
 bzip2_crc = arrow_kernel(bzip2_crc_of, "long")
