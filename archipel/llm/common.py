@@ -103,6 +103,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def width_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
+    """Partitions for a shuffle of what `df` holds: the session's number, or more where the plan's estimate of its size asks for them.
+
+    The estimate needs no pass over the data; it sets how finely work is cut and never what comes out.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 55 else 0  # sources without statistics claim the largest number
+    return max(least, shuffle_width(df.sparkSession), -(-known // bytes_each))
+
+
 #: So many ids (16 MB) are broadcast; more meet their rows in a shuffle join.
 BROADCAST_IDS = 2_000_000
 

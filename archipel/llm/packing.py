@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archipel.llm.common import written
+from archipel.llm.common import tidied, written
 from archipel.llm.token_memo import memo, text_slices
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -25,7 +25,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = memo(tokenizer)
-        for batch in batches:
+        for batch in tidied(batches):
             for part in text_slices(batch, 1):
                 ids, number, start, length, crc, raw = [], [], [], [], [], []
                 tokens, begins = encode.encode(part.column(1))

@@ -14,14 +14,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archipel.llm.token_memo import text_slices
+from archipel.llm.common import tidied
+from archipel.llm.token_memo import MEMO_BYTES, Recent, text_slices
 
 #: Fixed values of the vocabulary's format: what its normaliser takes for white space, and how texts are cut into pre-tokens.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts that need more care than Arrow's cuts give: control characters that only Python takes for white space, a comma or full stop after another mark.
 _ODD = r"[\x1c-\x1fİ]|[^\p{L}\p{N} \n][,.]"
-_COUNTERS: dict[tuple, WordBpeCounter] = {}
+_COUNTERS: dict[str, WordBpeCounter] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -40,7 +41,7 @@ def _normal(piece: str) -> str:
 class WordBpeCounter:
     """How many symbols are left of a text, for a byte-level BPE vocabulary with word ends."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int = MEMO_BYTES):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, merges, end = spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"] or ""
@@ -55,8 +56,7 @@ class WordBpeCounter:
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.limit = limit
-        self.known: dict[str, int] = {}
+        self.known = Recent(most_bytes)
 
     def _rank(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """The rank of the pair that begins at each symbol; len(merged) where none does."""
@@ -101,16 +101,16 @@ class WordBpeCounter:
 
     def of_pieces(self, pieces: list[str]) -> np.ndarray:
         """Token counts of pieces without white space. Composing and lower-casing never reach across white space."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            cut = [_PRE_TOKEN.findall(_normal(p)) for p in new]
+        found = self.known.find(pieces)
+        missing = [i for i, n in enumerate(found) if n is None]
+        if missing:
+            cut = [_PRE_TOKEN.findall(_normal(pieces[i])) for i in missing]
             distinct = list({t for own in cut for t in own})
             count = dict(zip(distinct, self.merge([t.encode() for t in distinct]).tolist(), strict=True))
-            known.update((p, sum(count[t] for t in own)) for p, own in zip(new, cut, strict=True))
-        return np.array([known[p] for p in pieces], dtype=np.int64)
+            for i, own in zip(missing, cut, strict=True):
+                found[i] = sum(count[t] for t in own)
+                self.known.put(pieces[i], found[i], 32)
+        return np.array(found, dtype=np.int64)
 
     def _slow(self, text: str) -> int:
         parts = self.special.split(text) if self.special else [text]
@@ -153,7 +153,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(tokenizer)
-        for batch in batches:
+        for batch in tidied(batches):
             for part in text_slices(batch, 1):
                 n_bytes = pc.fill_null(pc.binary_length(part.column(1)).cast(pa.int64()), 0)
                 n_tokens = of.counts(part.column(1))

@@ -29,14 +29,14 @@ _CUT = re.compile(r" (?=\S)")
 _GAP = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"<\||\x02| (?:[{_GAP}]|\z)|\n(?:[{_GAP}]|\z)|[{_GAP}]\n|\A[\n,.]|[^\p{{L}}\p{{N}}][,.]"
 #: One memo a process and vocabulary; Python workers are reused between tasks.
-_MEMOS: dict[tuple, PieceMemo] = {}
+_MEMOS: dict[str, PieceMemo] = {}
 
 
 def _text(value: str) -> pa.Scalar:
     return pa.scalar(value, pa.large_string())
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts hold about `most_bytes` at most (one text may hold more).
 
     Slices are copies: some of Arrow's string functions read sliced columns from the wrong place.
@@ -56,31 +56,54 @@ def ragged_take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return values[at]
 
 
+class Recent:
+    """What was met lately, in at most `most_bytes`: two halves, of which the older goes when the newer is full. What is found there moves on."""
+
+    def __init__(self, most_bytes: int):
+        self.now: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.half, self.held = most_bytes // 2, 0
+
+    def find(self, keys: list[str]) -> list:
+        """The value of each key; None for unknown ones."""
+        found = list(map(self.now.get, keys))
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = value
+                    self.put(keys[i], value, 8)
+        return found
+
+    def put(self, key: str, value, size: int) -> None:
+        if self.held > self.half:
+            self.now, self.old, self.held = {}, self.now, 0
+        self.now[key] = value
+        self.held += len(key) + size + 200  # what the objects and the table's slots take besides
+
+
 class PieceMemo:
     """Piece -> ids. A key stands for the piece after a space, or for the start of a text if it begins with a mark."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(most_bytes)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_pieces(self, keys: list[str]) -> list[bytes]:
         """The ids of each key."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        found = list(map(self.known.get, keys))
+        found = self.known.find(keys)
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
             new = [keys[i] for i in missing]
             for i, key, ids in zip(missing, new, self.library([k[1:] if k[0] == _FIRST else " " + k for k in new]), strict=True):
-                self.known[key] = found[i] = ids
+                found[i] = ids
+                self.known.put(key, ids, len(ids))
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +142,11 @@ class PieceMemo:
         return np.concatenate([*out, ids[begins[last] :]]), np.append(0, np.cumsum(lengths))
 
 
-def memo(path: str, limit: int = 1_000_000) -> PieceMemo:
-    key = (path, limit)
-    if key not in _MEMOS:
-        _MEMOS[key] = PieceMemo(path, limit)
-    return _MEMOS[key]
+#: Bytes that a worker process keeps of pieces.
+MEMO_BYTES = 64 << 20
+
+
+def memo(path: str) -> PieceMemo:
+    if path not in _MEMOS:
+        _MEMOS[path] = PieceMemo(path, MEMO_BYTES)
+    return _MEMOS[path]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archipel.llm.common import tidied
 from archipel.llm.minhash import mixed
 from archipel.llm.token_memo import ragged_take, text_slices
 
@@ -173,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None =
     at = base.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for part in text_slices(batch, at):
                 own = scores(part.column(at), weights, bias, how)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array((own >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"])
