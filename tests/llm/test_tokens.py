@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
 
-from archipel.llm.content_store import cut_points, joined_crc, merkle_root, store_and_read, write_store
+from archipel.functions.checksums import joined_crc32
+from archipel.llm.content_store import cut_points, merkle_root, store_and_read, write_store
 from archipel.llm.packing import pack_documents, plan_bins
 from archipel.llm.token_counts import count_tokens, counter
 from archipel.llm.token_memo import memo
@@ -117,13 +118,55 @@ def test_store_keeps_each_chunk_once_and_notices_damage(spark, docs, tmp_path):
     manifest = spark.read.parquet(places["manifest"])
     assert manifest.agg(F.sum("n_docs")).first()[0] == len(rows())
     bad = chunks.withColumn("bytes", F.lit(chunks.orderBy(F.octet_length("bytes")).first()["bytes"]))
-    bad.write.partitionBy("kind").parquet(str(tmp_path / "bad"))
+    bad.write.parquet(str(tmp_path / "bad"))
     with pytest.raises(Exception, match="damaged"):
         read_documents(spark, places | {"chunks": str(tmp_path / "bad")}).collect()
 
 
+def test_store_gives_the_ids_back_and_notices_changed_recipes_and_lost_chunks(spark, docs, tmp_path):
+    from archipel.llm.content_store import read_documents, read_ids
+
+    places = write_store(docs, str(tmp_path / "store"), BYTE)
+    got = sorted((r["doc_id"], r["ids"]) for r in read_ids(spark, places).collect())
+    assert got == sorted((i, true_ids(t)) for i, t, *_ in rows())
+    recipes = spark.read.parquet(places["recipes"])
+    one = recipes.where("doc_id = 8").first()["hashes"]
+    changes = {
+        "hashes": F.when(F.col("doc_id") == 4, F.lit(one)).otherwise(F.col("hashes")),
+        "n": F.when(F.col("doc_id") == 4, 2).otherwise(F.col("n")),
+        "doc_id": F.when(F.col("doc_id") == 4, 5000).otherwise(F.col("doc_id")),
+    }
+    for column, change in changes.items():
+        recipes.withColumn(column, change.cast(recipes.schema[column].dataType)).write.parquet(str(tmp_path / column))
+        with pytest.raises(ValueError, match="manifest"):
+            read_documents(spark, places | {"recipes": str(tmp_path / column)})
+    recipes.where("doc_id <> 4").write.parquet(str(tmp_path / "fewer"))
+    with pytest.raises(ValueError, match="manifest"):
+        read_documents(spark, places | {"recipes": str(tmp_path / "fewer")})
+    manifest = spark.read.parquet(places["manifest"])
+    manifest.withColumn("root", F.reverse("root")).write.parquet(str(tmp_path / "manifest"))
+    with pytest.raises(ValueError, match="manifest"):
+        read_documents(spark, places | {"manifest": str(tmp_path / "manifest")})
+    chunks = spark.read.parquet(places["chunks"]).where("kind = 'chunk'").orderBy("hashes")
+    chunks.offset(1).write.parquet(str(tmp_path / "lost"))
+    with pytest.raises(Exception, match="lost"):
+        read_documents(spark, places | {"chunks": str(tmp_path / "lost")}).collect()
+
+
+def test_memory_of_pieces_is_bounded_and_loses_nothing():
+    from archipel.llm.token_memo import PieceMemo, Recent
+
+    few = Recent(2000)
+    for i in range(100):
+        few.put(str(i), i, 8)
+        few.put("hot", -1, 8) if few.find(["hot"]) == [None] else None
+    assert len(few.now) + len(few.old) < 14 and few.find(["hot", "5"]) == [-1, None]
+    small, texts = PieceMemo(BYTE, 3000), pa.array([f"some words {i} of text {i * 7}" for i in range(200)])
+    assert (small.encode(texts)[0] == memo(BYTE).encode(texts)[0]).all()
+
+
 def test_kernels():
-    assert joined_crc([zlib.crc32(b"ab"), zlib.crc32(b"c" * 5000), zlib.crc32(b"")], [2, 5000, 0]) == zlib.crc32(b"ab" + b"c" * 5000)
+    assert joined_crc32([zlib.crc32(b"ab"), zlib.crc32(b"c" * 5000), zlib.crc32(b"")], [2, 5000, 0]) == zlib.crc32(b"ab" + b"c" * 5000)
     ids = np.random.default_rng(1).integers(0, 50000, 20000).astype("<u2")
     cuts = cut_points(ids, np.array([0, 10, 20000]))
     assert cuts[0] == 0 and cuts[1] == 10 and (np.diff(cuts)[1:] >= 64).all() and np.diff(np.append(cuts, 20000)).max() <= 4096
