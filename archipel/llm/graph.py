@@ -28,17 +28,15 @@ def _to_least(pairs: DataFrame, keep_own: bool) -> DataFrame:
     return out.where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of `edges` (a, b); a component is named by its least node.
 
     Alternates large-star and small-star steps until the edges form stars, which takes a
-    number of rounds logarithmic in the size of the largest component. Edges stay in
-    tables throughout; the driver sees two counts a round.
+    number of rounds logarithmic in the size of the largest component; it goes on until they
+    do. Edges stay in tables throughout; the driver sees two counts a round.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(most_rounds):
-        if _stars(now):
-            break
+    while not _stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         with_self = both.unionByName(both.select("u", F.col("u").alias("v")).distinct())
         large = written(_to_least(with_self, False), "edges")

@@ -73,7 +73,7 @@ def true_groups(texts, width, threshold):
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_match_brute_force(spark, width):
     texts = corpus()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(table(spark, texts), Sketching(width=width), block=4).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(table(spark, texts), Sketching(width=width), block=4, block_items=300).collect()}
     assert got == true_groups(texts, width, 80)
 
 
@@ -83,6 +83,25 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 2, True)]
 
 
+def test_large_groups_that_stars_leave_apart(spark):
+    """Near copies of near copies: most pairs of a crowd are below the threshold, and no pair may be missed."""
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    texts = []
+    for i in range(150):
+        own = base.copy()
+        for k in rng.sample(range(60), rng.randint(2, 7)):
+            own[k] = rng.choice(WORDS)
+        texts.append((i, " ".join(own)))
+    texts += [(i, texts[i % 7][1] + " " + texts[i % 5][1]) for i in range(200, 230)] + [(300, "x y"), (300, texts[0][1]), (301, texts[0][1])]
+    docs = table(spark, texts, 5)
+    # Few bands of one round: the blocks have most of the work.
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, Sketching(width=2, rounds=(1,)), block=16).where("doc_id < 300").collect()}
+    assert got == {i: c for i, (_, c) in true_groups([t for t in texts if t[0] < 300], 2, 80).items()}
+    once, again = ([tuple(r) for r in near_duplicates(docs.repartition(n), Sketching(width=2)).orderBy("doc_id", "n_shingles").collect()] for n in (2, 7))
+    assert once == again and {r[2] for r in once if r[0] >= 300} == {got[0]}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
