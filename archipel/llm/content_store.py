@@ -68,7 +68,7 @@ REMEMBERED = 200_000
 
 
 def _stage(tokenizer: str, end_id: int, spots: int):
-    """Documents to packs of new chunks (a row a slice and partition) and recipe rows. `spot`: the partition they go to."""
+    """Documents to packs of new chunks (a row a slice and partition) and recipe rows. `spot`: the partition they go to; recipes go by document, so copies part."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack, seen = memo(tokenizer), zstandard.ZstdCompressor(level=1).compress, set()
@@ -93,7 +93,7 @@ def _stage(tokenizer: str, end_id: int, spots: int):
                 length = np.diff(begins).tolist()
                 for i, doc in enumerate(part.column(0).to_pylist()):
                     hashes = b"".join(digests[first[i] : first[i + 1]])
-                    rows.append(("recipe", zlib.crc32(hashes) % spots, doc, length[i], hashes, None, None))
+                    rows.append(("recipe", ((doc or 0) * 0x9E3779B1 + i) % spots, doc, length[i], hashes, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     return stage
