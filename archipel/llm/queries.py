@@ -107,17 +107,20 @@ def _op8_sql() -> str:
     def side(name: str, key: str) -> str:
         return f"""
 {name}_n AS (SELECT {key}, ' ' || coalesce(text, '') || ' ' AS raw, regexp_replace(' ' || coalesce(text, '') || ' ', {quoted(d.NAME_PATTERN)}, '\\1 {d.NAME} ', 'g') AS named FROM {name} WHERE {key} IS NOT NULL),
-{name}_w AS (SELECT {key}, raw, named, regexp_split_to_array(lower(regexp_replace(regexp_replace(named, {quoted(d.NUMBER_PATTERN)}, ' {d.NUMBER} ', 'g'), {quoted(d.UNIT_PATTERN)}, '{d.NUMBER} {d.UNIT} \\1', 'g')), {quoted(d.GAP_PATTERN)}) AS ws FROM {name}_n),
+{name}_m AS (SELECT {key}, raw, named, regexp_replace(lower(named), {quoted(d.NUMBER_PATTERN)}, ' {d.NUMBER} ', 'g') AS numbered FROM {name}_n),
+{name}_w AS (SELECT {key}, raw, named, numbered, regexp_split_to_array(regexp_replace(numbered, {quoted(d.UNIT_PATTERN)}, '{d.NUMBER} {d.UNIT} \\2', 'g'), {quoted(d.GAP_PATTERN)}) AS ws FROM {name}_m),
 {name}_r AS (SELECT {key}, unnest(range(len(ws) - 4)) AS pos, unnest(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4])) AS run FROM {name}_w WHERE len(ws) >= 5),
 {name}_s AS (
   SELECT {key}, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{d.NAME}')) AS slot, lower(substr(unnest(regexp_extract_all(raw, {quoted(d.NAME_PATTERN)})), 3)) AS value FROM {name}_w
   UNION ALL
-  SELECT {key}, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{d.NUMBER}')), lower(unnest(regexp_extract_all(named, {quoted(d.NUMBER_PATTERN)}))) FROM {name}_w)"""
+  SELECT {key}, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{d.NUMBER}')), unnest(regexp_extract_all(lower(named), {quoted(d.NUMBER_PATTERN)})) FROM {name}_w
+  UNION ALL
+  SELECT {key}, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{d.UNIT}')), unnest(regexp_extract_all(numbered, {quoted(d.UNIT_PATTERN)}, 1)) FROM {name}_w)"""
 
     marks = f"'{d.NAME}', '{d.NUMBER}', '{d.UNIT}', ''"
     return f"""
 WITH {side("documents", "doc_id")}, {side("benchmark", "item_id")},
-wanted AS (SELECT item_id, pos AS item_pos, run, list_contains(run, '{d.NAME}') OR list_contains(run, '{d.NUMBER}') AS has_slot FROM benchmark_r
+wanted AS (SELECT item_id, pos AS item_pos, run, list_contains(run, '{d.NAME}') OR list_contains(run, '{d.NUMBER}') OR list_contains(run, '{d.UNIT}') AS has_slot FROM benchmark_r
   WHERE len(list_filter(run, lambda w: w NOT IN ({marks}))) >= 3 AND NOT list_contains(run, '')),
 hits AS (SELECT DISTINCT doc_id, item_id, item_pos, has_slot, pos - item_pos AS shift FROM documents_r JOIN wanted ON documents_r.run = wanted.run),
 bound AS (SELECT DISTINCT h.doc_id, h.item_id, h.shift, i.value AS iv, s.value AS dv FROM hits h JOIN benchmark_s i ON i.item_id = h.item_id AND i.slot BETWEEN h.item_pos AND h.item_pos + 4

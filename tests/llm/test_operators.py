@@ -155,13 +155,22 @@ ITEM = "If the red train leaves Paris Nord with 12 wagons and 7 km later meets a
 def test_decontamination_sees_through_parameters(spark):
     changed = ITEM.replace("Paris Nord", "Old London Town").replace("12", "345").replace("7 km", "90 miles").upper().replace("OLD LONDON TOWN", "Old London Town")
     inconsistent = ITEM.replace("with 12 wagons", "with 5 wagons")
-    texts = [(0, f"Before. {ITEM} After."), (1, "x " * 50 + changed.lower().replace("old london town", "Old London Town") + " y"), (2, inconsistent), (3, "nothing of the kind " * 30), (4, None), (5, ""), (6, " ".join(ITEM.split()[:8])), (None, ITEM), (0, ITEM)]
+    mixed_units = ITEM.replace("7 km", "7 km and 3 km and 9 km")
+    texts = [(0, f"Before. {ITEM} After."), (1, "x " * 50 + changed.lower().replace("old london town", "Old London Town") + " y"), (2, inconsistent), (3, "nothing of the kind " * 30), (4, None), (5, ""), (6, " ".join(ITEM.split()[:8])), (7, "filler " * 40_000 + ". " + ITEM), (8, f"{ITEM} {ITEM}"), (None, ITEM), (0, ITEM)]
     items = spark.createDataFrame([(10, ITEM, 3), (11, "too short", 3), (12, None, 3), (None, ITEM, 3)], "item_id long, text string, doc_id int")
-    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(table(spark, texts), items).collect()}
-    assert set(got) == {(0, 10), (1, 10)} | ({(2, 10)} if (2, 10) in got else set())
-    assert got[0, 10]["coverage"] == 1.0
-    if (2, 10) in got:
-        assert got[2, 10]["n_matched"] < got[0, 10]["n_matched"]
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(table(spark, texts), items, coverage=0.1).collect()}
+    assert set(got) == {(0, 10), (1, 10), (2, 10), (6, 10), (7, 10), (8, 10)}
+    assert got[0, 10]["coverage"] == got[1, 10]["coverage"] == got[7, 10]["coverage"] == got[8, 10]["coverage"] == 1.0
+    # Where 12 is two numbers at once, none of the windows with slots count.
+    slotless = got[2, 10]["n_matched"]
+    assert slotless < got[0, 10]["n_windows"]
+    found = contaminated(table(spark, texts), items)
+    assert {r["doc_id"] for r in found.collect()} == {0, 1, 7, 8} | ({2} if 2 * slotless >= got[2, 10]["n_windows"] else set())
+    # One unit of the item must be one unit of the document.
+    pair = spark.createDataFrame([(1, mixed_units)], "item_id long, text string")
+    same, other = mixed_units.replace(" km", " miles"), mixed_units.replace("3 km", "3 miles")
+    by = {r["doc_id"]: r["n_matched"] for r in contaminated(table(spark, [(1, same), (2, other)]), pair, coverage=0.1).collect()}
+    assert by[2] < by[1]
     assert contaminated(table(spark, []), items).count() == 0
     assert contaminated(table(spark, texts), items.limit(0)).count() == 0
 
