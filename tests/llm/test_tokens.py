@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from archipel.functions.checksums import joined_crc32
 from archipel.llm.content_store import cut_points, merkle_root, store_and_read, write_store
-from archipel.llm.packing import pack_documents, plan_bins
+from archipel.llm.packing import complete_bins, pack_documents
 from archipel.llm.token_counts import count_tokens, counter
 from archipel.llm.token_memo import memo
 
@@ -82,20 +82,58 @@ def test_packing_is_gapless_and_complete(docs):
     assert len(bins) == -(-sum(w[3] for w in want) // 2048)
 
 
-def test_plan_reaches_the_lower_bound_and_uses_every_piece():
-    rng = np.random.default_rng(0)
-    lengths = np.minimum(2048, np.maximum(1, rng.lognormal(6.3, 1, 4000).astype(int)))
-    values, counts = np.unique(lengths, return_counts=True)
-    plan = plan_bins(values.tolist(), counts.tolist())
-    assert sum(t for _, t in plan) <= -(-lengths.sum() // 2048) + 1
+def optimum(lengths, size):
+    """The least number of bins, by trying every place for every piece, longest first."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def place(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(lengths):
+            best = len(free)
+            return
+        for k in range(len(free)):
+            if free[k] >= lengths[i] and free[k] not in free[:k]:
+                place(i + 1, [*free[:k], free[k] - lengths[i], *free[k + 1 :]])
+        place(i + 1, [*free, size - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def held(plan, size, lengths):
     used = {}
-    for chosen, times in plan:
-        assert sum(chosen) <= 2048
+    for chosen, times in plan.fillings:
+        assert sum(chosen) <= size and times > 0
         for x in chosen:
             used[x] = used.get(x, 0) + times
+    values, counts = np.unique(lengths, return_counts=True)
     assert used == dict(zip(values.tolist(), counts.tolist()))
-    assert sum(t for _, t in plan_bins([1025, 1024], [3, 1])) == 4
-    assert plan_bins([], []) == []
+
+
+def test_plan_is_the_optimum_of_small_cases():
+    rng = random.Random(17)
+    cases = [[694, 573, 875, 905, 459, 815, 738, 703]]
+    cases += [[rng.randint(1, 2048) if k % 3 else rng.randint(400, 950) for _ in range(rng.randint(6, 11))] for k in range(3000)]
+    cases += [[rng.choice([300, 500, 700, 683, 1024]) for _ in range(rng.randint(1, 12))] for _ in range(300)]
+    for lengths in cases:
+        values, counts = np.unique(lengths, return_counts=True)
+        plan = complete_bins(values.tolist(), counts.tolist())
+        held(plan, 2048, lengths)
+        assert plan.finished and plan.sequences == optimum(lengths, 2048) >= plan.bound, lengths
+
+
+def test_plan_of_many_pieces():
+    rng = np.random.default_rng(0)
+    for lengths in (np.minimum(2048, np.maximum(1, rng.lognormal(6.3, 1, 4000).astype(int))), rng.integers(500, 1100, 3000), np.ones(5000, int), np.full(40, 2048)):
+        values, counts = np.unique(lengths, return_counts=True)
+        plan = complete_bins(values.tolist(), counts.tolist(), nodes=3000)
+        held(plan, 2048, lengths)
+        assert plan.sequences <= plan.bound * 1.1 + 1 and (plan.finished or plan.sequences > plan.bound)
+    assert complete_bins([1025, 1024], [3, 1]).sequences == 4
+    assert complete_bins([], []).fillings == []
 
 
 def test_store_round_trip(docs):
