@@ -139,10 +139,11 @@ def test_toxicity_learns_and_meets_unseen_spellings(spark):
         labels.append((i, int(i % 4 == 0)))
     docs = table(spark, [*texts, (1000, None), (1001, ""), (1002, "w1a vequnew w2b scums w5"), (None, "w1a w2b")])
     marks = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r for r in score_toxicity(docs, marks, how=Training(least_sure=4.0)).collect()}
+    got = {r["doc_id"]: r for r in score_toxicity(docs, marks, how=Training()).collect()}
     assert sum(got[i]["predicted"] == y for i, y in labels) >= 396
     assert got[1002]["predicted"] == 1 and got[1001]["predicted"] == got[1000]["predicted"] == got[None]["predicted"] == 0
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert score_toxicity(table(spark, []), marks).count() == 0
     none = score_toxicity(docs, marks.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5}
     weights, bias = fit(["a", "b"], np.array([1, 1]))
@@ -168,7 +169,7 @@ def test_decontamination_sees_through_parameters(spark):
     assert {r["doc_id"] for r in found.collect()} == {0, 1, 7, 8} | ({2} if 2 * slotless >= got[2, 10]["n_windows"] else set())
     # One unit of the item must be one unit of the document.
     pair = spark.createDataFrame([(1, mixed_units)], "item_id long, text string")
-    same, other = mixed_units.replace(" km", " miles"), mixed_units.replace("3 km", "3 miles")
+    same, other = mixed_units.replace(" km", " miles"), mixed_units.replace("9 km", "9 miles")
     by = {r["doc_id"]: r["n_matched"] for r in contaminated(table(spark, [(1, same), (2, other)]), pair, coverage=0.1).collect()}
     assert by[2] < by[1]
     assert contaminated(table(spark, []), items).count() == 0
