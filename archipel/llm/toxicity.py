@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archipel.llm.common import tidied
+from archipel.llm.common import drop_written, tidied, written
 from archipel.llm.minhash import mixed
 from archipel.llm.token_memo import ragged_take, text_slices
 
@@ -25,9 +25,9 @@ class Training:
 
     per_label: int = 1500
     buckets: int = 1 << 20
-    dim: int = 4
+    dim: int = 3
     grams: tuple[int, ...] = (3, 4, 5)
-    rounds: int = 200
+    rounds: int = 70
     rate: float = 0.5
     least_sure: float = 2.0  # an embedding begins at half its log-odds where its z is this, nearer to them above
     decay: float = 1e-5  # pulls embeddings to where they began
@@ -96,11 +96,13 @@ def fit(texts: list[str], labels: np.ndarray, how: Training = Training()) -> tup
     n_words = np.maximum(1, np.diff(begins))
     docs = np.repeat(np.arange(len(texts)), np.diff(begins))
     pair, count = np.unique(docs * len(words) + index, return_counts=True)
-    doc_of, word_of = pair // len(words), pair % len(words)
+    doc_of, word_of = (pair // len(words)).astype(np.int32), (pair % len(words)).astype(np.int32)
+    del docs, index, pair
     buckets, n_sub = subwords(words, how)
     odds, sure = _evidence(word_of, np.bincount(doc_of, minlength=len(texts)), buckets, n_sub, labels, how)
     used, slot = np.unique(buckets, return_inverse=True)
-    sub_word = np.repeat(np.arange(len(words)), n_sub)
+    slot = slot.astype(np.int32)
+    sub_word = np.repeat(np.arange(len(words), dtype=np.int32), n_sub)
     part = 1 / n_sub[sub_word]
     share = count / n_words[doc_of]
     rng = np.random.default_rng(how.seed)
@@ -144,10 +146,11 @@ def scores(texts: pa.Array, weights: np.ndarray, bias: float, how: Training) ->
     return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, how: Training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list:
-    """At most `how.per_label` texts of each label, (text, label), in hash order of their ids: the only rows that reach the driver.
+def sample(docs: DataFrame, labels: DataFrame, how: Training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, text, label) of at most `how.per_label` ids of each label, in hash order of the ids; ids alone reach the driver.
 
-    Labels are read where they are 0 or 1; an id labelled both ways is left out.
+    Labels are read where they are 0 or 1; an id labelled both ways is left out. Of an id's
+    several texts the least is taken, so the sample is bounded however often an id repeats.
     """
     spark = docs.sparkSession
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
@@ -156,27 +159,49 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training, id_col: str = "doc
         picked += [(r["id"], kind) for r in one.where(F.col("lo") == kind).orderBy(F.xxhash64("id"), "id").limit(how.per_label).select("id").collect()]
     chosen = spark.createDataFrame(picked, "id long, label int")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").collect()
-    return sorted({(r["id"], r["text"], r["label"]) for r in rows})
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
+def train(rows: DataFrame, how: Training) -> tuple[np.ndarray, float]:
+    """Fits the sample `rows` in one task, whose row is the model: the driver holds no texts."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted({row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label")), strict=True)})
+        weights, bias = fit([r[1] for r in held], np.array([r[2] for r in held], dtype=np.int64), how)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights[at].astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["at", "weights", "bias"])
+        del held
+        yield from tidied(())
+
+    model = written(rows.select("id", "text", "label").repartition(1).mapInArrow(learn, "at binary, weights binary, bias double"), "toxicity-model")
+    row = model.first()
+    drop_written(model)
+    weights = np.zeros(how.buckets, dtype=np.float32)
+    if row is None:  # no rows, no task
+        return weights, 0.0
+    weights[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["weights"], "<f4")
+    return weights, row["bias"]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with columns score and predicted added (replacing columns of these names).
 
     Fitted on the labelled rows of `learn` (`docs` by default); scores come from the text
-    alone. Scoring is a map over whole texts without a shuffle; the model is a table of
-    `how.buckets` numbers whatever the corpus. Null and blank texts get the bias's score.
+    alone. Scoring is a map over whole texts, of any length, without a shuffle; the model is
+    a table of `how.buckets` numbers whatever the corpus. Null and blank texts get the
+    bias's score. Every row is scored by itself, also where ids repeat or are null; equal
+    texts get equal scores, and a score of exactly a half counts as label 1. Other columns
+    pass through. An empty table gives an empty result; without labels every score is a half.
     """
-    rows = sample(learn if learn is not None else docs, labels, how, id_col, text_col)
-    weights, bias = fit([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), how)
-    weights = weights.astype(np.float32)
+    weights, bias = train(sample(learn if learn is not None else docs, labels, how, id_col, text_col), how)
     base = docs.drop("score", "predicted")
     at = base.columns.index(text_col)
+    model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
             for part in text_slices(batch, at):
-                own = scores(part.column(at), weights, bias, how)
+                own = scores(part.column(at), model.value, bias, how)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array((own >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
