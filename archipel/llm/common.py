@@ -66,20 +66,21 @@ def drop_written(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
-def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each, and at the end, memory that the last one took goes back to the system.
-
-    Python workers outlive their tasks, and both Arrow's and the C library's allocators keep what was freed.
-    """
+def tidy() -> None:
+    """Gives freed memory back to the system: both Arrow's and the C library's allocators keep it, and Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
     try:
-        trim = ctypes.CDLL(None).malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
-        trim = lambda _: 0
+        pass
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, memory that its work took is given back."""
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        trim(0)
+        tidy()
 
 
 def ascii_lower(text: Column) -> Column:

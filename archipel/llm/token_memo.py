@@ -36,7 +36,7 @@ def _text(value: str) -> pa.Scalar:
     return pa.scalar(value, pa.large_string())
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts hold about `most_bytes` at most (one text may hold more).
 
     Slices are copies: some of Arrow's string functions read sliced columns from the wrong place.
@@ -143,7 +143,7 @@ class PieceMemo:
 
 
 #: Bytes that a worker process keeps of pieces.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 32 << 20
 
 
 def memo(path: str) -> PieceMemo:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archipel.llm.common import drop_written, tidied, written
+from archipel.llm.common import drop_written, tidied, tidy, written
 from archipel.llm.minhash import mixed
 from archipel.llm.token_memo import ragged_take, text_slices
 
@@ -170,8 +170,8 @@ def train(rows: DataFrame, how: Training) -> tuple[np.ndarray, float]:
         weights, bias = fit([r[1] for r in held], np.array([r[2] for r in held], dtype=np.int64), how)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights[at].astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["at", "weights", "bias"])
-        del held
-        yield from tidied(())
+        del held, weights, at
+        tidy()
 
     model = written(rows.select("id", "text", "label").repartition(1).mapInArrow(learn, "at binary, weights binary, bias double"), "toxicity-model")
     row = model.first()
