@@ -1,4 +1,4 @@
-"""A hierarchical Pitman-Yor language model: words over spellings, seated by Gibbs sampling."""
+"""A hierarchical Pitman-Yor language model: restaurants of two, one and no words of context, seated by Gibbs sampling."""
 
 from __future__ import annotations
 
@@ -6,33 +6,43 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipel.llm.common import drop_written, shuffle_width, written
-from archipel.llm.token_memo import ragged_take, text_slices
+from archipel.llm.common import drop_written, tidied, width_for, written
+from archipel.llm.minhash import word_hashes
+from archipel.llm.token_memo import text_slices
 
-#: Marks before and after the letters of a word.
-_START, _END = "\x02", "\x03"
+#: The hash of the end of a text, which also stands before its first word: that of the empty word.
+END = np.uint64(0x2D06800538D394C2)
 
 
 @dataclass(frozen=True)
 class Hierarchy:
-    """`depth`: letters of context. A letter is seated at a depth only if it occurs there in over 1 of `cells` cases, so no depth has more cells than that; the rest sit with the parent."""
+    """`exact`: up to so many customers a dish's tables are drawn from their exact conditional distribution."""
 
-    depth: int = 3
-    cells: int = 300_000
     burn_in: int = 2
     samples: int = 4
     strength: float = 1.0
+    exact: int = 48
     seed: int = 5
 
 
+def stirling(most: int, discount: float) -> np.ndarray:
+    """log S(c, t): the log weight of all ways in which c customers take t tables, by the recurrence over the last customer."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, most + 1)
+    for c in range(most):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            joins = np.where(t <= c, out[c, 1:] + np.log(np.maximum(c - t * discount, 1e-300)), -np.inf)
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], joins)
+    return out
+
+
 def seat(counts: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """How many tables the `counts` customers of each dish take, seated one after another.
 
@@ -52,182 +62,233 @@ def seat(counts: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount: f
     return tables
 
 
-class Spelling:
-    """Letters given up to `depth` letters before them. Cells are (depth, gram); the last letter of a gram is the dish, the rest the context."""
-
-    def __init__(self, grams: list[pd.Series], how: Hierarchy):
-        """grams[k]: how often each gram of k + 1 letters occurs, for those frequent enough to be seated at depth k."""
-        self.how = how
-        rng = np.random.default_rng(how.seed)
-        self.index = [pd.Index(g.index) for g in grams]
-        raw = [g.to_numpy(np.int64) for g in grams]
-        contexts = [pd.Index([x[:-1] for x in ix]).factorize() for ix in self.index]
-        ctx = [c[0] for c in contexts]
-        self.contexts = [pd.Index(c[1]) for c in contexts]
-        parent = [None] + [self.index[k - 1].get_indexer([x[1:] for x in self.index[k]]) for k in range(1, len(grams))]
-        discounts = []
-        for r in raw:
-            one, two = (r == r.min(initial=1)).sum(), (r == r.min(initial=1) + 1).sum()
-            discounts.append(float(np.clip(one / max(1, one + 2 * two), 0.1, 0.9)))
-        tables = [np.minimum(r, 1).astype(np.float64) for r in raw]
-        self.letters = 1.0 / 1_114_112  # the root's base: any code point
-        sums = [np.zeros(len(r)) for r in raw]
-        masses = [np.zeros(len(c)) for c in self.contexts]
-        kept = 0
-        for sweep in range(how.burn_in + how.samples):
-            customers = [r.copy() for r in raw]
-            for k in range(len(grams) - 1, 0, -1):  # tables below are customers above
-                has = parent[k] >= 0
-                change = np.bincount(parent[k][has], weights=(tables[k] - raw[k])[has], minlength=len(raw[k - 1]))
-                customers[k - 1] = np.maximum(1, raw[k - 1] + change).astype(np.int64)
-                if k > 1:
-                    raw_now = customers[k - 1]
-                    tables[k - 1] = np.minimum(tables[k - 1], raw_now)
-            chance = []
-            for k in range(len(grams)):  # contexts share parents: seat from the root down
-                above = np.full(len(raw[k]), self.letters) if not k else np.where(parent[k] >= 0, chance[k - 1][parent[k]], self.letters)
-                total = np.bincount(ctx[k], weights=customers[k], minlength=len(self.contexts[k]))
-                seated = np.bincount(ctx[k], weights=tables[k], minlength=len(self.contexts[k]))
-                others = np.maximum(0, seated[ctx[k]] - tables[k])
-                d = discounts[k]
-                tables[k] = seat(customers[k], (how.strength + d * others) * above, d * above, d, rng)
-                seated = np.bincount(ctx[k], weights=tables[k], minlength=len(self.contexts[k]))
-                mass = (how.strength + d * seated) / (how.strength + total)
-                own = np.maximum(0, customers[k] - d * tables[k]) / (how.strength + total[ctx[k]])
-                chance.append(own + mass[ctx[k]] * above)
-                if sweep >= how.burn_in:
-                    sums[k] += chance[k]
-                    masses[k] += mass
-            kept += sweep >= how.burn_in
-        self.chance = [s / max(1, kept) for s in sums]
-        self.mass = [m / max(1, kept) for m in masses]
-
-    def log10(self, words: list[str], step: int = 16_384) -> np.ndarray:
-        """log10 of the probability of each word's letters and its end."""
-        return np.concatenate([np.zeros(0), *(self._log10(words[lo : lo + step]) for lo in range(0, len(words), step))])
-
-    def _log10(self, words: list[str]) -> np.ndarray:
-        text = "".join(f"{_START}{w}{_END}" for w in words)
-        sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        letters = np.array(list(text), dtype=object)
-        begins = np.cumsum(sizes) - sizes
-        inside = np.arange(len(text)) - np.repeat(begins, sizes)
-        out = np.full(len(text), self.letters)
-        gram = letters.copy()
-        for k in range(len(self.index)):
-            if k:
-                gram = np.append([""] * k, letters[:-k])[: len(letters)] + gram
-            usable = np.flatnonzero(inside >= max(1, k))
-            codes, distinct = pd.factorize(gram[usable])
-            distinct = pd.Index(distinct)
-            cell = self.index[k].get_indexer(distinct)
-            context = self.contexts[k].get_indexer([g[:-1] for g in distinct]) if len(distinct) else np.zeros(0, int)
-            mass = np.where(context >= 0, self.mass[k][context] if len(self.mass[k]) else 1.0, 1.0)
-            own = np.where(cell >= 0, self.chance[k][cell] if len(self.chance[k]) else 0.0, 0.0)
-            # A cell's average holds what its parent gives; a letter new to a context gets the context's mass of the parent.
-            out[usable] = np.where(cell[codes] >= 0, own[codes], mass[codes] * out[usable])
-        logs = np.log10(out)
-        logs[inside == 0] = 0
-        total = np.append(0, np.cumsum(logs))
-        return total[begins + sizes] - total[begins]
-
-
-_PACK = ("words", "counts", "docs", "reach", "at", "times")
-_KIND = {"counts": "<u4", "docs": "<i8", "reach": "<u4", "at": "<u4", "times": "<u4"}
+def reseat(counts: np.ndarray, others: np.ndarray, above: np.ndarray, discount: float, how: Hierarchy, rng: np.random.Generator) -> np.ndarray:
+    """A Gibbs step for every dish: all its customers leave and its tables are drawn anew, given the `others` of its restaurant.
+
+    The weight of t tables is S(c, t) * above ** t * prod(strength + discount * (others + i), i < t).
+    Dishes of more than `how.exact` customers are seated in turn by `seat`.
+    """
+    tables = np.minimum(counts, 1).astype(np.float64)
+    ways = stirling(how.exact, discount)
+    order = np.argsort(counts, kind="stable")
+    edge = np.searchsorted(counts[order], np.arange(2, how.exact + 2))
+    for c, lo, hi in zip(range(2, how.exact + 1), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        step = max(1, (1 << 20) // c)
+        for at in range(lo, hi, step):
+            own = order[at : min(hi, at + step)]
+            more = np.log(how.strength + discount * (others[own, None] + np.arange(c))) + np.log(above[own, None])
+            weight = ways[c, 1 : c + 1] + np.cumsum(more, axis=1)
+            tables[own] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+    many = order[edge[-1] :]
+    if len(many):
+        new = (how.strength + discount * others[many]) * above[many]
+        tables[many] = seat(counts[many], new, discount * above[many], discount, rng)
+    return tables
+
+
+class Restaurants:
+    """The restaurants of two words and of one word of context; those of one are the parents of those of two.
+
+    Cells are (context, word) of two-word contexts; `pair` gives each cell's (last context
+    word, word), `first` its context. `below` is the unigram probability of every pair's word.
+    """
+
+    def __init__(self, cells: dict[str, np.ndarray], discounts: tuple[float, float], how: Hierarchy, rng: np.random.Generator):
+        self.c2, self.pair, self.ctx2, self.ctx1 = cells["count"], cells["pair"], cells["ctx2"], cells["ctx1"]
+        self.n2, self.n1 = int(self.ctx2.max(initial=-1)) + 1, int(self.ctx1.max(initial=-1)) + 1
+        self.discounts, self.how, self.rng = discounts, how, rng
+        self.t2 = np.minimum(self.c2, 1).astype(np.float64)
+        self.t1 = np.minimum(self._sent(), 1).astype(np.float64)
+
+    def _sent(self) -> np.ndarray:
+        """The tables of two-word contexts are the customers of their parents."""
+        return np.bincount(self.pair, weights=self.t2, minlength=len(self.ctx1)).astype(np.int64)
+
+    def _others(self, tables: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(context, weights=tables, minlength=n)[context] - tables
+
+    def _chance(self, counts, tables, context, n, above, discount) -> np.ndarray:
+        total, seated = (np.bincount(context, weights=x, minlength=n)[context] for x in (counts, tables))
+        s = self.how.strength
+        return (counts - discount * tables + (s + discount * seated) * above) / (s + total)
+
+    def chances(self, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The predictive probabilities of all pairs and of all cells under the present seating."""
+        d2, d1 = self.discounts
+        one = self._chance(self._sent(), self.t1, self.ctx1, self.n1, below, d1)
+        return one, self._chance(self.c2, self.t2, self.ctx2, self.n2, one[self.pair], d2)
+
+    def sweep(self, below: np.ndarray) -> None:
+        """One Gibbs sweep, from the longest contexts to their parents."""
+        d2, d1 = self.discounts
+        one, _ = self.chances(below)
+        self.t2 = reseat(self.c2, self._others(self.t2, self.ctx2, self.n2), one[self.pair], d2, self.how, self.rng)
+        sent = self._sent()
+        self.t1 = np.clip(self.t1, np.minimum(sent, 1), sent)
+        self.t1 = reseat(sent, self._others(self.t1, self.ctx1, self.n1), below, d1, self.how, self.rng)
+
+    def averaged(self, below: np.ndarray) -> np.ndarray:
+        """The cells' predictive probabilities, averaged over samples after burn-in."""
+        out = np.zeros(len(self.c2))
+        for i in range(self.how.burn_in + self.how.samples):
+            self.sweep(below)
+            if i >= self.how.burn_in:
+                out += self.chances(below)[1]
+        return out / self.how.samples
+
+
+def discount_of(ones: float, twos: float) -> float:
+    """The usual estimate from how many dishes have one and two customers."""
+    return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
+
+
+# --- packing ----------------------------------------------------------------------------------------------------------
+
+_KIND = {"words": "<u8", "u": "<u4", "v": "<u4", "w": "<u4", "counts": "<u4", "reach": "<u4", "at": "<u4", "times": "<u4", "docs": "<i8", "sizes": "<u4"}
+_PACK = tuple(_KIND)
+_POSTS = ("cell", "reach", "at", "times", "docs", "sizes")
+_CELLS = {"words": "<u8", "pair": "<u4", "ctx2": "<u4", "ctx1": "<u4", "word": "<u4", "count": "<u4"}
+
+
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values, dtype=kind).tobytes())
 
 
 def _open(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-def _words(blob: bytes) -> list[str]:
-    return zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass").split("\n")
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of two 32-bit keys: the row that stands for each distinct pair, and each row's number among those."""
+    _, first, number = np.unique((keys[0].astype(np.int64) << 32) | keys[1].astype(np.int64), return_index=True, return_inverse=True)
+    return first, number
 
 
 def _slices(buckets: int):
-    """A row per slice of texts and bucket of words: the distinct words, their training counts, and where they occur how often."""
+    """A row per slice of texts and bucket of the word before: the distinct triples of words, how often the training rows have them, and where they occur.
+
+    The bucket of END, which every text's first token falls into, also gets the ids and sizes of the slice's texts.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in text_slices(batch, 1):
-                texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(part.column(1).cast(pa.large_string()), "")))
-                cut = pc.ascii_split_whitespace(texts)
-                coded = pc.list_flatten(cut).dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                begins = np.asarray(cut.offsets) - cut.offsets[0].as_py()
-                doc = np.repeat(np.arange(part.num_rows), np.diff(begins))
-                index = np.asarray(coded.indices).astype(np.int64)
-                if "" in words:  # blank texts split into one empty word
-                    real = index != words.index("")
-                    doc, index = doc[real], index[real]
-                    end = words.index("")
-                else:
-                    end = len(words)
-                    words.append("")
-                doc, index = np.append(doc, np.arange(part.num_rows)), np.append(index, np.full(part.num_rows, end))
-                pair, times = np.unique(index * part.num_rows + doc, return_counts=True)
-                word, at = pair // part.num_rows, pair % part.num_rows
-                train = part.column(2).to_numpy(zero_copy_only=False)
-                counts = np.bincount(word, weights=times * train[at], minlength=len(words)).astype(np.int64)
-                reach = np.bincount(word, minlength=len(words))
-                first = np.cumsum(reach) - reach
-                spot = pd.util.hash_array(np.array(words, dtype=object), categorize=False) % np.uint64(buckets)
+            for part in text_slices(batch, 1, 8 << 20):
+                hashes, begins = word_hashes(part.column(1))
+                tokens = np.insert(hashes, begins[1:], END)
+                sizes = np.diff(begins) + 1
+                first = np.cumsum(sizes) - sizes
+                words, ids = np.unique(tokens, return_inverse=True)
+                order = np.argsort(words % np.uint64(buckets), kind="stable")  # words of a bucket stand together
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                words, ids = words[order], rank[ids]
+                end = ids[-1]  # every text ends with it
+                before = np.append(end, ids[:-1])
+                before[first] = end
+                two = np.append(end, before[:-1])
+                two[first] = end
+                doc = np.repeat(np.arange(part.num_rows), sizes)
+                left, right = (before << 32) | ids, (two << 32) | doc
+                order = np.lexsort((right, left))
+                left, right = left[order], right[order]
+                new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+                start = np.flatnonzero(new)
+                times = np.diff(np.append(start, len(left)))
+                v, w, u, at = left[start] >> 32, left[start] & 0xFFFFFFFF, right[start] >> 32, right[start] & 0xFFFFFFFF
+                opens = np.append(True, (left[start][1:] != left[start][:-1]) | (u[1:] != u[:-1]))
+                cell = np.flatnonzero(opens)
+                train = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = np.add.reduceat(times * train[at], cell)
+                reach = np.diff(np.append(cell, len(start)))
+                spot = (words % np.uint64(buckets)).astype(np.int64)
+                home = int(END % np.uint64(buckets))
+                edge = np.searchsorted(spot[v[cell]], np.arange(buckets + 1))
+                post = np.append(cell, len(start))[edge]
                 for b in range(buckets):
-                    own = np.flatnonzero((spot == b) & (reach > 0))
-                    if not len(own):
+                    lo, hi = edge[b], edge[b + 1]
+                    if lo == hi:
                         continue
-                    place = ragged_take(np.arange(len(pair)), first[own], reach[own])
-                    blobs = {"words": "\n".join([words[i] for i in own]).encode("utf-8", "surrogatepass"), "counts": counts[own], "docs": part.column(0).to_numpy(zero_copy_only=False), "reach": reach[own], "at": at[place], "times": times[place]}
-                    packed = [pa.array([pack(v if k == "words" else v.astype(_KIND[k]).tobytes())], pa.binary()) for k, v in blobs.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *packed], ["bucket", "slice", *_PACK])
+                    mine, own = cell[lo:hi], slice(post[b], post[b + 1])
+                    local, three = np.unique(np.concatenate([u[mine], v[mine], w[mine]]), return_inverse=True)
+                    n, at_home = hi - lo, b == home
+                    none = np.zeros(0)
+                    docs = part.column(0).to_numpy(zero_copy_only=False) if at_home else none
+                    blobs = {"words": words[local], "u": three[:n], "v": three[n : 2 * n], "w": three[2 * n :], "counts": counts[lo:hi], "reach": reach[lo:hi], "at": at[own], "times": times[own], "docs": docs, "sizes": sizes if at_home else none}
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([_pack(blobs[p], _KIND[p])], pa.binary()) for p in _PACK)], ["bucket", "slice", *_PACK])
                 number += 1
 
     return rows
 
 
-def _vocabulary(key: tuple, group: pa.Table) -> pa.Table:
-    """All words of a bucket with their training counts."""
-    total: dict[str, int] = {}
-    for words, counts in zip(group.column("words").to_pylist(), group.column("counts").to_pylist(), strict=True):
-        for word, n in zip(_words(words), _open(counts, "<u4").tolist(), strict=True):
-            total[word] = total.get(word, 0) + n
-    counts = np.fromiter(total.values(), np.int64, len(total))
-    pack = zstandard.ZstdCompressor(level=3).compress
-    row = [[key[0].as_py()], [pack("\n".join(total).encode("utf-8", "surrogatepass"))], [pack(counts.astype("<u8").tobytes())], [int(counts.sum())], [int((counts > 0).sum())], [int((counts == 1).sum())], [int((counts == 2).sum())]]
-    return pa.table({n: pa.array(v, t) for n, v, t in zip(("bucket", "words", "counts", "n", "v", "n1", "n2"), row, (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4), strict=True)})
-
-
-def _grams(depth: int):
-    """Of each bucket's known words: how often each run of depth + 1 letters (fewer at a word's start) occurs, a word counting once."""
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total: dict[str, int] = {}
-                for word, n in zip(_words(blob), _open(counts, "<u8").tolist(), strict=True):
-                    if n:
-                        marked = f"{_START}{word}{_END}"
-                        for i in range(1, len(marked)):
-                            gram = marked[max(0, i - depth) : i + 1]
-                            total[gram] = total.get(gram, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-
-    return grams
-
-
-def _tables(chance: np.ndarray, counts: np.ndarray, facts: dict, how: Hierarchy, seed: int) -> list[np.ndarray]:
-    """Samples of the tables that each word takes in the restaurant of words."""
-    rng = np.random.default_rng([how.seed, seed])
-    d = facts["d"]
-    tables = np.minimum(counts, 1)
-    out = []
-    for sweep in range(how.burn_in + how.samples):
-        others = np.maximum(0, facts["t"] - tables)
-        tables = seat(counts, (how.strength + d * others) * chance, d * chance, d, rng)
-        if sweep >= how.burn_in:
-            out.append(tables)
-    return out
+def _bucket(key: tuple, group: pa.Table) -> pa.Table:
+    """One row per bucket: its cells, the places where they occur slice by slice, and what the unigram restaurant and the discounts need."""
+    parts = [{p: _open(x, _KIND[p]) for p, x in row.items() if p in _KIND} for row in group.select(_PACK).to_pylist()]
+    words = np.unique(np.concatenate([p["words"] for p in parts]))
+    ids = [np.searchsorted(words, p["words"]) for p in parts]
+    u, v, w = (np.concatenate([i[p[x]] for i, p in zip(ids, parts, strict=True)]) for x in "uvw")
+    first, pair = _numbered(v, w)
+    pair_v, pair_w = v[first], w[first]
+    first, cell = _numbered(pair, u)
+    count = np.bincount(cell, weights=np.concatenate([p["counts"] for p in parts])).astype(np.int64)
+    pair, u = pair[first], u[first]
+    _, ctx2 = _numbered(pair_v[pair], u)
+    _, ctx1 = np.unique(pair_v, return_inverse=True)
+    sent = np.bincount(pair, weights=count > 0, minlength=len(pair_v))
+    raw = np.bincount(pair_w[pair], weights=count, minlength=len(words)).astype(np.int64)
+    tables = np.bincount(pair_w, weights=sent > 0, minlength=len(words)).astype(np.int64)
+    used = np.unique(pair_w)
+    cells = {"words": words, "pair": pair, "ctx2": ctx2, "ctx1": ctx1, "word": pair_w, "count": count}
+    posts = {p: [] for p in _POSTS}
+    at = 0
+    for p in parts:
+        n = len(p["u"])
+        for name in _POSTS:
+            posts[name].append(_pack(cell[at : at + n] if name == "cell" else p[name], _KIND.get(name, "<u4")))
+        at += n
+    row = {"bucket": key[0].as_py(), "slices": group.column("slice").to_pylist(), **posts, **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}, "stats": [float(x) for x in ((count == 1).sum(), (count == 2).sum(), (sent == 1).sum(), (sent == 2).sum())], "seen": words[used].view(np.int64).tolist(), "raw": raw[used].tolist(), "sent": tables[used].tolist()}
+    return pa.table({f.name: pa.array([row[f.name]], f.type) for f in _BUCKET_FIELDS})
+
+
+_BUCKET_FIELDS = [
+    pa.field("bucket", pa.int32()), pa.field("slices", pa.list_(pa.int64())),
+    *(pa.field(p, pa.list_(pa.binary())) for p in _POSTS), *(pa.field(f"c_{k}", pa.binary()) for k in _CELLS),
+    pa.field("stats", pa.list_(pa.float64())), *(pa.field(n, pa.list_(pa.int64())) for n in ("seen", "raw", "sent")),
+]
+_BUCKET_ROW = "bucket int, slices array<long>, " + ", ".join(f"{p} array<binary>" for p in _POSTS) + ", " + ", ".join(f"c_{k} binary" for k in _CELLS) + ", stats array<double>, seen array<long>, raw array<long>, sent array<long>"
+
+#: So many (bucket, word) probabilities (48 MB) are broadcast to the buckets; more meet them in a shuffle join.
+BROADCAST_WORDS = 2_000_000
+
+
+def _with_unigrams(rows: DataFrame, sent: DataFrame, how: Hierarchy) -> DataFrame:
+    """`rows` of buckets with their words' probabilities in the unigram restaurant.
+
+    `sent` (bucket, word, raw, sent) holds what the buckets' tables send: the unigram's
+    customers. Its base is continuous, so every known word has one table there, and the
+    mass of a new table is that of a word never learned.
+    """
+    unigrams = written(sent.groupBy("word").agg(F.sum("raw").alias("raw"), F.sum("sent").alias("sent")), "unigrams")
+    facts = unigrams.agg(F.sum("sent"), F.count_if(F.col("sent") > 0), F.count_if(F.col("sent") == 1), F.count_if(F.col("sent") == 2)).first()
+    customers, tables, ones, twos = (float(x or 0) for x in facts)
+    discount = discount_of(ones, twos)
+    chance = F.when(F.col("sent") > 0, F.col("sent") - discount).otherwise(how.strength + discount * tables) / (how.strength + customers)
+    pairs = sent.select("bucket", "word").join(unigrams.select("word", F.col("raw").alias("known"), chance.alias("chance")), "word")
+    packed = pairs.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("word", "known", "chance"))).alias("p"))
+    packed = written(packed.select("bucket", F.col("p.word").alias("p_word"), F.col("p.known").alias("p_known"), F.col("p.chance").alias("p_chance")), "unigrams-of-buckets")
+    n_pairs = packed.agg(F.sum(F.size("p_word"))).first()[0] or 0
+    drop_written(unigrams)
+    return rows.join(F.broadcast(packed) if n_pairs <= BROADCAST_WORDS else packed, "bucket")
+
+
+def _opened(row: dict, discounts: tuple[float, float], how: Hierarchy, number: int) -> tuple[Restaurants, dict, np.ndarray, np.ndarray]:
+    """A bucket's restaurants, its cells, the unigram probability of each pair's word, and the training count of each pair's word."""
+    cells = {k: _open(row[f"c_{k}"], kind).astype(np.uint64 if k == "words" else np.int64) for k, kind in _CELLS.items()}
+    known = np.asarray(row["p_word"], dtype=np.int64)
+    order = np.argsort(known)
+    at = order[np.searchsorted(known[order], cells["words"][cells["word"]].view(np.int64))]
+    rng = np.random.default_rng([how.seed, number, row["bucket"]])
+    return Restaurants(cells, discounts, how, rng), cells, np.asarray(row["p_chance"])[at], np.asarray(row["p_known"], dtype=np.int64)[at]
 
 
 def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,75 +296,90 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
 
     Tokens are the words of a text, A-Z lower-cased, and one end. `learn` says which rows
     are learned from. `base_score` is the add-one unigram's log10 probability, `score` that
-    of the hierarchical Pitman-Yor model: a restaurant of words whose base measure spells a
-    word letter by letter, in restaurants of up to `how.depth` letters of context that share
-    the restaurant of the shorter context as parent, down to a uniform choice of code
-    points. Words never learned are one outcome, as they are for the base: what the
-    spelling leaves after all known words. Words' tables are the spelling's customers. Seating is sampled by Gibbs sweeps,
-    and predictive probabilities are averaged over the samples after burn-in. Perplexity is
+    of the hierarchical Pitman-Yor model: a token is drawn in the restaurant of the two
+    tokens before it (the end mark stands before a text), whose parent is that of the one
+    token before, whose parent is the unigram restaurant. Its base is continuous: each known
+    word has one table there, and the mass of a new one goes to the single outcome of all
+    words never learned (which `base_score` has too). Probabilities over these outcomes sum
+    to one in every context. Tables are the customers of the parent.
+
+    Gibbs steps remove all customers of a dish and draw its tables from their conditional
+    distribution given the rest (exact to `how.exact` customers, seated in turn beyond).
+    Dishes of a restaurant are seated side by side, given each other's tables of the step
+    before; the unigram restaurant gets its customers between two rounds of sweeps.
+    Predictive probabilities are averaged over the samples after burn-in. Perplexity is
     10 ** (-score / n_tokens).
 
-    Texts are read once. Words go by hash to buckets, packed a row a slice and bucket, so a
-    word in a third of all texts is no hot row; counts are exact. The spelling's tables are
-    bounded (`how.cells` a depth) whatever the corpus: only they reach the driver and the
-    workers. Everything else stays in buckets; per text one row a bucket is summed up.
+    Texts are read once. Triples of words go by the middle word to buckets, so that a
+    context and its parent are in one place, packed a row a slice and bucket; counts are
+    exact and grow with the corpus. Buckets grow in number with the input; the texts of one
+    frequent middle word are one bucket's work. Words are told apart by 64-bit hashes.
 
     Null and blank texts are one end token. Each row is scored by itself, also where ids
-    repeat or are null. Nothing to learn from: every word is new.
+    repeat or are null. Texts of any length are read whole; ties do not arise; other columns
+    are not read. Nothing to learn from: every word is the one new outcome. An empty table
+    has an empty result.
     """
-    buckets = max(8, shuffle_width(docs.sparkSession) // 3)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).cast("int").alias("learn"))
     source = source.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("doc_id"), "text", "learn")
-    rows = written(source.mapInArrow(_slices(buckets), "bucket int, slice long, " + ", ".join(f"{p} binary" for p in _PACK)), "word-slices")
-    vocabulary = rows.select("bucket", "words", "counts").groupBy("bucket").applyInArrow(_vocabulary, "bucket int, words binary, counts binary, n long, v long, n1 long, n2 long")
-    vocabulary = written(vocabulary, "vocabulary")
-    n, v, n1, n2 = (x or 0 for x in vocabulary.agg(F.sum("n"), F.sum("v"), F.sum("n1"), F.sum("n2")).first())
-    grams = vocabulary.repartition(buckets).select("words", "counts").mapInArrow(_grams(how.depth), "gram string, n long")
-    grams = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(how.depth + 1):
-        level = grams.where(F.length("gram") > k).select(F.expr(f"right(gram, {k + 1})").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        kept = level.where(F.col("n") * how.cells >= total).orderBy("gram").collect()  # at most how.cells rows
-        levels.append(pd.Series([r["n"] for r in kept], index=[r["gram"] for r in kept], dtype=np.int64))
-    spelling = docs.sparkSession.sparkContext.broadcast(Spelling(levels, how))
-    facts = {"n": n, "v": v, "t": float(v), "d": float(np.clip(n1 / max(1, n1 + 2 * n2), 0.1, 0.95))}
-
-    def count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets = width_for(docs, 16 << 20)
+    slices = source.mapInArrow(lambda batches: tidied(_slices(buckets)(batches)), "bucket int, slice long, " + ", ".join(f"{p} binary" for p in _PACK))
+    rows = written(slices.groupBy("bucket").applyInArrow(_bucket, _BUCKET_ROW), "cells")
+    sent = rows.select("bucket", F.explode(F.arrays_zip(F.col("seen").alias("word"), "raw", "sent")).alias("x")).select("bucket", "x.word", "x.raw", "x.sent")
+    stats = rows.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(4))).first()
+    discounts = (discount_of(stats[0] or 0, stats[1] or 0), discount_of(stats[2] or 0, stats[3] or 0))
+    words = sent.groupBy("word").agg(F.sum("raw").alias("raw"))
+    n, v = (x or 0 for x in words.agg(F.sum("raw"), F.count_if(F.col("raw") > 0)).first())
+    cells = ["bucket", *(f"c_{k}" for k in _CELLS)]
+
+    def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tables that the words of each bucket take in restaurants of one word of context."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                place, own, below, _ = _opened(row, discounts, how, 0)
+                for _ in range(how.burn_in):
+                    place.sweep(below)
+                tables = np.bincount(own["word"], weights=place.t1, minlength=len(own["words"])).astype(np.int64)
+                used = np.unique(own["word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), row["bucket"]), pa.int32()), pa.array(own["words"][used].view(np.int64)), pa.array(tables[used])], ["bucket", "word", "sent"])
+
+    first = _with_unigrams(rows.select(*cells), sent, how)
+    again = written(first.mapInArrow(lambda b: tidied(sweeps(b)), "bucket int, word long, sent long"), "sent")
+    counts = sent.select("bucket", "word", "raw").join(again.select("bucket", "word", "sent"), ["bucket", "word"])
+    second = _with_unigrams(rows.select(*cells, "slices", *_POSTS), counts, how)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for bucket, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                known = _open(counts, "<u8").astype(np.int64)
-                chance = 10 ** spelling.value.log10(_words(words))
-                out.append((float(_tables(chance, known, facts, how, bucket)[-1].sum()), float(chance[known > 0].sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.float64()) for i in (0, 1)], ["t", "s"])
-
-    seated = vocabulary.select("bucket", "words", "counts").mapInArrow(count_tables, "t double, s double").agg(F.sum("t").alias("t"), F.sum("s").alias("s")).first()
-    facts |= {"t": seated["t"] or 0.0, "new": max(1e-9, 1 - (seated["s"] or 0.0))}
-
-    def score(key: tuple, group: pa.Table, words: pa.Table) -> pa.Table:
-        names, counts = _words(words.column("words")[0].as_py()), _open(words.column("counts")[0].as_py(), "<u8").astype(np.int64)
-        spelled = 10 ** spelling.value.log10(names)
-        d, below = facts["d"], how.strength + facts["n"]
-        chance = np.zeros(len(names))
-        for tables in _tables(spelled, counts, facts, how, key[0].as_py()):
-            chance += (np.maximum(0, counts - d * tables) + (how.strength + d * facts["t"]) * np.where(counts > 0, spelled, facts["new"])) / below
-        chance = np.log10(chance / how.samples)
-        base = np.log10((counts + 1) / (facts["n"] + facts["v"] + 1))
-        place = pd.Index(names)
-        parts = []
-        for row in range(group.num_rows):
-            cells = {p: group.column(p)[row].as_py() for p in _PACK}
-            own = place.get_indexer(_words(cells["words"]))
-            ids, reach, at, times = (_open(cells[p], _KIND[p]) for p in ("docs", "reach", "at", "times"))
-            word = np.repeat(own, reach)
-            sums = [np.bincount(at, weights=times * x[word], minlength=len(ids)) for x in (np.ones(len(names)), counts > 0, base, chance)]
-            hit = np.flatnonzero(sums[0])
-            parts.append(pa.table({"slice": np.full(len(hit), group.column("slice")[row].as_py()), "at": hit, "doc_id": ids[hit], "n_tokens": sums[0][hit].astype(np.int64), "n_known": sums[1][hit].astype(np.int64), "base_score": sums[2][hit], "score": sums[3][hit]}))
-        return pa.concat_tables(parts)
-
-    partial = rows.groupBy("bucket").cogroup(vocabulary.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(score, "slice long, at long, doc_id long, n_tokens long, n_known long, base_score double, score double")
-    out = partial.groupBy("slice", "at").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    drop_written(grams)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                place, own, below, known = _opened(row, discounts, how, 1)
+                known = known[own["pair"]]
+                of_cell = (known > 0, np.log10((known + 1) / (n + v + 1)), np.log10(place.averaged(below)))
+                for k, number in enumerate(row["slices"]):
+                    cell, reach, at, times = (_open(row[p][k], "<u4") for p in ("cell", "reach", "at", "times"))
+                    cell = np.repeat(cell, reach)
+                    sums = [np.bincount(at, weights=times * x[cell]) for x in of_cell]
+                    blobs = [_pack(x, "<f8") for x in sums] + [row["docs"][k], row["sizes"][k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["slice", *_SUMS, "docs", "sizes"])
+
+    partial = second.mapInArrow(lambda b: tidied(score(b)), "slice long, " + ", ".join(f"{x} binary" for x in (*_SUMS, "docs", "sizes")))
+    out = partial.groupBy("slice").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    drop_written(again)
     real_id = F.when(F.col("doc_id") != F.lit(-(2**63) + 1), F.col("doc_id")).alias("doc_id")
     return out.select(real_id, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_SUMS = ("n_known", "base_score", "score")
+
+
+def _summed(key: tuple, group: pa.Table) -> pa.Table:
+    """The sums of a slice's texts over all buckets."""
+    rows = group.to_pylist()
+    docs, sizes = next((d, s) for d, s in ((_open(r["docs"], "<i8"), _open(r["sizes"], "<u4")) for r in rows) if len(d))
+    sums = {s: np.zeros(len(docs)) for s in _SUMS}
+    for row in rows:
+        for name, total in sums.items():
+            own = _open(row[name], "<f8")
+            total[: len(own)] += own
+    return pa.table({"doc_id": docs, "n_tokens": sizes.astype(np.int64), "n_known": np.rint(sums["n_known"]).astype(np.int64), "base_score": sums["base_score"], "score": sums["score"]})

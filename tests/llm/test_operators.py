@@ -17,7 +17,7 @@ from archipel.llm.graph import components
 from archipel.llm.line_dedup import dedup_lines
 from archipel.llm.minhash import Sketching, near_duplicates
 from archipel.llm.passages import repeated_passages
-from archipel.llm.pitman_yor import seat, score_texts
+from archipel.llm.pitman_yor import Hierarchy, Restaurants, reseat, score_texts, seat, stirling
 from archipel.llm.search import search
 from archipel.llm.toxicity import Training, fit, score_toxicity, scores
 
@@ -239,6 +239,62 @@ def test_language_model_counts_and_beats_the_base(spark):
     assert score_texts(table(spark, []), learn).count() == 0
 
 
+def test_tables_follow_their_exact_conditional():
+    """Against all ways to seat four customers of a dish, one after another."""
+    d, s, others, above = 0.4, 1.0, 3.0, 0.2
+    weight = collections.Counter()
+
+    def sit(n, t, w, sizes):
+        if n == 4:
+            weight[t] += w
+            return
+        sit(n + 1, t + 1, w * (s + d * (others + t)) * above, (*sizes, 1))
+        for k, size in enumerate(sizes):
+            sit(n + 1, t, w * (size - d), (*sizes[:k], size + 1, *sizes[k + 1 :]))
+
+    sit(0, 0, 1.0, ())
+    total = sum(weight.values())
+    got = reseat(np.full(200_000, 4), np.full(200_000, others), np.full(200_000, above), d, Hierarchy(strength=s), np.random.default_rng(3))
+    for t in range(1, 5):
+        assert abs((got == t).mean() - weight[t] / total) < 0.005
+    assert math.isclose(math.exp(stirling(4, d)[4, 4]), 1.0) and math.isclose(math.exp(stirling(3, d)[3, 1]), (1 - d) * (2 - d))
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    rng = np.random.default_rng(1)
+    words, contexts = 6, 5  # every context has a cell for every word, some never seen
+    v, u, w = (x.ravel() for x in np.meshgrid(np.arange(contexts), np.arange(4), np.arange(words), indexing="ij"))
+    pair, ctx1 = v * words + w, np.repeat(np.arange(contexts), words)
+    cells = {"count": rng.poisson(0.8, len(w)), "pair": pair, "ctx2": v * 4 + u, "ctx1": ctx1}
+    below = np.tile(rng.dirichlet(np.ones(words)), contexts)
+    for place in (Restaurants(cells, (0.6, 0.5), Hierarchy(), rng),):
+        assert np.allclose(np.bincount(cells["ctx2"], weights=place.averaged(below)), 1)
+        one, _ = place.chances(below)
+        assert np.allclose(np.bincount(ctx1, weights=one), 1)
+        assert (place.t2 <= cells["count"]).all() and ((place.t2 > 0) == (cells["count"] > 0)).all()
+
+
+def test_word_order_matters(spark):
+    rng = random.Random(6)
+    follow = {w: rng.sample(WORDS, 3) for w in WORDS}
+
+    def walk():
+        out = [rng.choice(WORDS)]
+        while len(out) < 60:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    texts = [walk() for _ in range(400)]
+    mixed = [rng.sample(t, len(t)) for t in texts[:50]]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *mixed])]
+    got = {r["doc_id"]: r for r in score_texts(table(spark, rows), F.col("doc_id").between(50, 399)).collect()}
+    for i in range(50):  # neither was learned from
+        assert math.isclose(got[i]["base_score"], got[400 + i]["base_score"], rel_tol=1e-9)
+        assert got[i]["score"] > got[400 + i]["score"] + 20
+    nothing = score_texts(table(spark, rows[:3]), F.lit(False)).collect()
+    assert [(r["n_known"], r["train_tokens"], round(r["score"], 9)) for r in nothing] == [(0, 0, 0.0)] * 3
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 5, 5, 10_000, 10_000])
