@@ -1,4 +1,4 @@
-"""A hierarchical Pitman-Yor language model: restaurants of two, one and no words of context, seated by Gibbs sampling."""
+"""A hierarchical Pitman-Yor language model: restaurants of words given the words before, seated by Gibbs sampling."""
 
 from __future__ import annotations
 
@@ -16,14 +16,17 @@ from archipel.llm.common import drop_written, tidied, width_for, written
 from archipel.llm.minhash import word_hashes
 from archipel.llm.token_memo import text_slices
 
-#: The hash of the end of a text, which also stands before its first word: that of the empty word.
-END = np.uint64(0x2D06800538D394C2)
+#: Words are told apart by the upper 48 bits of their hash.
+CUT = np.uint64(16)
+#: The end of a text, which also stands before its first word: the hash of the empty word.
+END = np.uint64(0x2D06800538D394C2) >> CUT
 
 
 @dataclass(frozen=True)
 class Hierarchy:
-    """`exact`: up to so many customers a dish's tables are drawn from their exact conditional distribution."""
+    """`words`: one or two words of context. `exact`: up to so many customers a dish's tables are drawn from their exact conditional distribution."""
 
+    words: int = 1
     burn_in: int = 2
     samples: int = 4
     strength: float = 1.0
@@ -87,10 +90,11 @@ def reseat(counts: np.ndarray, others: np.ndarray, above: np.ndarray, discount:
 
 
 class Restaurants:
-    """The restaurants of two words and of one word of context; those of one are the parents of those of two.
+    """The restaurants of one word of context, and those of two words, whose parents they are.
 
-    Cells are (context, word) of two-word contexts; `pair` gives each cell's (last context
-    word, word), `first` its context. `below` is the unigram probability of every pair's word.
+    Cells are (context, word) of the longest contexts, numbered by `ctx2`; `pair` gives each
+    cell's (last word of context, word), `ctx1` each pair's context. `below` is the unigram
+    probability of every pair's word. With one word of context, cells are pairs.
     """
 
     def __init__(self, cells: dict[str, np.ndarray], discounts: tuple[float, float], how: Hierarchy, rng: np.random.Generator):
@@ -101,8 +105,8 @@ class Restaurants:
         self.t1 = np.minimum(self._sent(), 1).astype(np.float64)
 
     def _sent(self) -> np.ndarray:
-        """The tables of two-word contexts are the customers of their parents."""
-        return np.bincount(self.pair, weights=self.t2, minlength=len(self.ctx1)).astype(np.int64)
+        """The tables of two-word contexts are the customers of their parents; without them the tokens are."""
+        return self.c2 if self.how.words == 1 else np.bincount(self.pair, weights=self.t2, minlength=len(self.ctx1)).astype(np.int64)
 
     def _others(self, tables: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(context, weights=tables, minlength=n)[context] - tables
@@ -116,13 +120,16 @@ class Restaurants:
         """The predictive probabilities of all pairs and of all cells under the present seating."""
         d2, d1 = self.discounts
         one = self._chance(self._sent(), self.t1, self.ctx1, self.n1, below, d1)
+        if self.how.words == 1:
+            return one, one
         return one, self._chance(self.c2, self.t2, self.ctx2, self.n2, one[self.pair], d2)
 
     def sweep(self, below: np.ndarray) -> None:
         """One Gibbs sweep, from the longest contexts to their parents."""
         d2, d1 = self.discounts
-        one, _ = self.chances(below)
-        self.t2 = reseat(self.c2, self._others(self.t2, self.ctx2, self.n2), one[self.pair], d2, self.how, self.rng)
+        if self.how.words > 1:
+            one, _ = self.chances(below)
+            self.t2 = reseat(self.c2, self._others(self.t2, self.ctx2, self.n2), one[self.pair], d2, self.how, self.rng)
         sent = self._sent()
         self.t1 = np.clip(self.t1, np.minimum(sent, 1), sent)
         self.t1 = reseat(sent, self._others(self.t1, self.ctx1, self.n1), below, d1, self.how, self.rng)
@@ -144,10 +151,10 @@ def discount_of(ones: float, twos: float) -> float:
 
 # --- packing ----------------------------------------------------------------------------------------------------------
 
-_KIND = {"words": "<u8", "u": "<u4", "v": "<u4", "w": "<u4", "counts": "<u4", "reach": "<u4", "at": "<u4", "times": "<u4", "docs": "<i8", "sizes": "<u4"}
-_PACK = tuple(_KIND)
+_KIND = {"u": "<u4", "v": "<u4", "w": "<u4", "counts": "<u4", "reach": "<u4", "at": "<u4", "times": "<u4", "docs": "<i8", "sizes": "<u4"}
+_PACK = ("words", *_KIND)
 _POSTS = ("cell", "reach", "at", "times", "docs", "sizes")
-_CELLS = {"words": "<u8", "pair": "<u4", "ctx2": "<u4", "ctx1": "<u4", "word": "<u4", "count": "<u4"}
+_CELLS = {"pair": "<u4", "ctx2": "<u4", "ctx1": "<u4", "word": "<u4", "count": "<u4"}
 
 
 def _pack(values: np.ndarray, kind: str) -> bytes:
@@ -158,14 +165,24 @@ def _open(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _pack_words(words: np.ndarray) -> bytes:
+    """Sorted hashes as differences, the bytes of equal weight together."""
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(words, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _open_words(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of two 32-bit keys: the row that stands for each distinct pair, and each row's number among those."""
     _, first, number = np.unique((keys[0].astype(np.int64) << 32) | keys[1].astype(np.int64), return_index=True, return_inverse=True)
     return first, number
 
 
-def _slices(buckets: int):
-    """A row per slice of texts and bucket of the word before: the distinct triples of words, how often the training rows have them, and where they occur.
+def _slices(buckets: int, context: int):
+    """A row per slice of texts and bucket of the word before: the distinct words with their contexts, how often the training rows have them, and where they occur.
 
     The bucket of END, which every text's first token falls into, also gets the ids and sizes of the slice's texts.
     """
@@ -175,33 +192,33 @@ def _slices(buckets: int):
         for batch in batches:
             for part in text_slices(batch, 1, 8 << 20):
                 hashes, begins = word_hashes(part.column(1))
-                tokens = np.insert(hashes, begins[1:], END)
+                tokens = np.insert(hashes >> CUT, begins[1:], END)
                 sizes = np.diff(begins) + 1
                 first = np.cumsum(sizes) - sizes
                 words, ids = np.unique(tokens, return_inverse=True)
-                order = np.argsort(words % np.uint64(buckets), kind="stable")  # words of a bucket stand together
+                spot = (words % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(spot, kind="stable")  # words of a bucket stand together
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
-                words, ids = words[order], rank[ids]
                 end = ids[-1]  # every text ends with it
                 before = np.append(end, ids[:-1])
                 before[first] = end
-                two = np.append(end, before[:-1])
-                two[first] = end
                 doc = np.repeat(np.arange(part.num_rows), sizes)
-                left, right = (before << 32) | ids, (two << 32) | doc
-                order = np.lexsort((right, left))
-                left, right = left[order], right[order]
-                new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
-                start = np.flatnonzero(new)
+                left, right = (rank[before] << 32) | ids, doc
+                if context > 1:
+                    two = np.append(end, before[:-1])
+                    two[first] = end
+                    right = (two << 32) | doc
+                place = np.lexsort((right, left))
+                left, right = left[place], right[place]
+                start = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
                 times = np.diff(np.append(start, len(left)))
-                v, w, u, at = left[start] >> 32, left[start] & 0xFFFFFFFF, right[start] >> 32, right[start] & 0xFFFFFFFF
-                opens = np.append(True, (left[start][1:] != left[start][:-1]) | (u[1:] != u[:-1]))
-                cell = np.flatnonzero(opens)
+                left, right = left[start], right[start]
+                v, w, u, at = order[left >> 32], left & 0xFFFFFFFF, right >> 32, right & 0xFFFFFFFF
+                cell = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (u[1:] != u[:-1])))
                 train = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 counts = np.add.reduceat(times * train[at], cell)
                 reach = np.diff(np.append(cell, len(start)))
-                spot = (words % np.uint64(buckets)).astype(np.int64)
                 home = int(END % np.uint64(buckets))
                 edge = np.searchsorted(spot[v[cell]], np.arange(buckets + 1))
                 post = np.append(cell, len(start))[edge]
@@ -209,86 +226,112 @@ def _slices(buckets: int):
                     lo, hi = edge[b], edge[b + 1]
                     if lo == hi:
                         continue
-                    mine, own = cell[lo:hi], slice(post[b], post[b + 1])
-                    local, three = np.unique(np.concatenate([u[mine], v[mine], w[mine]]), return_inverse=True)
-                    n, at_home = hi - lo, b == home
+                    mine, own, n = cell[lo:hi], slice(post[b], post[b + 1]), hi - lo
+                    local, three = np.unique(np.concatenate([v[mine], w[mine], *([u[mine]] if context > 1 else [])]), return_inverse=True)
                     none = np.zeros(0)
-                    docs = part.column(0).to_numpy(zero_copy_only=False) if at_home else none
-                    blobs = {"words": words[local], "u": three[:n], "v": three[n : 2 * n], "w": three[2 * n :], "counts": counts[lo:hi], "reach": reach[lo:hi], "at": at[own], "times": times[own], "docs": docs, "sizes": sizes if at_home else none}
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([_pack(blobs[p], _KIND[p])], pa.binary()) for p in _PACK)], ["bucket", "slice", *_PACK])
+                    docs = part.column(0).to_numpy(zero_copy_only=False) if b == home else none
+                    blobs = {"u": three[2 * n :], "v": three[:n], "w": three[n : 2 * n], "counts": counts[lo:hi], "reach": reach[lo:hi], "at": at[own], "times": times[own], "docs": docs, "sizes": sizes if b == home else none}
+                    packed = [_pack_words(words[local]), *(_pack(blobs[p], kind) for p, kind in _KIND.items())]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["bucket", "slice", *_PACK])
                 number += 1
 
     return rows
 
 
-def _bucket(key: tuple, group: pa.Table) -> pa.Table:
-    """One row per bucket: its cells, the places where they occur slice by slice, and what the unigram restaurant and the discounts need."""
-    parts = [{p: _open(x, _KIND[p]) for p, x in row.items() if p in _KIND} for row in group.select(_PACK).to_pylist()]
-    words = np.unique(np.concatenate([p["words"] for p in parts]))
-    ids = [np.searchsorted(words, p["words"]) for p in parts]
-    u, v, w = (np.concatenate([i[p[x]] for i, p in zip(ids, parts, strict=True)]) for x in "uvw")
-    first, pair = _numbered(v, w)
-    pair_v, pair_w = v[first], w[first]
-    first, cell = _numbered(pair, u)
-    count = np.bincount(cell, weights=np.concatenate([p["counts"] for p in parts])).astype(np.int64)
-    pair, u = pair[first], u[first]
-    _, ctx2 = _numbered(pair_v[pair], u)
-    _, ctx1 = np.unique(pair_v, return_inverse=True)
-    sent = np.bincount(pair, weights=count > 0, minlength=len(pair_v))
-    raw = np.bincount(pair_w[pair], weights=count, minlength=len(words)).astype(np.int64)
-    tables = np.bincount(pair_w, weights=sent > 0, minlength=len(words)).astype(np.int64)
-    used = np.unique(pair_w)
-    cells = {"words": words, "pair": pair, "ctx2": ctx2, "ctx1": ctx1, "word": pair_w, "count": count}
-    posts = {p: [] for p in _POSTS}
-    at = 0
-    for p in parts:
-        n = len(p["u"])
-        for name in _POSTS:
-            posts[name].append(_pack(cell[at : at + n] if name == "cell" else p[name], _KIND.get(name, "<u4")))
-        at += n
-    row = {"bucket": key[0].as_py(), "slices": group.column("slice").to_pylist(), **posts, **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}, "stats": [float(x) for x in ((count == 1).sum(), (count == 2).sum(), (sent == 1).sum(), (sent == 2).sum())], "seen": words[used].view(np.int64).tolist(), "raw": raw[used].tolist(), "sent": tables[used].tolist()}
-    return pa.table({f.name: pa.array([row[f.name]], f.type) for f in _BUCKET_FIELDS})
+def _bucket(buckets: int, context: int):
+    def bucket(key: tuple, group: pa.Table) -> pa.Table:
+        """One row per bucket: its cells, the places where they occur slice by slice, and what the unigram restaurant and the discounts need."""
+        parts = [{p: _open(row[p], kind) for p, kind in _KIND.items()} | {"words": _open_words(row["words"])} for row in group.select(_PACK).to_pylist()]
+        words = np.unique(np.concatenate([p["words"] for p in parts]))
+        ids = [np.searchsorted(words, p["words"]).astype(np.uint32) for p in parts]
+        u, v, w = (np.concatenate([i[p[x]] for i, p in zip(ids, parts, strict=True)]) for x in "uvw")
+        first, cell = _numbered(v, w)
+        pair_v, pair_w = v[first], w[first]
+        pair = ctx2 = np.arange(len(first))
+        if context > 1:
+            first, cell = _numbered(cell, u)
+            pair, u = _numbered(v, w)[1][first], u[first]
+            _, ctx2 = _numbered(pair_v[pair], u)
+        count = np.bincount(cell, weights=np.concatenate([p["counts"] for p in parts])).astype(np.int64)
+        _, ctx1 = np.unique(pair_v, return_inverse=True)
+        sent = np.bincount(pair, weights=(count > 0) if context > 1 else count, minlength=len(pair_v))
+        raw = np.bincount(pair_w[pair], weights=count, minlength=len(words)).astype(np.int64)
+        tables = np.bincount(pair_w, weights=sent > 0, minlength=len(words)).astype(np.int64)
+        used = np.unique(pair_w)
+        posts = {p: [] for p in _POSTS}
+        at = 0
+        for p in parts:
+            n = len(p["v"])
+            for name in _POSTS:
+                posts[name].append(_pack(cell[at : at + n] if name == "cell" else p[name], _KIND.get(name, "<u4")))
+            at += n
+        cells = {"pair": pair, "ctx2": ctx2, "ctx1": ctx1, "word": pair_w, "count": count}
+        row = {"bucket": key[0].as_py(), "slices": group.column("slice").to_pylist(), **posts, "c_words": _pack_words(words), **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}}
+        row |= {"stats": [float(x) for x in ((count == 1).sum(), (count == 2).sum(), (sent == 1).sum(), (sent == 2).sum())], **_dealt(words[used], buckets, raw[used], tables[used])}
+        return pa.table({f.name: pa.array([row[f.name]], f.type) for f in _BUCKET_FIELDS})
+
+    return bucket
+
+
+def _dealt(words: np.ndarray, shards: int, raw: np.ndarray, sent: np.ndarray) -> dict[str, list[bytes]]:
+    """A bucket's words, their counts there and the tables they take there, packed for each shard of the unigram restaurant."""
+    spot = words % np.uint64(shards)
+    own = [np.flatnonzero(spot == s) for s in range(shards)]
+    return {"seen": [_pack_words(words[o]) for o in own], "raw": [_pack(raw[o], "<u8") for o in own], "sent": [_pack(sent[o], "<u8") for o in own]}
+
+
+def _shard(key: tuple, group: pa.Table) -> pa.Table:
+    """The unigram restaurant's words of one shard summed over all buckets, and dealt back to each; the first row also has the shard's totals."""
+    rows = group.to_pylist()
+    words = [_open_words(r["seen"]) for r in rows]
+    every = np.unique(np.concatenate(words))
+    at = [np.searchsorted(every, w) for w in words]
+    known, sent = (np.bincount(np.concatenate(at), weights=np.concatenate([_open(r[c], "<u8") for r in rows]), minlength=len(every)).astype(np.int64) for c in ("raw", "sent"))
+    totals = [float(x) for x in (known.sum(), (known > 0).sum(), sent.sum(), (sent > 0).sum(), (sent == 1).sum(), (sent == 2).sum())]
+    nothing = [0.0] * len(totals)
+    packed = [(r["bucket"], r["seen"], _pack(known[a], "<u8"), _pack(sent[a], "<u8"), nothing if i else totals) for i, (r, a) in enumerate(zip(rows, at, strict=True))]
+    return pa.table({n: pa.array(list(v), t) for (n, t), v in zip((("bucket", pa.int32()), ("p_seen", pa.binary()), ("p_known", pa.binary()), ("p_sent", pa.binary()), ("totals", pa.list_(pa.float64()))), zip(*packed, strict=True), strict=True)})
 
 
 _BUCKET_FIELDS = [
-    pa.field("bucket", pa.int32()), pa.field("slices", pa.list_(pa.int64())),
-    *(pa.field(p, pa.list_(pa.binary())) for p in _POSTS), *(pa.field(f"c_{k}", pa.binary()) for k in _CELLS),
-    pa.field("stats", pa.list_(pa.float64())), *(pa.field(n, pa.list_(pa.int64())) for n in ("seen", "raw", "sent")),
+    pa.field("bucket", pa.int32()), pa.field("slices", pa.list_(pa.int64())), *(pa.field(p, pa.list_(pa.binary())) for p in _POSTS),
+    *(pa.field(f"c_{k}", pa.binary()) for k in ("words", *_CELLS)), pa.field("stats", pa.list_(pa.float64())), *(pa.field(n, pa.list_(pa.binary())) for n in ("seen", "raw", "sent")),
 ]
-_BUCKET_ROW = "bucket int, slices array<long>, " + ", ".join(f"{p} array<binary>" for p in _POSTS) + ", " + ", ".join(f"c_{k} binary" for k in _CELLS) + ", stats array<double>, seen array<long>, raw array<long>, sent array<long>"
+_BUCKET_ROW = "bucket int, slices array<long>, " + ", ".join(f"{p} array<binary>" for p in _POSTS) + ", " + ", ".join(f"c_{k} binary" for k in ("words", *_CELLS)) + ", stats array<double>, seen array<binary>, raw array<binary>, sent array<binary>"
 
-#: So many (bucket, word) probabilities (48 MB) are broadcast to the buckets; more meet them in a shuffle join.
-BROADCAST_WORDS = 2_000_000
+#: So many packed bytes of the buckets' unigram counts are broadcast; more meet the buckets in a shuffle join.
+BROADCAST_BYTES = 64 << 20
 
 
-def _with_unigrams(rows: DataFrame, sent: DataFrame, how: Hierarchy) -> DataFrame:
-    """`rows` of buckets with their words' probabilities in the unigram restaurant.
+def _with_unigrams(rows: DataFrame, sent: DataFrame) -> tuple[DataFrame, list[float]]:
+    """`rows` of buckets with the counts of their words in the unigram restaurant, and that restaurant's totals.
 
-    `sent` (bucket, word, raw, sent) holds what the buckets' tables send: the unigram's
-    customers. Its base is continuous, so every known word has one table there, and the
-    mass of a new table is that of a word never learned.
+    `sent` has the packed counts and tables of each bucket, an entry a shard of words.
     """
-    unigrams = written(sent.groupBy("word").agg(F.sum("raw").alias("raw"), F.sum("sent").alias("sent")), "unigrams")
-    facts = unigrams.agg(F.sum("sent"), F.count_if(F.col("sent") > 0), F.count_if(F.col("sent") == 1), F.count_if(F.col("sent") == 2)).first()
-    customers, tables, ones, twos = (float(x or 0) for x in facts)
+    dealt = sent.select("bucket", F.posexplode(F.arrays_zip("seen", "raw", "sent")).alias("shard", "x")).select("bucket", "shard", "x.seen", "x.raw", "x.sent")
+    back = written(dealt.groupBy("shard").applyInArrow(_shard, "bucket int, p_seen binary, p_known binary, p_sent binary, totals array<double>"), "unigrams")
+    facts = back.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(6)), F.sum(F.expr("octet_length(p_seen) + octet_length(p_known) + octet_length(p_sent)"))).first()
+    own = back.groupBy("bucket").agg(F.collect_list(F.struct("p_seen", "p_known", "p_sent")).alias("unigrams"))
+    joined = rows.join(F.broadcast(own) if (facts[6] or 0) <= BROADCAST_BYTES else own, "bucket")
+    return joined, [float(x or 0) for x in facts[:6]]
+
+
+def _opened(row: dict, discounts: tuple[float, float], totals: list[float], how: Hierarchy, number: int) -> tuple[Restaurants, dict, np.ndarray, np.ndarray]:
+    """A bucket's restaurants, its cells, the unigram probability of each pair's word, and the training count of each pair's word.
+
+    The unigram restaurant's base is continuous, so every known word has one table there,
+    and the mass of a new table is that of a word never learned.
+    """
+    cells = {k: _open(row[f"c_{k}"], kind).astype(np.int64) for k, kind in _CELLS.items()} | {"words": _open_words(row["c_words"])}
+    known, sent = (np.zeros(len(cells["words"]), np.int64) for _ in range(2))
+    for part in row["unigrams"]:
+        at = np.searchsorted(cells["words"], _open_words(part["p_seen"]))
+        known[at], sent[at] = _open(part["p_known"], "<u8"), _open(part["p_sent"], "<u8")
+    _, _, customers, tables, ones, twos = totals
     discount = discount_of(ones, twos)
-    chance = F.when(F.col("sent") > 0, F.col("sent") - discount).otherwise(how.strength + discount * tables) / (how.strength + customers)
-    pairs = sent.select("bucket", "word").join(unigrams.select("word", F.col("raw").alias("known"), chance.alias("chance")), "word")
-    packed = pairs.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("word", "known", "chance"))).alias("p"))
-    packed = written(packed.select("bucket", F.col("p.word").alias("p_word"), F.col("p.known").alias("p_known"), F.col("p.chance").alias("p_chance")), "unigrams-of-buckets")
-    n_pairs = packed.agg(F.sum(F.size("p_word"))).first()[0] or 0
-    drop_written(unigrams)
-    return rows.join(F.broadcast(packed) if n_pairs <= BROADCAST_WORDS else packed, "bucket")
-
-
-def _opened(row: dict, discounts: tuple[float, float], how: Hierarchy, number: int) -> tuple[Restaurants, dict, np.ndarray, np.ndarray]:
-    """A bucket's restaurants, its cells, the unigram probability of each pair's word, and the training count of each pair's word."""
-    cells = {k: _open(row[f"c_{k}"], kind).astype(np.uint64 if k == "words" else np.int64) for k, kind in _CELLS.items()}
-    known = np.asarray(row["p_word"], dtype=np.int64)
-    order = np.argsort(known)
-    at = order[np.searchsorted(known[order], cells["words"][cells["word"]].view(np.int64))]
+    chance = np.where(sent > 0, sent - discount, how.strength + discount * tables) / (how.strength + customers)
     rng = np.random.default_rng([how.seed, number, row["bucket"]])
-    return Restaurants(cells, discounts, how, rng), cells, np.asarray(row["p_chance"])[at], np.asarray(row["p_known"], dtype=np.int64)[at]
+    return Restaurants(cells, discounts, how, rng), cells, chance[cells["word"]], known[cells["word"]]
 
 
 def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,9 +339,10 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
 
     Tokens are the words of a text, A-Z lower-cased, and one end. `learn` says which rows
     are learned from. `base_score` is the add-one unigram's log10 probability, `score` that
-    of the hierarchical Pitman-Yor model: a token is drawn in the restaurant of the two
-    tokens before it (the end mark stands before a text), whose parent is that of the one
-    token before, whose parent is the unigram restaurant. Its base is continuous: each known
+    of the hierarchical Pitman-Yor model: a token is drawn in the restaurant of the token
+    before it (the end mark stands before a text), whose parent is the unigram restaurant
+    that all contexts share; with `how.words` = 2 restaurants of two tokens come before,
+    whose parents are those of one. The unigram's base is continuous: each known
     word has one table there, and the mass of a new one goes to the single outcome of all
     words never learned (which `base_score` has too). Probabilities over these outcomes sum
     to one in every context. Tables are the customers of the parent.
@@ -310,10 +354,11 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     Predictive probabilities are averaged over the samples after burn-in. Perplexity is
     10 ** (-score / n_tokens).
 
-    Texts are read once. Triples of words go by the middle word to buckets, so that a
-    context and its parent are in one place, packed a row a slice and bucket; counts are
-    exact and grow with the corpus. Buckets grow in number with the input; the texts of one
-    frequent middle word are one bucket's work. Words are told apart by 64-bit hashes.
+    Texts are read once. Tokens go by the word before to buckets, so that a context and its
+    parent are in one place, packed a row a slice and bucket; the unigram restaurant lies in
+    shards of words. Counts are exact and grow with the corpus. Buckets grow in number with
+    the input, but the followers of one frequent word are one bucket's work. Words are told
+    apart by 48 bits of a hash.
 
     Null and blank texts are one end token. Each row is scored by itself, also where ids
     repeat or are null. Texts of any length are read whole; ties do not arise; other columns
@@ -323,37 +368,36 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).cast("int").alias("learn"))
     source = source.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("doc_id"), "text", "learn")
     buckets = width_for(docs, 16 << 20)
-    slices = source.mapInArrow(lambda batches: tidied(_slices(buckets)(batches)), "bucket int, slice long, " + ", ".join(f"{p} binary" for p in _PACK))
-    rows = written(slices.groupBy("bucket").applyInArrow(_bucket, _BUCKET_ROW), "cells")
-    sent = rows.select("bucket", F.explode(F.arrays_zip(F.col("seen").alias("word"), "raw", "sent")).alias("x")).select("bucket", "x.word", "x.raw", "x.sent")
+    slices = source.mapInArrow(lambda batches: tidied(_slices(buckets, how.words)(batches)), "bucket int, slice long, " + ", ".join(f"{p} binary" for p in _PACK))
+    rows = written(slices.groupBy("bucket").applyInArrow(_bucket(buckets, how.words), _BUCKET_ROW), "cells")
     stats = rows.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(4))).first()
     discounts = (discount_of(stats[0] or 0, stats[1] or 0), discount_of(stats[2] or 0, stats[3] or 0))
-    words = sent.groupBy("word").agg(F.sum("raw").alias("raw"))
-    n, v = (x or 0 for x in words.agg(F.sum("raw"), F.count_if(F.col("raw") > 0)).first())
-    cells = ["bucket", *(f"c_{k}" for k in _CELLS)]
+    cells = ["bucket", *(f"c_{k}" for k in ("words", *_CELLS))]
+    first, totals = _with_unigrams(rows.select(*cells), rows.select("bucket", "seen", "raw", "sent"))
 
     def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tables that the words of each bucket take in restaurants of one word of context."""
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                place, own, below, _ = _opened(row, discounts, how, 0)
+                place, own, below, _ = _opened(row, discounts, totals, how, 0)
                 for _ in range(how.burn_in):
                     place.sweep(below)
-                tables = np.bincount(own["word"], weights=place.t1, minlength=len(own["words"])).astype(np.int64)
                 used = np.unique(own["word"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), row["bucket"]), pa.int32()), pa.array(own["words"][used].view(np.int64)), pa.array(tables[used])], ["bucket", "word", "sent"])
+                tables = np.bincount(own["word"], weights=place.t1, minlength=len(own["words"])).astype(np.int64)
+                raw = np.bincount(own["word"][own["pair"]], weights=own["count"], minlength=len(own["words"])).astype(np.int64)
+                dealt = _dealt(own["words"][used], buckets, raw[used], tables[used])
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), *(pa.array([x], pa.list_(pa.binary())) for x in dealt.values())], ["bucket", *dealt])
 
-    first = _with_unigrams(rows.select(*cells), sent, how)
-    again = written(first.mapInArrow(lambda b: tidied(sweeps(b)), "bucket int, word long, sent long"), "sent")
-    counts = sent.select("bucket", "word", "raw").join(again.select("bucket", "word", "sent"), ["bucket", "word"])
-    second = _with_unigrams(rows.select(*cells, "slices", *_POSTS), counts, how)
+    again = written(first.mapInArrow(lambda b: tidied(sweeps(b)), "bucket int, seen array<binary>, raw array<binary>, sent array<binary>"), "sent")
+    second, totals_again = _with_unigrams(rows.select(*cells, "slices", *_POSTS), again)
+    n, v = (int(x) for x in totals_again[:2])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                place, own, below, known = _opened(row, discounts, how, 1)
+                place, own, below, known = _opened(row, discounts, totals_again, how, 1)
                 known = known[own["pair"]]
                 of_cell = (known > 0, np.log10((known + 1) / (n + v + 1)), np.log10(place.averaged(below)))
                 for k, number in enumerate(row["slices"]):

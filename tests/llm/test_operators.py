@@ -267,14 +267,18 @@ def test_probabilities_of_a_context_sum_to_one():
     pair, ctx1 = v * words + w, np.repeat(np.arange(contexts), words)
     cells = {"count": rng.poisson(0.8, len(w)), "pair": pair, "ctx2": v * 4 + u, "ctx1": ctx1}
     below = np.tile(rng.dirichlet(np.ones(words)), contexts)
-    for place in (Restaurants(cells, (0.6, 0.5), Hierarchy(), rng),):
+    for place in (Restaurants(cells, (0.6, 0.5), Hierarchy(words=2), rng),):
         assert np.allclose(np.bincount(cells["ctx2"], weights=place.averaged(below)), 1)
         one, _ = place.chances(below)
         assert np.allclose(np.bincount(ctx1, weights=one), 1)
         assert (place.t2 <= cells["count"]).all() and ((place.t2 > 0) == (cells["count"] > 0)).all()
+    own = np.arange(len(pair) // 4)
+    short = {"count": rng.poisson(1.5, len(own)), "pair": own, "ctx2": own, "ctx1": ctx1}
+    assert np.allclose(np.bincount(ctx1, weights=Restaurants(short, (0.6, 0.5), Hierarchy(), rng).averaged(below)), 1)
 
 
-def test_word_order_matters(spark):
+@pytest.mark.parametrize("words", [1, 2])
+def test_word_order_matters(spark, words):
     rng = random.Random(6)
     follow = {w: rng.sample(WORDS, 3) for w in WORDS}
 
@@ -287,11 +291,11 @@ def test_word_order_matters(spark):
     texts = [walk() for _ in range(400)]
     mixed = [rng.sample(t, len(t)) for t in texts[:50]]
     rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *mixed])]
-    got = {r["doc_id"]: r for r in score_texts(table(spark, rows), F.col("doc_id").between(50, 399)).collect()}
+    got = {r["doc_id"]: r for r in score_texts(table(spark, rows), F.col("doc_id").between(50, 399), Hierarchy(words=words)).collect()}
     for i in range(50):  # neither was learned from
         assert math.isclose(got[i]["base_score"], got[400 + i]["base_score"], rel_tol=1e-9)
         assert got[i]["score"] > got[400 + i]["score"] + 20
-    nothing = score_texts(table(spark, rows[:3]), F.lit(False)).collect()
+    nothing = score_texts(table(spark, rows[:3]), F.lit(False), Hierarchy(words=words)).collect()
     assert [(r["n_known"], r["train_tokens"], round(r["score"], 9)) for r in nothing] == [(0, 0, 0.0)] * 3
 
 
