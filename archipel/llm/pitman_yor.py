@@ -241,18 +241,25 @@ def _slices(buckets: int, context: int):
 def _bucket(buckets: int, context: int):
     def bucket(key: tuple, group: pa.Table) -> pa.Table:
         """One row per bucket: its cells, the places where they occur slice by slice, and what the unigram restaurant and the discounts need."""
-        parts = [{p: _open(row[p], kind) for p, kind in _KIND.items()} | {"words": _open_words(row["words"])} for row in group.select(_PACK).to_pylist()]
-        words = np.unique(np.concatenate([p["words"] for p in parts]))
-        ids = [np.searchsorted(words, p["words"]).astype(np.uint32) for p in parts]
-        u, v, w = (np.concatenate([i[p[x]] for i, p in zip(ids, parts, strict=True)]) for x in "uvw")
+        parts = group.select(_PACK).to_pylist()
+        own = [_open_words(row["words"]) for row in parts]
+        words = np.unique(np.concatenate(own))
+        ids = [np.searchsorted(words, x).astype(np.uint32) for x in own]
+        lengths = [len(_open(row["v"], "<u4")) for row in parts]
+        v, w = (np.concatenate([i[_open(row[x], "<u4")] for i, row in zip(ids, parts, strict=True)]) for x in "vw")
         first, cell = _numbered(v, w)
         pair_v, pair_w = v[first], w[first]
+        del v, w
         pair = ctx2 = np.arange(len(first))
         if context > 1:
-            first, cell = _numbered(cell, u)
-            pair, u = _numbered(v, w)[1][first], u[first]
-            _, ctx2 = _numbered(pair_v[pair], u)
-        count = np.bincount(cell, weights=np.concatenate([p["counts"] for p in parts])).astype(np.int64)
+            u = np.concatenate([i[_open(row["u"], "<u4")] for i, row in zip(ids, parts, strict=True)])
+            of_pair = cell
+            first, cell = _numbered(of_pair, u)
+            pair = of_pair[first]
+            _, ctx2 = _numbered(pair_v[pair], u[first])
+            del u, of_pair
+        del own, ids, first
+        count = np.bincount(cell, weights=np.concatenate([_open(row["counts"], "<u4") for row in parts])).astype(np.int64)
         _, ctx1 = np.unique(pair_v, return_inverse=True)
         sent = np.bincount(pair, weights=(count > 0) if context > 1 else count, minlength=len(pair_v))
         raw = np.bincount(pair_w[pair], weights=count, minlength=len(words)).astype(np.int64)
@@ -260,10 +267,9 @@ def _bucket(buckets: int, context: int):
         used = np.unique(pair_w)
         posts = {p: [] for p in _POSTS}
         at = 0
-        for p in parts:
-            n = len(p["v"])
-            for name in _POSTS:
-                posts[name].append(_pack(cell[at : at + n] if name == "cell" else p[name], _KIND.get(name, "<u4")))
+        for n, part in zip(lengths, parts, strict=True):
+            for name in _POSTS:  # all but the cells' numbers go on as they came
+                posts[name].append(_pack(cell[at : at + n], "<u4") if name == "cell" else part[name])
             at += n
         cells = {"pair": pair, "ctx2": ctx2, "ctx1": ctx1, "word": pair_w, "count": count}
         row = {"bucket": key[0].as_py(), "slices": group.column("slice").to_pylist(), **posts, "c_words": _pack_words(words), **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}}
