@@ -56,6 +56,15 @@ def written(df: DataFrame, label: str = "table", path: str | None = None, partit
     return out
 
 
+def written_in_buckets(df: DataFrame, key: str, number: int, label: str = "table") -> DataFrame:
+    """`df` as a table in the shared folder, bucketed by `key`: joins on the key leave its rows where they are."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(number, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Removes tables made by `written` that nothing reads any more."""
     for df in tables:

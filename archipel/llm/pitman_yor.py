@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipel.llm.common import drop_written, tidied, width_for, written
+from archipel.llm.common import drop_written, tidied, width_for, written, written_in_buckets
 from archipel.llm.minhash import word_hashes
 from archipel.llm.token_memo import text_slices
 
@@ -305,21 +305,17 @@ _BUCKET_FIELDS = [
 ]
 _BUCKET_ROW = "bucket int, slices array<long>, " + ", ".join(f"{p} array<binary>" for p in _POSTS) + ", " + ", ".join(f"c_{k} binary" for k in ("words", *_CELLS)) + ", stats array<double>, seen array<binary>, raw array<binary>, sent array<binary>"
 
-#: So many packed bytes of the buckets' unigram counts are broadcast; more meet the buckets in a shuffle join.
-BROADCAST_BYTES = 64 << 20
-
-
 def _with_unigrams(rows: DataFrame, sent: DataFrame) -> tuple[DataFrame, list[float]]:
     """`rows` of buckets with the counts of their words in the unigram restaurant, and that restaurant's totals.
 
-    `sent` has the packed counts and tables of each bucket, an entry a shard of words.
+    `sent` has the packed counts and tables of each bucket, an entry a shard of words. The
+    buckets' rows stay where they are: only the unigram's counts move.
     """
     dealt = sent.select("bucket", F.posexplode(F.arrays_zip("seen", "raw", "sent")).alias("shard", "x")).select("bucket", "shard", "x.seen", "x.raw", "x.sent")
     back = written(dealt.groupBy("shard").applyInArrow(_shard, "bucket int, p_seen binary, p_known binary, p_sent binary, totals array<double>"), "unigrams")
-    facts = back.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(6)), F.sum(F.expr("octet_length(p_seen) + octet_length(p_known) + octet_length(p_sent)"))).first()
+    facts = back.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(6))).first()
     own = back.groupBy("bucket").agg(F.collect_list(F.struct("p_seen", "p_known", "p_sent")).alias("unigrams"))
-    joined = rows.join(F.broadcast(own) if (facts[6] or 0) <= BROADCAST_BYTES else own, "bucket")
-    return joined, [float(x or 0) for x in facts[:6]]
+    return rows.join(own.hint("merge"), "bucket"), [float(x or 0) for x in facts]
 
 
 def _opened(row: dict, discounts: tuple[float, float], totals: list[float], how: Hierarchy, number: int) -> tuple[Restaurants, dict, np.ndarray, np.ndarray]:
@@ -375,7 +371,7 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     source = source.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("doc_id"), "text", "learn")
     buckets = width_for(docs, 16 << 20)
     slices = source.mapInArrow(lambda batches: tidied(_slices(buckets, how.words)(batches)), "bucket int, slice long, " + ", ".join(f"{p} binary" for p in _PACK))
-    rows = written(slices.groupBy("bucket").applyInArrow(_bucket(buckets, how.words), _BUCKET_ROW), "cells")
+    rows = written_in_buckets(slices.groupBy("bucket").applyInArrow(_bucket(buckets, how.words), _BUCKET_ROW), "bucket", buckets, "cells")
     stats = rows.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(4))).first()
     discounts = (discount_of(stats[0] or 0, stats[1] or 0), discount_of(stats[2] or 0, stats[3] or 0))
     cells = ["bucket", *(f"c_{k}" for k in ("words", *_CELLS))]
