@@ -177,8 +177,14 @@ def _open_words(blob: bytes) -> np.ndarray:
 
 def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of two 32-bit keys: the row that stands for each distinct pair, and each row's number among those."""
-    _, first, number = np.unique((keys[0].astype(np.int64) << 32) | keys[1].astype(np.int64), return_index=True, return_inverse=True)
-    return first, number
+    key = (keys[0].astype(np.int64) << 32) | keys[1]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    del key
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return order[new], number
 
 
 def _slices(buckets: int, context: int):
@@ -324,7 +330,7 @@ def _opened(row: dict, discounts: tuple[float, float], totals: list[float], how:
     The unigram restaurant's base is continuous, so every known word has one table there,
     and the mass of a new table is that of a word never learned.
     """
-    cells = {k: _open(row[f"c_{k}"], kind).astype(np.int64) for k, kind in _CELLS.items()} | {"words": _open_words(row["c_words"])}
+    cells = {k: _open(row[f"c_{k}"], kind).astype(np.int64 if k == "count" else np.int32) for k, kind in _CELLS.items()} | {"words": _open_words(row["c_words"])}
     known, sent = (np.zeros(len(cells["words"]), np.int64) for _ in range(2))
     for part in row["unigrams"]:
         at = np.searchsorted(cells["words"], _open_words(part["p_seen"]))
@@ -398,15 +404,18 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+                row = batch.select([*cells, "slices", "unigrams"]).slice(i, 1).to_pylist()[0]
                 place, own, below, known = _opened(row, discounts, totals_again, how, 1)
                 known = known[own["pair"]]
                 of_cell = (known > 0, np.log10((known + 1) / (n + v + 1)), np.log10(place.averaged(below)))
-                for k, number in enumerate(row["slices"]):
-                    cell, reach, at, times = (_open(row[p][k], "<u4") for p in ("cell", "reach", "at", "times"))
+                slices = row.pop("slices")
+                del row, place, own, below, known
+                posts = {p: batch.column(batch.schema.get_field_index(p))[i] for p in _POSTS}
+                for k, number in enumerate(slices):
+                    cell, reach, at, times = (_open(posts[p][k].as_py(), "<u4") for p in ("cell", "reach", "at", "times"))
                     cell = np.repeat(cell, reach)
                     sums = [np.bincount(at, weights=times * x[cell]) for x in of_cell]
-                    blobs = [_pack(x, "<f8") for x in sums] + [row["docs"][k], row["sizes"][k]]
+                    blobs = [_pack(x, "<f8") for x in sums] + [posts["docs"][k].as_py(), posts["sizes"][k].as_py()]
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["slice", *_SUMS, "docs", "sizes"])
 
     partial = second.mapInArrow(lambda b: tidied(score(b)), "slice long, " + ", ".join(f"{x} binary" for x in (*_SUMS, "docs", "sizes")))
