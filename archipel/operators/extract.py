@@ -12,17 +12,26 @@ from archipel.sources.archives import pack_archives, read_archives, write_files
 
 
 def extract(spark: SparkSession, path: str, folder: str, strip: int = 0, strip_root: bool = False, unsafe: str = "refuse", overwrite: str = "always", selection: list[str] | None = None, password: bytes | None = None) -> DataFrame:
-    """Extracts files below `folder` and returns the summary row. All names are checked before a byte is written; symbolic links are counted, not made."""
+    """Extracts files below `folder` and returns the summary row. All names are checked before a byte is written; a hard link's name gets its target's bytes; symbolic links are counted, not made."""
     if os.path.islink(folder):
         raise ValueError("the destination is a link")
     rows = read_archives(spark, path, content=True, selection=selection, password=password).withColumn("kind", F.col("meta.kind"))
     planned = resolve_collisions(place(rows, strip, strip_root, False, unsafe), overwrite).persist()
     summary = extract_summary(planned).collect()
-    write_files(planned.where("status = 'placed' and kind = 'file'").select("path", "content"), folder)
+    placed = planned.where("status = 'placed'")
+    write_files(placed.where("kind = 'file'").select("path", "content").unionByName(_linked(rows, placed)), folder)
     planned.unpersist()
     return spark.createDataFrame(summary)
 
 
+def _linked(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(path, content) of placed hard links: the bytes of the file entry that they name, if it was read."""
+    links = placed.where("kind = 'hardlink'").select("archive", F.col("tar.linkname").alias("name"), "path")
+    # Of entries of one name the last is the file's content.
+    last = rows.where("kind = 'file'").groupBy("archive", "name").agg(F.max_by("content", "ordinal").alias("content"))
+    return links.join(last, ["archive", "name"]).select("path", "content")
+
+
 def create(spark: SparkSession, folder: str, archive: str, fmt: str = "zip", **how) -> DataFrame:
     """Packs all files below `folder` into one archive and returns files, bytes and archive_size."""
     root = os.path.abspath(folder)

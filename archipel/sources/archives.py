@@ -151,13 +151,16 @@ def split_volumes(archives: DataFrame, size: int) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Writes (path, content) rows under a folder that driver and executors share."""
+    """Writes (path, content) rows under a folder that driver and executors share; a path that links lead out of it is refused."""
     os.makedirs(folder, exist_ok=True)
+    root = os.path.realpath(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 target = os.path.join(folder, path)
+                if os.path.commonpath([root, os.path.realpath(os.path.dirname(target))]) != root:
+                    raise ValueError(f"{path} leads out of the destination")
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 with open(f"{target}.part", "wb") as out:
                     out.write(data)

@@ -197,6 +197,23 @@ def test_files_and_data_source(spark, tree, tmp_path):
     assert [(r["name"], len(r["content"])) for r in got] == [("nested/b.bin", 3000)]
 
 
+def test_hard_links_are_extracted(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "a.txt", "file", b"same", 1, 420, "i"), ("x", "d/b.txt", "file", b"same", 1, 420, "i"), ("x", "c.txt", "file", b"other", 1, 420, "j")], "archive string, name string, kind string, content binary, mtime long, mode int, inode string")
+    write_files(pack_archives(rows, "archive", "tar"), str(tmp_path / "in"))
+    extract(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {n: (tmp_path / "out" / n).read_bytes() for n in ("a.txt", "d/b.txt", "c.txt")} == {"a.txt": b"same", "d/b.txt": b"same", "c.txt": b"other"}
+
+
+def test_writing_does_not_follow_links_out(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "out/d").symlink_to(tmp_path / "elsewhere")
+    files = spark.createDataFrame([("d/x.txt", b"x")], "path string, content binary")
+    with pytest.raises(Exception, match="leads out"):
+        write_files(files, str(tmp_path / "out"))
+    assert not list((tmp_path / "elsewhere").iterdir())
+
+
 def test_refused_options(tree):
     for how in ({"fmt": "tar.Z"}, {"fmt": "tar", "password": b"x"}, {"fmt": "zip", "sparse": True}, {"method": "lzma"}):
         with pytest.raises(ValueError):
