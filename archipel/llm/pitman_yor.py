@@ -76,7 +76,7 @@ def reseat(counts: np.ndarray, others: np.ndarray, above: np.ndarray, discount:
     order = np.argsort(counts, kind="stable")
     edge = np.searchsorted(counts[order], np.arange(2, how.exact + 2))
     for c, lo, hi in zip(range(2, how.exact + 1), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        step = max(1, (1 << 20) // c)
+        step = max(1, (1 << 18) // c)
         for at in range(lo, hi, step):
             own = order[at : min(hi, at + step)]
             more = np.log(how.strength + discount * (others[own, None] + np.arange(c))) + np.log(above[own, None])
@@ -101,7 +101,7 @@ class Restaurants:
         self.c2, self.pair, self.ctx2, self.ctx1 = cells["count"], cells["pair"], cells["ctx2"], cells["ctx1"]
         self.n2, self.n1 = int(self.ctx2.max(initial=-1)) + 1, int(self.ctx1.max(initial=-1)) + 1
         self.discounts, self.how, self.rng = discounts, how, rng
-        self.t2 = np.minimum(self.c2, 1).astype(np.float64)
+        self.t2 = np.minimum(self.c2, 1).astype(np.float64) if how.words > 1 else self.c2
         self.t1 = np.minimum(self._sent(), 1).astype(np.float64)
 
     def _sent(self) -> np.ndarray:
@@ -246,7 +246,7 @@ def _slices(buckets: int, context: int):
 
 def _bucket(buckets: int, context: int):
     def bucket(key: tuple, group: pa.Table) -> pa.Table:
-        """One row per bucket: its cells, the places where they occur slice by slice, and what the unigram restaurant and the discounts need."""
+        """The rows of a bucket: the places where its cells occur, slice by slice, in rows of about ROW_BYTES; the first (part 0) also has the cells and what the unigram restaurant and the discounts need."""
         parts = group.select(_PACK).to_pylist()
         own = [_open_words(row["words"]) for row in parts]
         words = np.unique(np.concatenate(own))
@@ -278,9 +278,15 @@ def _bucket(buckets: int, context: int):
                 posts[name].append(_pack(cell[at : at + n], "<u4") if name == "cell" else part[name])
             at += n
         cells = {"pair": pair, "ctx2": ctx2, "ctx1": ctx1, "word": pair_w, "count": count}
-        row = {"bucket": key[0].as_py(), "slices": group.column("slice").to_pylist(), **posts, "c_words": _pack_words(words), **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}}
+        row = {"c_words": _pack_words(words), **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}}
         row |= {"stats": [float(x) for x in ((count == 1).sum(), (count == 2).sum(), (sent == 1).sum(), (sent == 2).sum())], **_dealt(words[used], buckets, raw[used], tables[used])}
-        return pa.table({f.name: pa.array([row[f.name]], f.type) for f in _BUCKET_FIELDS})
+        slices = group.column("slice").to_pylist()
+        size = np.cumsum([sum(len(posts[p][k]) for p in _POSTS) for k in range(len(slices))])
+        cuts = [0, *(np.flatnonzero(np.diff(size // ROW_BYTES)) + 1).tolist(), len(slices)]
+        rows = []
+        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            rows.append({"bucket": key[0].as_py(), "part": part, "slices": slices[lo:hi], **{p: posts[p][lo:hi] for p in _POSTS}} | (row if not part else {}))
+        return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in _BUCKET_FIELDS})
 
     return bucket
 
@@ -305,11 +311,13 @@ def _shard(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(list(v), t) for (n, t), v in zip((("bucket", pa.int32()), ("p_seen", pa.binary()), ("p_known", pa.binary()), ("p_sent", pa.binary()), ("totals", pa.list_(pa.float64()))), zip(*packed, strict=True), strict=True)})
 
 
+#: Packed bytes of places in a row: rows are copied whole several times on their way.
+ROW_BYTES = 8 << 20
 _BUCKET_FIELDS = [
-    pa.field("bucket", pa.int32()), pa.field("slices", pa.list_(pa.int64())), *(pa.field(p, pa.list_(pa.binary())) for p in _POSTS),
+    pa.field("bucket", pa.int32()), pa.field("part", pa.int32()), pa.field("slices", pa.list_(pa.int64())), *(pa.field(p, pa.list_(pa.binary())) for p in _POSTS),
     *(pa.field(f"c_{k}", pa.binary()) for k in ("words", *_CELLS)), pa.field("stats", pa.list_(pa.float64())), *(pa.field(n, pa.list_(pa.binary())) for n in ("seen", "raw", "sent")),
 ]
-_BUCKET_ROW = "bucket int, slices array<long>, " + ", ".join(f"{p} array<binary>" for p in _POSTS) + ", " + ", ".join(f"c_{k} binary" for k in ("words", *_CELLS)) + ", stats array<double>, seen array<binary>, raw array<binary>, sent array<binary>"
+_BUCKET_ROW = "bucket int, part int, slices array<long>, " + ", ".join(f"{p} array<binary>" for p in _POSTS) + ", " + ", ".join(f"c_{k} binary" for k in ("words", *_CELLS)) + ", stats array<double>, seen array<binary>, raw array<binary>, sent array<binary>"
 
 def _with_unigrams(rows: DataFrame, sent: DataFrame) -> tuple[DataFrame, list[float]]:
     """`rows` of buckets with the counts of their words in the unigram restaurant, and that restaurant's totals.
@@ -321,7 +329,9 @@ def _with_unigrams(rows: DataFrame, sent: DataFrame) -> tuple[DataFrame, list[fl
     back = written(dealt.groupBy("shard").applyInArrow(_shard, "bucket int, p_seen binary, p_known binary, p_sent binary, totals array<double>"), "unigrams")
     facts = back.agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(6))).first()
     own = back.groupBy("bucket").agg(F.collect_list(F.struct("p_seen", "p_known", "p_sent")).alias("unigrams"))
-    return rows.join(own.hint("merge"), "bucket"), [float(x or 0) for x in facts]
+    own = own.withColumnRenamed("bucket", "of_bucket").hint("merge")
+    joined = rows.join(own, (F.col("bucket") == F.col("of_bucket")) & (F.col("part") == 0), "left").drop("of_bucket")
+    return joined.sortWithinPartitions("bucket", "part"), [float(x or 0) for x in facts]
 
 
 def _opened(row: dict, discounts: tuple[float, float], totals: list[float], how: Hierarchy, number: int) -> tuple[Restaurants, dict, np.ndarray, np.ndarray]:
@@ -380,8 +390,8 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     rows = written_in_buckets(slices.groupBy("bucket").applyInArrow(_bucket(buckets, how.words), _BUCKET_ROW), "bucket", buckets, "cells")
     stats = rows.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(4))).first()
     discounts = (discount_of(stats[0] or 0, stats[1] or 0), discount_of(stats[2] or 0, stats[3] or 0))
-    cells = ["bucket", *(f"c_{k}" for k in ("words", *_CELLS))]
-    first, totals = _with_unigrams(rows.select(*cells), rows.select("bucket", "seen", "raw", "sent"))
+    cells = ["bucket", "part", *(f"c_{k}" for k in ("words", *_CELLS))]
+    first, totals = _with_unigrams(rows.where("part = 0").select(*cells), rows.where("part = 0").select("bucket", "seen", "raw", "sent"))
 
     def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tables that the words of each bucket take in restaurants of one word of context."""
@@ -404,13 +414,13 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.select([*cells, "slices", "unigrams"]).slice(i, 1).to_pylist()[0]
-                place, own, below, known = _opened(row, discounts, totals_again, how, 1)
-                known = known[own["pair"]]
-                of_cell = (known > 0, np.log10((known + 1) / (n + v + 1)), np.log10(place.averaged(below)))
-                slices = row.pop("slices")
-                del row, place, own, below, known
-                posts = {p: batch.column(batch.schema.get_field_index(p))[i] for p in _POSTS}
+                columns = {c: batch.column(batch.schema.get_field_index(c))[i] for c in (*cells, "unigrams", "slices", *_POSTS)}
+                if columns["part"].as_py() == 0:  # the bucket's other rows follow
+                    place, own, below, known = _opened({c: columns[c].as_py() for c in (*cells, "unigrams")}, discounts, totals_again, how, 1)
+                    known = known[own["pair"]]
+                    of_cell = (known > 0, np.log10((known + 1) / (n + v + 1)), np.log10(place.averaged(below)))
+                    del place, own, below, known
+                posts, slices = {p: columns[p] for p in _POSTS}, columns["slices"].as_py()
                 for k, number in enumerate(slices):
                     cell, reach, at, times = (_open(posts[p][k].as_py(), "<u4") for p in ("cell", "reach", "at", "times"))
                     cell = np.repeat(cell, reach)
