@@ -387,7 +387,7 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
     source = source.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("doc_id"), "text", "learn")
     buckets = width_for(docs, 16 << 20)
     slices = source.mapInArrow(lambda batches: tidied(_slices(buckets, how.words)(batches)), "bucket int, slice long, " + ", ".join(f"{p} binary" for p in _PACK))
-    rows = written_in_buckets(slices.groupBy("bucket").applyInArrow(_bucket(buckets, how.words), _BUCKET_ROW), "bucket", buckets, "cells")
+    rows = written_in_buckets(slices.groupBy("bucket").applyInArrow(_bucket(buckets, how.words), _BUCKET_ROW), "bucket", 4 * buckets, "cells")  # so that few buckets share a task
     stats = rows.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(4))).first()
     discounts = (discount_of(stats[0] or 0, stats[1] or 0), discount_of(stats[2] or 0, stats[3] or 0))
     cells = ["bucket", "part", *(f"c_{k}" for k in ("words", *_CELLS))]
