@@ -21,16 +21,22 @@ NUMBER_PATTERN = r"\p{N}+(?:[.,:/]\p{N}+)*"
 UNIT_PATTERN = rf"{NUMBER} +({UNITS})([^\p{{L}}])"
 GAP_PATTERN = rf"[^\p{{L}}{NAME}-{UNIT}]+"
 
+#: The same for Java, which recurses at each turn of a repeated group unless it may not go back: a thousand names in a row
+#: overflow a task's stack, which ends the executor. What follows a turn here never begins with what the turn may give back,
+#: so both forms match the same.
+_JAVA_NAME = r"([\p{L}\p{N},;] )\p{Lu}\p{L}*+(?: \p{Lu}\p{L}*+)*+"
+_JAVA_NUMBER = r"\p{N}++(?:[.,:/]\p{N}++)*+"
+
 #: Above this many windows the benchmark side is shuffled, not broadcast.
 BROADCAST_WINDOWS = 2_000_000
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), NAME_PATTERN, f"$1 {NAME} ")
+    return F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), _JAVA_NAME, f"$1 {NAME} ")
 
 
 def _numbered(named: Column) -> Column:
-    return F.regexp_replace(F.lower(named), NUMBER_PATTERN, f" {NUMBER} ")
+    return F.regexp_replace(F.lower(named), _JAVA_NUMBER, f" {NUMBER} ")
 
 
 def template(text: Column) -> Column:
@@ -53,7 +59,7 @@ def slots(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     named = _named(text)
     padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    found = {NAME: F.transform(F.regexp_extract_all(padded, F.lit(NAME_PATTERN), F.lit(0)), lambda v: F.lower(v.substr(F.lit(3), F.length(v)))), NUMBER: F.regexp_extract_all(F.lower(named), F.lit(NUMBER_PATTERN), F.lit(0)), UNIT: F.regexp_extract_all(_numbered(named), F.lit(UNIT_PATTERN), F.lit(1))}
+    found = {NAME: F.transform(F.regexp_extract_all(padded, F.lit(_JAVA_NAME), F.lit(0)), lambda v: F.lower(v.substr(F.lit(3), F.length(v)))), NUMBER: F.regexp_extract_all(F.lower(named), F.lit(_JAVA_NUMBER), F.lit(0)), UNIT: F.regexp_extract_all(_numbered(named), F.lit(UNIT_PATTERN), F.lit(1))}
     base = df.select(F.col(id_col).alias("id"), F.transform(template(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))).alias("words"), F.array(*(values.alias(mark) for mark, values in found.items())).alias("found"))
 
     def places(mark: str) -> Column:

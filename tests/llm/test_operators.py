@@ -176,6 +176,13 @@ def test_decontamination_sees_through_parameters(spark):
     assert contaminated(table(spark, texts), items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [" Thouingerinoran" * 50_000, " 1" + ".1" * 50_000])
+def test_decontamination_reads_long_runs_of_names_and_numbers(spark, run):
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    got = contaminated(table(spark, [(0, f"the{run} ends. {ITEM} After."), (1, f"the{run} ends")]), items).collect()
+    assert [(r["doc_id"], r["coverage"]) for r in got] == [(0, 1.0)]
+
+
 def test_search_matches_brute_force(spark):
     texts = corpus(9)
     docs = table(spark, texts + [(None, "w1 w2")])
