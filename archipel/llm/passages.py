@@ -71,8 +71,8 @@ def anchors(order: np.ndarray, begin: int, end: int, how: Paragraphs) -> np.ndar
     return begin + np.flatnonzero(places == reach)
 
 
-def _cut(texts: pa.Array, how: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The paragraphs of the texts: text, place among its words, and hash of each; and the hashes of all shingles, moved to where paragraphs begin."""
+def _cut(texts: pa.Array, how: Paragraphs) -> tuple[np.ndarray, ...]:
+    """The paragraphs of the texts: text, place among its words, name (hash and parities) and other parities of each; its shingles' hashes in order, and which are the first of their value."""
     hashes, begins = word_hashes(texts)
     # Anchors depend on three words only, so passages anchor alike up to their edges.
     order = _runs(hashes, 3)
@@ -84,7 +84,11 @@ def _cut(texts: pa.Array, how: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.n
     for k in range(how.length):
         whole = mixed(whole + hashes[at + k])
     shingles = _runs(hashes, how.width)
-    return owner, at - begins[:-1][owner], whole, np.lib.stride_tricks.sliding_window_view(shingles, how.length - how.width + 1)[at] if len(at) else np.zeros((0, how.length - how.width + 1), np.uint64)
+    items = np.lib.stride_tricks.sliding_window_view(shingles, how.length - how.width + 1)[at] if len(at) else np.zeros((0, how.length - how.width + 1), np.uint64)
+    items, first = _distinct(items)
+    marks = _parity(items, first, 64)
+    whole = whole >> np.uint64(32) << np.uint64(32) | marks >> np.uint64(32)
+    return owner, at - begins[:-1][owner], whole, marks & np.uint64(0xFFFFFFFF), items, first
 
 
 def _distinct(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +106,7 @@ def _parity(items: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
 def _paragraph_rows(how: Paragraphs):
     """Entries (key, whole, doc, pos): a key is one of a paragraph's least shingles in its upper half, and 32 parities of the shingles in its lower.
 
+    `whole` names the paragraph: a hash of its words in the upper half, 32 further parities in the lower.
     The entries of the least shingle have the place and list every paragraph; in the others
     pos is -1, and of a paragraph that repeats within a slice they have the least and the
     greatest document.
@@ -111,7 +116,7 @@ def _paragraph_rows(how: Paragraphs):
         for batch in batches:
             for part in text_slices(batch, 1, 4 << 20):
                 docs = part.column(0).to_numpy(zero_copy_only=False)
-                owner, pos, whole, items = _cut(part.column(1), how)
+                owner, pos, whole, low, items, first = _cut(part.column(1), how)
                 doc = docs[owner]
                 order = np.lexsort((pos, doc, whole))
                 doc, pos, whole = doc[order], pos[order], whole[order]
@@ -122,13 +127,12 @@ def _paragraph_rows(how: Paragraphs):
                 ends = ~same[: len(whole)] | (last & (doc != least))
                 for lo in range(0, len(order), 16384):
                     here = slice(lo, lo + 16384)
-                    own, first = _distinct(items[order[here]])
-                    low = _parity(own, first, 32)
-                    rank = np.cumsum(first, axis=1) - 1
-                    used = first & (rank < how.prefix(first.sum(axis=1))[:, None])
+                    own, new, mark = items[order[here]], first[order[here]], low[order[here]]
+                    rank = np.cumsum(new, axis=1) - 1
+                    used = new & (rank < how.prefix(new.sum(axis=1))[:, None])
                     used &= (rank == 0) | ends[here][:, None]
                     row, col = np.nonzero(used)
-                    key = (mixed(own[row, col]) >> np.uint64(32) << np.uint64(32)) | low[row]
+                    key = (mixed(own[row, col]) >> np.uint64(32) << np.uint64(32)) | mark[row]
                     places = np.where(col == 0, pos[here][row], -1)
                     columns = [key.view(np.int64), whole[here][row].view(np.int64), doc[here][row].astype(np.int64), places.astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "whole", "doc", "pos"])
@@ -206,7 +210,7 @@ def _meetings(how: Paragraphs, most: int = 64):
             member = listed[np.bincount(node[listed], minlength=node[-1] + 1)[node[listed]] > 1]
             heads = np.flatnonzero(new)
             name, low, high = whole[heads], doc[heads], doc[np.append(heads[1:], len(key)) - 1]
-            marks = (key[heads] & 0xFFFFFFFF).astype(np.uint32)
+            marks = (key[heads] & 0xFFFFFFFF).astype(np.uint64) << np.uint64(32) | (name & 0xFFFFFFFF).astype(np.uint64)
             i, j, crowds = _in_groups(key[heads] >> 32, most)
             kept = (np.bitwise_count(marks[i] ^ marks[j]) <= how.apart) & (name[i] != name[j]) & _apart(low, high, i, j)
             links = [np.column_stack([i[kept], j[kept]])]
@@ -228,7 +232,7 @@ def _contents(how: Paragraphs):
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1, 4 << 20):
-                owner, pos, whole, items = _cut(part.column(1), how)
+                owner, pos, whole, _, items, _ = _cut(part.column(1), how)
                 asked = part.column(2)
                 wanted = set(zip(np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(asked))).tolist(), pc.list_flatten(asked).to_pylist(), strict=True))
                 kept = np.array([(o, w) in wanted for o, w in zip(owner.tolist(), whole.view(np.int64).tolist(), strict=True)], dtype=bool)
@@ -299,8 +303,8 @@ def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: s
 
     Text runs on across lines, so paragraphs are not lines here: a paragraph is `how.length`
     words from a content-defined anchor, and any shared run of 51 words holds one. Equal
-    paragraphs are members of the same cluster without further proof (64 bits of hash and
-    32 parities agree). Unequal ones are found by prefix filtering, which misses none:
+    paragraphs are members of the same cluster without further proof (32 bits of hash and
+    64 parities agree). Unequal ones are found by prefix filtering, which misses none:
     sets of five-word shingles whose exact Jaccard similarity reaches `how.threshold`
     share one of their least members. All paragraphs with such a member in common are
     compared by parities, which only drop pairs below the threshold; what is left joins to

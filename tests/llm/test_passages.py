@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from archipel.llm.minhash import word_hashes
-from archipel.llm.passages import Paragraphs, _runs, anchors, repeated_passages
+from archipel.llm.passages import Paragraphs, _meetings, _paragraph_rows, _runs, anchors, repeated_passages
 
 SCHEMA = "doc_id long, text string"
 
@@ -81,3 +81,17 @@ def test_more_than_the_first_document_of_a_paragraph_counts(spark):
     # Document 1 has both, document 2 one of them: the other is near it all the same.
     texts = [(1, " ".join([*shared, *(f"m{i}" for i in range(40)), *near])), (2, " ".join(shared))]
     check(spark, texts)
+
+
+def test_paragraphs_that_share_a_phrase_only_make_no_crowd():
+    rng = random.Random(12)
+    words = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [words(5) for _ in range(40)]
+    texts = [" ".join(words(14) + phrases[i % 40] + words(13)) for i in range(40 * 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "text"])
+    entries = pa.Table.from_batches(_paragraph_rows(Paragraphs())(iter([batch])))
+    entries = entries.sort_by([(c, "ascending") for c in ("key", "whole", "doc", "pos")]).combine_chunks()
+    groups = np.unique(entries.column("key").to_numpy() >> 32, return_counts=True)[1]
+    assert (groups * (groups - 1) // 2).sum() > 3000  # pairs that meet
+    links = sum(len(b.column("whole2").drop_null()) for b in _meetings(Paragraphs())(iter(entries.to_batches())))
+    assert links < 5
