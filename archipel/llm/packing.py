@@ -30,7 +30,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = memo(tokenizer)
         for batch in tidied(batches):
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, 2 << 20):
                 ids, number, start, length, crc, raw = [], [], [], [], [], []
                 tokens, begins = encode.encode(part.column(1))
                 for i, doc in enumerate(part.column(0).to_pylist()):

@@ -203,6 +203,19 @@ def test_memory_of_pieces_is_bounded_and_loses_nothing():
     assert (small.encode(texts)[0] == memo(BYTE).encode(texts)[0]).all()
 
 
+def test_a_worker_asks_for_two_hundred_thousand_pieces_once(monkeypatch):
+    from archipel.llm import token_memo
+
+    monkeypatch.setattr(token_memo, "_MEMOS", {})
+    own, asked = memo(BYTE), []
+    monkeypatch.setattr(own, "library", lambda texts: asked.append(len(texts)) or [b"ab"] * len(texts))
+    texts = pa.array([" ".join(f"q{i}" for i in range(lo, lo + 1000)) for lo in range(0, 200_000, 1000)])
+    own.encode(texts)
+    first = sum(asked)
+    own.encode(texts)
+    assert 200_000 <= first == sum(asked)
+
+
 def test_kernels():
     assert joined_crc32([zlib.crc32(b"ab"), zlib.crc32(b"c" * 5000), zlib.crc32(b"")], [2, 5000, 0]) == zlib.crc32(b"ab" + b"c" * 5000)
     ids = np.random.default_rng(1).integers(0, 50000, 20000).astype("<u2")
