@@ -216,6 +216,21 @@ def test_a_worker_asks_for_two_hundred_thousand_pieces_once(monkeypatch):
     assert 200_000 <= first == sum(asked)
 
 
+def test_unknown_words_are_asked_together_and_fall_apart_again(monkeypatch):
+    from archipel.llm.token_memo import PieceMemo
+
+    rng, own = random.Random(12), PieceMemo(BYTE, 1 << 20)
+    words = ["".join(rng.choice("abÄé的ß9,.!-\t\u00a0") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    words = [w for w in words if not w[0].isspace()] + ["a \u00a0 \u00a0", "x<|endoftext|>y", "\u0120", "Ġw"]
+    want, asked = own.library([" " + w for w in words]), []
+    library = own.library
+    monkeypatch.setattr(own, "library", lambda texts: asked.append(len(texts)) or library(texts))
+    assert own.after_spaces(words) == want and own.after_spaces([]) == []
+    assert sum(asked) < len(words) / 10
+    own.known.now.clear()
+    assert own.of_pieces(["\x02start", *words[:50], "\x02."]) == [*library(["start"]), *want[:50], *library(["."])]
+
+
 def test_kernels():
     assert joined_crc32([zlib.crc32(b"ab"), zlib.crc32(b"c" * 5000), zlib.crc32(b"")], [2, 5000, 0]) == zlib.crc32(b"ab" + b"c" * 5000)
     ids = np.random.default_rng(1).integers(0, 50000, 20000).astype("<u2")
