@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from archipel.llm.common import tidy
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stands before the first piece of a text, which has no space before it.
@@ -177,3 +179,10 @@ def memo(path: str) -> PieceMemo:
     if path not in _MEMOS:
         _MEMOS[path] = PieceMemo(path, PIECE_BYTES)
     return _MEMOS[path]
+
+
+def forget() -> None:
+    """Drops what this worker process holds of pieces: for operators that do not tokenize but reuse a worker that did."""
+    if _MEMOS:
+        _MEMOS.clear()
+        tidy()

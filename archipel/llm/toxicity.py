@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from archipel.llm.common import drop_written, tidied, tidy, written
 from archipel.llm.minhash import mixed
-from archipel.llm.token_memo import ragged_take, text_slices
+from archipel.llm.token_memo import forget, ragged_take, text_slices
 
 _EDGE = ".,;:!?|()[]{}\"'<>*_-"
 
@@ -52,16 +52,20 @@ def subwords(words: list[str], how: Training) -> tuple[np.ndarray, np.ndarray]:
     bare = np.setdiff1d(np.arange(len(words)), of[0] if of else [])  # nothing but marks, or a single letter
     found.append(np.zeros(len(bare), np.int32))
     of.append(bare.astype(np.int32))
+    del marked, codes, owner
     buckets, of = np.concatenate(found), np.concatenate(of)
+    del found
     order = np.argsort(of, kind="stable")
-    return buckets[order], np.bincount(of, minlength=len(words))
+    n_sub = np.bincount(of, minlength=len(words))
+    del of
+    return buckets[order], n_sub
 
 
 def word_index(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """For each word of the texts its place among the distinct words; the distinct words; where each text begins (and the end)."""
     cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")))
     coded = pc.list_flatten(cut).dictionary_encode()
-    return np.asarray(coded.indices), coded.dictionary.to_pylist(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
+    return np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
 
 
 def _evidence(word_of: np.ndarray, entries: np.ndarray, buckets: np.ndarray, n_sub: np.ndarray, labels: np.ndarray, how: Training) -> tuple[np.ndarray, np.ndarray]:
@@ -97,31 +101,36 @@ def fit(texts: list[str], labels: np.ndarray, how: Training = Training()) -> tup
     docs = np.repeat(np.arange(len(texts)), np.diff(begins))
     pair, count = np.unique(docs * len(words) + index, return_counts=True)
     doc_of, word_of = (pair // len(words)).astype(np.int32), (pair % len(words)).astype(np.int32)
-    del docs, index, pair
+    del docs, index, pair, texts
     buckets, n_sub = subwords(words, how)
-    odds, sure = _evidence(word_of, np.bincount(doc_of, minlength=len(texts)), buckets, n_sub, labels, how)
-    used, slot = np.unique(buckets, return_inverse=True)
-    slot = slot.astype(np.int32)
-    sub_word = np.repeat(np.arange(len(words), dtype=np.int32), n_sub)
+    odds, sure = _evidence(word_of, np.bincount(doc_of, minlength=len(labels)), buckets, n_sub, labels, how)
+    used = np.unique(buckets)
+    place = np.zeros(how.buckets, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    slot, n_of = place[buckets], len(words)
+    sub_word = np.repeat(np.arange(n_of, dtype=np.int32), n_sub)
     part = 1 / n_sub[sub_word]
     share = count / n_words[doc_of]
     rng = np.random.default_rng(how.seed)
+    n_texts = len(labels)
     weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
     begin = odds[used] * sure[used] ** 2 / (sure[used] ** 2 + how.least_sure**2)
+    del buckets, place, odds, sure, words
+    tidy()
     params = [begin[:, None] * rng.normal(1, 0.1, how.dim), np.column_stack([-np.ones(how.dim), np.ones(how.dim)]) / how.dim, np.zeros(2)]
     origin = params[0].copy()
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2)[labels]
     for step in range(1, how.rounds + 1):
         table, out, bias = params
-        of_word = [np.bincount(sub_word, weights=table[slot, d] * part, minlength=len(words)) for d in range(how.dim)]
-        means = np.column_stack([np.bincount(doc_of, weights=w[word_of] * share, minlength=len(texts)) for w in of_word])
+        of_word = [np.bincount(sub_word, weights=table[slot, d] * part, minlength=n_of) for d in range(how.dim)]
+        means = np.column_stack([np.bincount(doc_of, weights=w[word_of] * share, minlength=n_texts) for w in of_word])
         logits = means @ out + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
         wrong = (chance - target) * weight
         back = wrong @ out.T
-        to_word = [np.bincount(word_of, weights=back[doc_of, d] * share, minlength=len(words)) for d in range(how.dim)]
+        to_word = [np.bincount(word_of, weights=back[doc_of, d] * share, minlength=n_of) for d in range(how.dim)]
         slope = np.column_stack([np.bincount(slot, weights=w[sub_word] * part, minlength=len(used)) for w in to_word]) + how.decay * (table - origin)
         for p, g, (m, v) in zip(params, [slope, means.T @ wrong, wrong.sum(axis=0)], moments, strict=True):
             m += 0.1 * (g - m)
@@ -166,11 +175,14 @@ def train(rows: DataFrame, how: Training) -> tuple[np.ndarray, float]:
     """Fits the sample `rows` in one task, whose row is the model: the driver holds no texts."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = sorted({row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label")), strict=True)})
-        weights, bias = fit([r[1] for r in held], np.array([r[2] for r in held], dtype=np.int64), how)
+        texts, labels = [r[1] for r in held], np.array([r[2] for r in held], dtype=np.int64)
+        del held
+        weights, bias = fit(texts, labels, how)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights[at].astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["at", "weights", "bias"])
-        del held, weights, at
+        del texts, weights, at
         tidy()
 
     model = written(rows.select("id", "text", "label").repartition(1).mapInArrow(learn, "at binary, weights binary, bias double"), "toxicity-model")
@@ -200,6 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
+            forget()
             for part in text_slices(batch, at):
                 own = scores(part.column(at), model.value, bias, how)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array((own >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"])

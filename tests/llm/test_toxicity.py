@@ -1,6 +1,7 @@
 """The classifier with its production parameters."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -24,3 +25,24 @@ def test_rare_families_and_misspelt_short_words_count():
     # Unseen spellings share edges with trained words, so each weighs more than nearly all clean words.
     single = lambda words: scores(pa.array(words), weights, bias, Training())
     assert single(["id1ot", "cl0wn", "tr@sh"]).min() > np.quantile(single(clean), 0.95)
+
+
+def test_training_takes_little_more_than_its_arrays():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=12)) for _ in range(100)) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        fit(texts, np.arange(200) % 2, Training(buckets=1 << 12, rounds=2))
+        assert tracemalloc.get_traced_memory()[1] < 51e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_that_tokenized_give_their_pieces_back(monkeypatch):
+    from archipel.llm import token_memo
+
+    held = {"some.json": object()}
+    monkeypatch.setattr(token_memo, "_MEMOS", held)
+    token_memo.forget()
+    token_memo.forget()
+    assert not held
