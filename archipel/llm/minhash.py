@@ -51,7 +51,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     cut = pc.ascii_split_whitespace(plain)
     coded = pc.list_flatten(cut).dictionary_encode()
-    of = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    of = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)], dtype=np.uint64)
     index = np.asarray(coded.indices)
     begins = np.asarray(cut.offsets) - cut.offsets[0].as_py()
     real = np.asarray(pc.binary_length(coded.dictionary), dtype=np.int64)[index] > 0 if len(index) else np.zeros(0, bool)

@@ -255,6 +255,11 @@ def _similar(items: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray,
     return np.concatenate(out)
 
 
+def _distinct_pairs(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of rows below n, in order: as single numbers, which sort far faster than rows of two."""
+    return np.divmod(np.unique(i * n + j), max(1, n))
+
+
 def _links(how: Paragraphs, most: int = 64):
     """Of paragraphs sorted by crowd, with shingles: links that join all similar ones."""
 
@@ -277,7 +282,7 @@ def _links(how: Paragraphs, most: int = 64):
             i, j, crowds = _in_groups(np.cumsum(new), most)
             i, j = row[i], row[j]
             kept = (np.bitwise_count(marks[i] ^ marks[j]) <= how.apart) & _apart(low, high, i, j)
-            i, j = np.unique(np.column_stack([i[kept], j[kept]]), axis=0).T
+            i, j = _distinct_pairs(i[kept], j[kept], len(crowd))
             real = _similar(items, first, i, j, how)
             found = [np.column_stack([i[real], j[real]])]
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from archipel.llm.minhash import word_hashes
-from archipel.llm.passages import Paragraphs, _meetings, _paragraph_rows, _runs, anchors, repeated_passages
+from archipel.llm.passages import Paragraphs, _distinct_pairs, _meetings, _paragraph_rows, _runs, anchors, repeated_passages
 
 SCHEMA = "doc_id long, text string"
 
@@ -95,3 +95,11 @@ def test_paragraphs_that_share_a_phrase_only_make_no_crowd():
     assert (groups * (groups - 1) // 2).sum() > 3000  # pairs that meet
     links = sum(len(b.column("whole2").drop_null()) for b in _meetings(Paragraphs())(iter(entries.to_batches())))
     assert links < 5
+
+
+def test_pairs_are_told_apart_in_order():
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 300, (2, 5000))
+    assert (np.column_stack(_distinct_pairs(i, j, 300)) == np.unique(np.column_stack([i, j]), axis=0)).all()
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in _distinct_pairs(none, none, 0)] == [0, 0]
