@@ -155,24 +155,31 @@ _KIND = {"u": "<u4", "v": "<u4", "w": "<u4", "counts": "<u4", "reach": "<u4", "a
 _PACK = ("words", *_KIND)
 _POSTS = ("cell", "reach", "at", "times", "docs", "sizes")
 _CELLS = {"pair": "<u4", "ctx2": "<u4", "ctx1": "<u4", "word": "<u4", "count": "<u4"}
+#: Those that rise within a row and are packed as differences, which wrap (with two words of context `ctx2` rises only in part).
+_RISING = {"v", "cell", "pair", "ctx2", "ctx1"}
 
 
-def _pack(values: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values, dtype=kind).tobytes())
+def _pack(values: np.ndarray, kind: str, rising: bool = False) -> bytes:
+    """The bytes of equal weight together; of `rising` values their differences."""
+    values = np.ascontiguousarray(values, dtype=kind)
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.ZstdCompressor(level=3).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
-def _open(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+def _open(blob: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
 
 
 def _pack_words(words: np.ndarray) -> bytes:
-    """Sorted hashes as differences, the bytes of equal weight together."""
-    return zstandard.ZstdCompressor(level=3).compress(np.diff(words, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Sorted hashes."""
+    return _pack(words, "<u8", True)
 
 
 def _open_words(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return _open(blob, "<u8", True)
 
 
 def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +205,14 @@ def _slices(buckets: int, context: int):
         for batch in batches:
             for part in text_slices(batch, 1, 8 << 20):
                 hashes, begins = word_hashes(part.column(1))
-                tokens = np.insert(hashes >> CUT, begins[1:], END)
+                hashes >>= CUT
+                tokens = np.insert(hashes, begins[1:], END)
+                del hashes
                 sizes = np.diff(begins) + 1
                 first = np.cumsum(sizes) - sizes
                 words, ids = np.unique(tokens, return_inverse=True)
+                ids = ids.astype(np.uint32)
+                del tokens
                 spot = (words % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(spot, kind="stable")  # words of a bucket stand together
                 rank = np.empty_like(order)
@@ -209,19 +220,26 @@ def _slices(buckets: int, context: int):
                 end = ids[-1]  # every text ends with it
                 before = np.append(end, ids[:-1])
                 before[first] = end
-                doc = np.repeat(np.arange(part.num_rows), sizes)
-                left, right = (rank[before] << 32) | ids, doc
+                left = rank[before]
+                left <<= 32
+                left |= ids
+                del ids
+                right = np.repeat(np.arange(part.num_rows), sizes)
                 if context > 1:
                     two = np.append(end, before[:-1])
                     two[first] = end
-                    right = (two << 32) | doc
-                place = np.lexsort((right, left))
+                    right |= two.astype(np.int64) << 32
+                    del two
+                del before
+                place = np.lexsort((right, left)) if context > 1 else np.argsort(left, kind="stable")  # texts stand in order
                 left, right = left[place], right[place]
+                del place
                 start = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
-                times = np.diff(np.append(start, len(left)))
+                times = np.diff(np.append(start, len(left))).astype(np.uint32)
                 left, right = left[start], right[start]
-                v, w, u, at = order[left >> 32], left & 0xFFFFFFFF, right >> 32, right & 0xFFFFFFFF
+                v, w, u, at = (x.astype(np.uint32) for x in (order[left >> 32], left & 0xFFFFFFFF, right >> 32, right & 0xFFFFFFFF))
                 cell = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (u[1:] != u[:-1])))
+                del left, right, rank, order
                 train = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 counts = np.add.reduceat(times * train[at], cell)
                 reach = np.diff(np.append(cell, len(start)))
@@ -237,7 +255,7 @@ def _slices(buckets: int, context: int):
                     none = np.zeros(0)
                     docs = part.column(0).to_numpy(zero_copy_only=False) if b == home else none
                     blobs = {"u": three[2 * n :], "v": three[:n], "w": three[n : 2 * n], "counts": counts[lo:hi], "reach": reach[lo:hi], "at": at[own], "times": times[own], "docs": docs, "sizes": sizes if b == home else none}
-                    packed = [_pack_words(words[local]), *(_pack(blobs[p], kind) for p, kind in _KIND.items())]
+                    packed = [_pack_words(words[local]), *(_pack(blobs[p], kind, p in _RISING) for p, kind in _KIND.items())]
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["bucket", "slice", *_PACK])
                 number += 1
 
@@ -252,7 +270,7 @@ def _bucket(buckets: int, context: int):
         words = np.unique(np.concatenate(own))
         ids = [np.searchsorted(words, x).astype(np.uint32) for x in own]
         lengths = [len(_open(row["v"], "<u4")) for row in parts]
-        v, w = (np.concatenate([i[_open(row[x], "<u4")] for i, row in zip(ids, parts, strict=True)]) for x in "vw")
+        v, w = (np.concatenate([i[_open(row[x], "<u4", x in _RISING)] for i, row in zip(ids, parts, strict=True)]) for x in "vw")
         first, cell = _numbered(v, w)
         pair_v, pair_w = v[first], w[first]
         del v, w
@@ -275,10 +293,10 @@ def _bucket(buckets: int, context: int):
         at = 0
         for n, part in zip(lengths, parts, strict=True):
             for name in _POSTS:  # all but the cells' numbers go on as they came
-                posts[name].append(_pack(cell[at : at + n], "<u4") if name == "cell" else part[name])
+                posts[name].append(_pack(cell[at : at + n], "<u4", True) if name == "cell" else part[name])
             at += n
         cells = {"pair": pair, "ctx2": ctx2, "ctx1": ctx1, "word": pair_w, "count": count}
-        row = {"c_words": _pack_words(words), **{f"c_{k}": _pack(x, _CELLS[k]) for k, x in cells.items()}}
+        row = {"c_words": _pack_words(words), **{f"c_{k}": _pack(x, _CELLS[k], k in _RISING) for k, x in cells.items()}}
         row |= {"stats": [float(x) for x in ((count == 1).sum(), (count == 2).sum(), (sent == 1).sum(), (sent == 2).sum())], **_dealt(words[used], buckets, raw[used], tables[used])}
         slices = group.column("slice").to_pylist()
         size = np.cumsum([sum(len(posts[p][k]) for p in _POSTS) for k in range(len(slices))])
@@ -340,7 +358,7 @@ def _opened(row: dict, discounts: tuple[float, float], totals: list[float], how:
     The unigram restaurant's base is continuous, so every known word has one table there,
     and the mass of a new table is that of a word never learned.
     """
-    cells = {k: _open(row[f"c_{k}"], kind).astype(np.int64 if k == "count" else np.int32) for k, kind in _CELLS.items()} | {"words": _open_words(row["c_words"])}
+    cells = {k: _open(row[f"c_{k}"], kind, k in _RISING).astype(np.int64 if k == "count" else np.int32) for k, kind in _CELLS.items()} | {"words": _open_words(row["c_words"])}
     known, sent = (np.zeros(len(cells["words"]), np.int64) for _ in range(2))
     for part in row["unigrams"]:
         at = np.searchsorted(cells["words"], _open_words(part["p_seen"]))
@@ -422,7 +440,7 @@ def score_texts(docs: DataFrame, learn: Column, how: Hierarchy = Hierarchy(), id
                     del place, own, below, known
                 posts, slices = {p: columns[p] for p in _POSTS}, columns["slices"].as_py()
                 for k, number in enumerate(slices):
-                    cell, reach, at, times = (_open(posts[p][k].as_py(), "<u4") for p in ("cell", "reach", "at", "times"))
+                    cell, reach, at, times = (_open(posts[p][k].as_py(), "<u4", p in _RISING) for p in ("cell", "reach", "at", "times"))
                     cell = np.repeat(cell, reach)
                     sums = [np.bincount(at, weights=times * x[cell]) for x in of_cell]
                     blobs = [_pack(x, "<f8") for x in sums] + [posts["docs"][k].as_py(), posts["sizes"][k].as_py()]
