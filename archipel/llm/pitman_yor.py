@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipel.llm.common import drop_written, tidied, width_for, written, written_in_buckets
+from archipel.llm.common import drop_written, tidied, tidy, width_for, written, written_in_buckets
 from archipel.llm.minhash import word_hashes
 from archipel.llm.token_memo import text_slices
 
@@ -205,6 +205,7 @@ def _slices(buckets: int, context: int):
         for batch in batches:
             for part in text_slices(batch, 1, 8 << 20):
                 hashes, begins = word_hashes(part.column(1))
+                tidy()  # what the hashing took is not kept beside the sorting
                 hashes >>= CUT
                 tokens = np.insert(hashes, begins[1:], END)
                 del hashes
