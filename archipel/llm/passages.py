@@ -31,9 +31,13 @@ class Paragraphs:
         return n + (-n * self.threshold) // 100 + 1
 
     @property
-    def apart(self) -> int:
-        """The most members that only one of two similar sets has."""
-        return 2 * (self.length - self.width + 1) * (100 - self.threshold) // (100 + self.threshold)
+    def members(self) -> int:
+        """The most members that a set has."""
+        return self.length - self.width + 1
+
+    def apart(self, both: np.ndarray) -> np.ndarray:
+        """The most members that only one of two similar sets has, which have `both` members counted apart."""
+        return (np.arange(2 * self.members + 1) * (100 - self.threshold) // (100 + self.threshold))[both]
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -84,7 +88,7 @@ def _cut(texts: pa.Array, how: Paragraphs) -> tuple[np.ndarray, ...]:
     for k in range(how.length):
         whole = mixed(whole + hashes[at + k])
     shingles = _runs(hashes, how.width)
-    items = np.lib.stride_tricks.sliding_window_view(shingles, how.length - how.width + 1)[at] if len(at) else np.zeros((0, how.length - how.width + 1), np.uint64)
+    items = np.lib.stride_tricks.sliding_window_view(shingles, how.members)[at] if len(at) else np.zeros((0, how.members), np.uint64)
     items, first = _distinct(items)
     marks = _parity(items, first, 64)
     whole = whole >> np.uint64(32) << np.uint64(32) | marks >> np.uint64(32)
@@ -108,8 +112,8 @@ def _paragraph_rows(how: Paragraphs):
 
     `whole` names the paragraph: a hash of its words in the upper half, 32 further parities in the lower.
     The entries of the least shingle have the place and list every paragraph; in the others
-    pos is -1, and of a paragraph that repeats within a slice they have the least and the
-    greatest document.
+    it is -1, and of a paragraph that repeats within a slice they have the least and the
+    greatest document. `pos` is the place times (how.members + 1), plus how many members the set has.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +132,12 @@ def _paragraph_rows(how: Paragraphs):
                 for lo in range(0, len(order), 16384):
                     here = slice(lo, lo + 16384)
                     own, new, mark = items[order[here]], first[order[here]], low[order[here]]
-                    rank = np.cumsum(new, axis=1) - 1
-                    used = new & (rank < how.prefix(new.sum(axis=1))[:, None])
+                    rank, n = np.cumsum(new, axis=1) - 1, new.sum(axis=1)
+                    used = new & (rank < how.prefix(n)[:, None])
                     used &= (rank == 0) | ends[here][:, None]
                     row, col = np.nonzero(used)
                     key = (mixed(own[row, col]) >> np.uint64(32) << np.uint64(32)) | mark[row]
-                    places = np.where(col == 0, pos[here][row], -1)
+                    places = np.where(col == 0, pos[here][row], -1) * (how.members + 1) + n[row]
                     columns = [key.view(np.int64), whole[here][row].view(np.int64), doc[here][row].astype(np.int64), places.astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "whole", "doc", "pos"])
 
@@ -157,6 +161,11 @@ def _apart(lo: np.ndarray, hi: np.ndarray, i, j) -> np.ndarray:
     return np.minimum(lo[i], lo[j]) < np.maximum(hi[i], hi[j])
 
 
+def _may_be_similar(marks: np.ndarray, n: np.ndarray, i, j, how: Paragraphs) -> np.ndarray:
+    """Whether sets with these parities and numbers of members may be similar: no similar ones differ in more parities than members."""
+    return np.bitwise_count(marks[i] ^ marks[j]) <= how.apart(n[i] + n[j])
+
+
 def _forest(lo: int, hi: int, near) -> list[tuple[int, int]]:
     """A spanning forest of the rows lo..hi: each row is tested against all later ones that are not yet in its tree. near(i, rows) gives those linked to i."""
     labels, out = np.arange(lo, hi), []
@@ -171,6 +180,19 @@ def _forest(lo: int, hi: int, near) -> list[tuple[int, int]]:
     return out
 
 
+def _all_linked(lo: int, hi: int, near, most: int) -> np.ndarray | None:
+    """All linked pairs of the rows lo..hi; None as soon as they are more than `most` a row. near(i, rows) gives those linked to i."""
+    out, n = [np.zeros((0, 2), np.int64)], 0
+    for i in range(lo, hi - 1):
+        linked = near(i, np.arange(i + 1, hi))
+        n += len(linked)
+        if n > most * (hi - lo):
+            return None
+        if len(linked):
+            out.append(np.column_stack([np.full(len(linked), i), linked]))
+    return np.concatenate(out)
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], of, least: int = 1 << 17) -> Iterator[pa.Table]:
     """Batches sorted by a group, cut anew so that none is divided; of(batch) gives the group of each row."""
     held, n, tail = [], 0, None
@@ -195,7 +217,8 @@ def _meetings(how: Paragraphs, most: int = 64):
     """Of entries sorted by key, whole, doc, pos: members of equal paragraphs, and possible links between unequal ones that share a key.
 
     All distinct paragraphs of a key are compared by their parities, which drop no pair of
-    the wanted similarity; of a large crowd only a spanning forest of the possible links is given.
+    the wanted similarity. Where more than `most` paragraphs meet and have more than half as
+    many possible links each, only a spanning forest of these is given, marked `crowded`.
     """
 
     def bucket(batch) -> np.ndarray:
@@ -204,24 +227,34 @@ def _meetings(how: Paragraphs, most: int = 64):
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, bucket):
             key, whole, doc, pos = (table.column(c).to_numpy() for c in range(4))
+            pos, size = np.divmod(pos, how.members + 1)
             new = np.append(True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]))
             node = np.cumsum(new) - 1
             listed = np.flatnonzero(pos >= 0)
             member = listed[np.bincount(node[listed], minlength=node[-1] + 1)[node[listed]] > 1]
             heads = np.flatnonzero(new)
-            name, low, high = whole[heads], doc[heads], doc[np.append(heads[1:], len(key)) - 1]
+            name, n, low, high = whole[heads], size[heads], doc[heads], doc[np.append(heads[1:], len(key)) - 1]
             marks = (key[heads] & 0xFFFFFFFF).astype(np.uint64) << np.uint64(32) | (name & 0xFFFFFFFF).astype(np.uint64)
             i, j, crowds = _in_groups(key[heads] >> 32, most)
-            kept = (np.bitwise_count(marks[i] ^ marks[j]) <= how.apart) & (name[i] != name[j]) & _apart(low, high, i, j)
-            links = [np.column_stack([i[kept], j[kept]])]
+            kept = _may_be_similar(marks, n, i, j, how) & (name[i] != name[j]) & _apart(low, high, i, j)
+            links, forests = [np.column_stack([i[kept], j[kept]])], [np.zeros((0, 2), np.int64)]
+
+            def near(i: int, rows: np.ndarray) -> np.ndarray:
+                return rows[_may_be_similar(marks, n, i, rows, how) & (name[i] != name[rows]) & _apart(low, high, i, rows)]
+
             for begin, end in crowds:
-                forest = _forest(begin, end, lambda i, rows: rows[(np.bitwise_count(marks[i] ^ marks[rows]) <= how.apart) & (name[i] != name[rows]) & _apart(low, high, i, rows)])
-                links.append(np.array(forest, dtype=np.int64).reshape(-1, 2))
-            a, b = np.concatenate(links).T
+                pairs = _all_linked(begin, end, near, most // 2)
+                if pairs is None:
+                    forests.append(np.array(_forest(begin, end, near), dtype=np.int64).reshape(-1, 2))
+                else:
+                    links.append(pairs)
+            a, b = np.concatenate([*links, *forests]).T
+            crowded = np.arange(len(a)) >= sum(map(len, links))
             none = pa.nulls(len(member), pa.int64())
             columns = [pa.chunked_array([pa.array(whole[member]), pa.array(name[a])]), pa.chunked_array([pa.array(doc[member]), pa.array(low[a])]), pa.chunked_array([pa.array(pos[member]), pa.nulls(len(a), pa.int64())])]
             columns += [pa.chunked_array([none, pa.array(c)]) for c in (high[a], name[b], low[b], high[b])]
-            yield from pa.table(columns, ["whole", "doc", "pos", "high", "whole2", "doc2", "high2"]).combine_chunks().to_batches()
+            columns.append(pa.chunked_array([pa.nulls(len(member), pa.bool_()), pa.array(crowded)]))
+            yield from pa.table(columns, ["whole", "doc", "pos", "high", "whole2", "doc2", "high2", "crowded"]).combine_chunks().to_batches()
 
     return meetings
 
@@ -255,6 +288,21 @@ def _similar(items: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray,
     return np.concatenate(out)
 
 
+def _proved(how: Paragraphs):
+    """Of pairs (a, b) with the shingles of both, those of the wanted similarity."""
+
+    def proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1) for c in (2, 3)]
+                items, first = _distinct(np.concatenate(both))
+                real = pa.array(_similar(items, first, np.arange(n), np.arange(n, 2 * n), how))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(real) for c in (0, 1)], ["a", "b"])
+
+    return proved
+
+
 def _distinct_pairs(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of rows below n, in order: as single numbers, which sort far faster than rows of two."""
     return np.divmod(np.unique(i * n + j), max(1, n))
@@ -271,17 +319,17 @@ def _links(how: Paragraphs, most: int = 64):
             crowd, whole, low, high = (table.column(c).to_numpy() for c in range(4))
             items = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(crowd), -1)
             items, first = _distinct(items)
-            marks = _parity(items, first, 64)
+            marks, n = _parity(items, first, 64), first.sum(axis=1)
             # Within a crowd too, similar sets share one of their least members.
             rank = np.cumsum(first, axis=1) - 1
-            row, col = np.nonzero(first & (rank < how.prefix(first.sum(axis=1))[:, None]))
+            row, col = np.nonzero(first & (rank < how.prefix(n)[:, None]))
             member = items[row, col]
             order = np.lexsort((row, member, crowd[row]))
             row, member = row[order], member[order]
             new = np.append(True, (member[1:] != member[:-1]) | (crowd[row[1:]] != crowd[row[:-1]]))
             i, j, crowds = _in_groups(np.cumsum(new), most)
             i, j = row[i], row[j]
-            kept = (np.bitwise_count(marks[i] ^ marks[j]) <= how.apart) & _apart(low, high, i, j)
+            kept = _may_be_similar(marks, n, i, j, how) & _apart(low, high, i, j)
             i, j = _distinct_pairs(i[kept], j[kept], len(crowd))
             real = _similar(items, first, i, j, how)
             found = [np.column_stack([i[real], j[real]])]
@@ -291,7 +339,7 @@ def _links(how: Paragraphs, most: int = 64):
 
                 def near(i: int, rows: np.ndarray, own: np.ndarray = own) -> np.ndarray:
                     mine, others = own[i], own[rows]
-                    kept = (np.bitwise_count(marks[mine] ^ marks[others]) <= how.apart) & _apart(low, high, mine, others)
+                    kept = _may_be_similar(marks, n, mine, others, how) & _apart(low, high, mine, others)
                     rows, others = rows[kept], others[kept]
                     return rows[_similar(items, first, np.full(len(rows), mine), others, how)]
 
@@ -312,8 +360,9 @@ def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: s
     64 parities agree). Unequal ones are found by prefix filtering, which misses none:
     sets of five-word shingles whose exact Jaccard similarity reaches `how.threshold`
     share one of their least members. All paragraphs with such a member in common are
-    compared by parities, which only drop pairs below the threshold; what is left joins to
-    crowds, and within a crowd all that are not yet linked are compared by their full sets.
+    compared by parities and size, which only drop pairs below the threshold; what is left is compared
+    by full sets, pair by pair. Where a member's paragraphs are many and nearly all alike,
+    they join to crowds instead, and within a crowd all that are not yet linked are compared.
     Paragraphs that are both in one and the same document only are not compared.
     Clusters are the components of confirmed links. Overlapping paragraphs of a document
     join to passages; `start` and `n_words` count words. In each cluster the least document
@@ -328,17 +377,22 @@ def repeated_passages(docs: DataFrame, how: Paragraphs = Paragraphs(), id_col: s
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = source.mapInArrow(_paragraph_rows(how), "key long, whole long, doc long, pos long")
     width = max(8, shuffle_width(spark))
-    met = rows.repartition(width, F.shiftright("key", 32)).sortWithinPartitions("key", "whole", "doc", "pos").mapInArrow(_meetings(how), "whole long, doc long, pos long, high long, whole2 long, doc2 long, high2 long")
+    met = rows.repartition(width, F.shiftright("key", 32)).sortWithinPartitions("key", "whole", "doc", "pos").mapInArrow(_meetings(how), "whole long, doc long, pos long, high long, whole2 long, doc2 long, high2 long, crowded boolean")
     met = written(met, "met")
     possible = met.where("whole2 is not null")
     ends = possible.select("whole", "doc", "high").unionByName(possible.select(F.col("whole2").alias("whole"), F.col("doc2").alias("doc"), F.col("high2").alias("high")))
     nodes = written(ends.groupBy("whole").agg(F.min("doc").alias("low"), F.max("high").alias("high")), "near-nodes")
-    crowds = written(components(possible.select(F.col("whole").alias("a"), F.col("whole2").alias("b"))), "crowds")
+    crowds = written(components(possible.where("crowded").select(F.col("whole").alias("a"), F.col("whole2").alias("b"))), "crowds")
     wanted = written(nodes.groupBy(F.col("low").alias("doc")).agg(F.collect_list("whole").alias("wholes")), "wanted")
     asked = pick(source, "doc", written(wanted.select("doc"), "ids"), "left_semi").join(wanted, "doc")
     items = written(asked.select("doc", "text", "wholes").mapInArrow(_contents(how), "whole long, doc long, pos long, items binary"), "paragraph-items")
-    sets = items.dropDuplicates(["whole"]).join(nodes.select("whole", "low", "high"), "whole").join(crowds, F.col("whole") == F.col("id")).select("component", "whole", "low", "high", "items")
-    linked = written(sets.repartition(width, "component").sortWithinPartitions("component", "whole").mapInArrow(_links(how), "a long, b long"), "paragraph-links")
+    sets = items.select("whole", "items").dropDuplicates(["whole"])
+    pairs = possible.where("not crowded").select(F.least("whole", "whole2").alias("a"), F.greatest("whole", "whole2").alias("b")).distinct()
+    side = [sets.select(F.col("whole").alias(c), F.col("items").alias(f"items_{c}")) for c in ("a", "b")]
+    proved = pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "items_a", "items_b").mapInArrow(_proved(how), "a long, b long")
+    crowd = pick(sets, "whole", crowds, "inner").join(nodes, "whole").select("component", "whole", "low", "high", "items")
+    joined = crowd.repartition(width, "component").sortWithinPartitions("component", "whole").mapInArrow(_links(how), "a long, b long")
+    linked = written(proved.unionByName(joined), "paragraph-links")
     of_whole = written(components(linked), "clusters")
     near = items.select("whole", "doc", "pos").join(of_whole.select(F.col("id").alias("whole")), "whole", "left_semi")
     members = met.where("whole2 is null").select("whole", "doc", "pos").unionByName(near).distinct()

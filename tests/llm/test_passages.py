@@ -103,3 +103,56 @@ def test_pairs_are_told_apart_in_order():
     assert (np.column_stack(_distinct_pairs(i, j, 300)) == np.unique(np.column_stack([i, j]), axis=0)).all()
     none = np.zeros(0, np.int64)
     assert [len(x) for x in _distinct_pairs(none, none, 0)] == [0, 0]
+
+
+def sorted_entries(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "text"])
+    entries = pa.Table.from_batches(_paragraph_rows(Paragraphs())(iter([batch])))
+    return entries.sort_by([(c, "ascending") for c in ("key", "whole", "doc", "pos")]).combine_chunks()
+
+
+def met_links(texts):
+    tables = [pa.Table.from_batches([b]) for b in _meetings(Paragraphs())(iter(sorted_entries(texts).to_batches()))]
+    met = pa.concat_tables(tables)
+    return met.filter(pa.compute.is_valid(met.column("whole2")))
+
+
+def test_paragraphs_of_few_shingles_are_told_apart_by_size():
+    # One word over and over, and two of its own: sets of three, of which any two share one.
+    texts = [" ".join([f"x{i % 12}"] * 30 + [f"u{i}", f"v{i}"]) for i in range(12 * 200)]
+    groups = np.unique(sorted_entries(texts).column("key").to_numpy() >> 32, return_counts=True)[1]
+    assert groups.max() > 60
+    assert len(met_links(texts)) < 60  # nearly all of some 80,000 pairs that meet differ in parities
+
+
+def test_pairs_of_a_large_group_are_no_crowd():
+    rng = random.Random(14)
+    some = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    phrases, texts = [some(5) for _ in range(12)], []
+    for i in range(12 * 80):  # pairs that differ in their last word
+        own = some(13) + phrases[i % 12] + some(13)
+        texts += [" ".join([*own, f"e{len(texts)}"]), " ".join([*own, f"e{len(texts) + 1}"])]
+    assert np.unique(sorted_entries(texts).column("key").to_numpy() >> 32, return_counts=True)[1].max() > 64
+    links = met_links(texts)
+    found = {tuple(sorted(p)) for p in zip(links.column("doc").to_pylist(), links.column("doc2").to_pylist(), strict=True)}
+    assert found == {(i, i + 1) for i in range(0, len(texts), 2)}
+    assert not any(links.column("crowded").to_pylist())
+
+
+def test_only_many_variants_of_one_paragraph_are_a_crowd():
+    passage = [f"p{i}" for i in range(31)]
+    links = met_links([" ".join([*passage, f"z{i}"]) for i in range(300)])
+    assert links.column("crowded").to_pylist().count(True) >= 299
+
+
+def test_no_chain_of_pairs_waits_for_one_task(spark, monkeypatch):
+    from archipel.llm import passages
+
+    asked = []
+    whole = passages.components
+    monkeypatch.setattr(passages, "components", lambda edges: asked.append(edges.count()) or whole(edges))
+    words = [f"c{i}" for i in range(200)]
+    # Each text is the one before, two words on: neighbours are similar, and all hang together.
+    check(spark, [(k, " ".join(words[2 * k : 2 * k + 32])) for k in range(80)])
+    assert asked[0] == 0
+    assert asked[1] >= 79
