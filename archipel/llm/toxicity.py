@@ -34,8 +34,17 @@ class Training:
     seed: int = 11
 
 
+#: Words whose n-grams are hashed at once, and subwords that training looks at at once: both bound what lies beside the results.
+_WORDS, _SUBWORDS = 1 << 15, 1 << 19
+
+
 def subwords(words: list[str], how: Training) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all character n-grams of `<word>`, word by word end to end, and how many each word has (one at least)."""
+    parts = [_subwords(words[lo : lo + _WORDS], how) for lo in range(0, max(1, len(words)), _WORDS)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _subwords(words: list[str], how: Training) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(_EDGE).lower()}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(marked)))
@@ -97,48 +106,65 @@ def fit(texts: list[str], labels: np.ndarray, how: Training = Training()) -> tup
     if len(kinds) < 2:
         return np.zeros(how.buckets), 8.0 if 1 in kinds else -8.0 if kinds else 0.0
     index, words, begins = word_index(pa.array(texts))
-    n_words = np.maximum(1, np.diff(begins))
-    docs = np.repeat(np.arange(len(texts)), np.diff(begins))
-    pair, count = np.unique(docs * len(words) + index, return_counts=True)
-    doc_of, word_of = (pair // len(words)).astype(np.int32), (pair % len(words)).astype(np.int32)
-    del docs, index, pair, texts
+    n_words, n_of, n_texts = np.maximum(1, np.diff(begins)), len(words), len(labels)
+    own = [np.unique(index[lo:hi], return_counts=True) for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    entries = np.array([len(w) for w, _ in own])
+    doc_of, word_of = np.repeat(np.arange(n_texts, dtype=np.int32), entries), np.concatenate([w for w, _ in own]).astype(np.int32)
+    share = np.concatenate([n for _, n in own]) / n_words[doc_of]
+    del own, index, texts
     buckets, n_sub = subwords(words, how)
-    odds, sure = _evidence(word_of, np.bincount(doc_of, minlength=len(labels)), buckets, n_sub, labels, how)
+    del words
+    odds, sure = _evidence(word_of, entries, buckets, n_sub, labels, how)
     used = np.unique(buckets)
     place = np.zeros(how.buckets, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    slot, n_of = place[buckets], len(words)
-    sub_word = np.repeat(np.arange(n_of, dtype=np.int32), n_sub)
-    part = 1 / n_sub[sub_word]
-    share = count / n_words[doc_of]
-    rng = np.random.default_rng(how.seed)
-    n_texts = len(labels)
-    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
+    slot = place[buckets]
     begin = odds[used] * sure[used] ** 2 / (sure[used] ** 2 + how.least_sure**2)
-    del buckets, place, odds, sure, words
+    del buckets, place, odds, sure
     tidy()
-    params = [begin[:, None] * rng.normal(1, 0.1, how.dim), np.column_stack([-np.ones(how.dim), np.ones(how.dim)]) / how.dim, np.zeros(2)]
-    origin = params[0].copy()
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    first = np.cumsum(n_sub) - n_sub
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(slot), _SUBWORDS)), n_of)).tolist()
+    blocks = [(slice(lo, hi), slice(int(first[lo]), int(first[hi - 1] + n_sub[hi - 1]))) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
+    rng = np.random.default_rng(how.seed)
+    noise = rng.normal(1, 0.1, how.dim)
+    table = [begin * x for x in noise]  # a dimension at a time
+    out, bias = np.column_stack([-np.ones(how.dim), np.ones(how.dim)]) / how.dim, np.zeros(2)
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (*table, out, bias)]
     target = np.eye(2)[labels]
+
+    def of_words(values: np.ndarray) -> np.ndarray:
+        """The mean over each word's subwords."""
+        return np.concatenate([np.add.reduceat(values[slot[subs]], first[own] - subs.start) for own, subs in blocks]) / n_sub
+
+    def of_subwords(values: np.ndarray) -> np.ndarray:
+        """The sum over each subword's words, of which each gives every subword its part."""
+        total, part = np.zeros(len(used)), values / n_sub
+        for own, subs in blocks:
+            total += np.bincount(slot[subs], weights=np.repeat(part[own], n_sub[own]), minlength=len(used))
+        return total
+
+    def move(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, step: int) -> None:
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        p -= how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+
     for step in range(1, how.rounds + 1):
-        table, out, bias = params
-        of_word = [np.bincount(sub_word, weights=table[slot, d] * part, minlength=n_of) for d in range(how.dim)]
-        means = np.column_stack([np.bincount(doc_of, weights=w[word_of] * share, minlength=n_texts) for w in of_word])
+        means = np.column_stack([np.bincount(doc_of, weights=of_words(t)[word_of] * share, minlength=n_texts) for t in table])
         logits = means @ out + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
         wrong = (chance - target) * weight
         back = wrong @ out.T
-        to_word = [np.bincount(word_of, weights=back[doc_of, d] * share, minlength=n_of) for d in range(how.dim)]
-        slope = np.column_stack([np.bincount(slot, weights=w[sub_word] * part, minlength=len(used)) for w in to_word]) + how.decay * (table - origin)
-        for p, g, (m, v) in zip(params, [slope, means.T @ wrong, wrong.sum(axis=0)], moments, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
-    table, out, bias = params
+        for d, t in enumerate(table):
+            slope = of_subwords(np.bincount(word_of, weights=back[doc_of, d] * share, minlength=n_of))
+            slope += how.decay * (t - begin * noise[d])
+            move(t, slope, *moments[d], step)
+        move(out, means.T @ wrong, *moments[-2], step)
+        move(bias, wrong.sum(axis=0), *moments[-1], step)
     weights = np.zeros(how.buckets)
-    weights[used] = table @ (out[:, 1] - out[:, 0])
+    for t, x in zip(table, out[:, 1] - out[:, 0], strict=True):
+        weights[used] += t * x
     return weights, float(bias[1] - bias[0])
 
 

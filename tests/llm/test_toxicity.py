@@ -46,3 +46,48 @@ def test_workers_that_tokenized_give_their_pieces_back(monkeypatch):
     token_memo.forget()
     token_memo.forget()
     assert not held
+
+
+def test_training_looks_at_subwords_in_blocks(monkeypatch):
+    from archipel.llm import toxicity
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 12))) for _ in range(30)) for _ in range(60)]
+    how = Training(buckets=1 << 12, rounds=5)
+    whole = fit(texts, np.arange(60) % 2, how)
+    monkeypatch.setattr(toxicity, "_WORDS", 100)
+    monkeypatch.setattr(toxicity, "_SUBWORDS", 500)
+    cut = fit(texts, np.arange(60) % 2, how)
+    assert np.allclose(whole[0], cut[0], rtol=1e-9, atol=1e-12)
+    assert abs(whole[1] - cut[1]) < 1e-9
+
+
+def test_training_holds_each_subword_once():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=12)) for _ in range(200)) for _ in range(400)]
+    tracemalloc.start()
+    try:
+        fit(texts, np.arange(400) % 2, Training(buckets=1 << 12, rounds=2))
+        assert tracemalloc.get_traced_memory()[1] < 70e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_idle_workers_give_their_pieces_back(monkeypatch):
+    import time
+
+    import public_tokenizers
+
+    from archipel.llm import token_memo
+
+    monkeypatch.setattr(token_memo, "_MEMOS", {})
+    monkeypatch.setattr(token_memo, "IDLE_S", 0.3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    held = token_memo.memo(path)
+    for _ in range(8):
+        time.sleep(0.1)
+        held.encode(pa.array(["some text"]))
+    assert token_memo.memo(path) is held
+    time.sleep(1)
+    assert not token_memo._MEMOS
+    assert held.encode(pa.array(["some text"]))[0].tolist() == token_memo.memo(path).encode(pa.array(["some text"]))[0].tolist()
