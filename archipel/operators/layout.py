@@ -92,9 +92,23 @@ def volume_of(offset: Column, size: int) -> Column:
 
 
 def locate(offsets: DataFrame, layout: DataFrame) -> DataFrame:
-    """Joins (archive, offset) with the volume (archive, volume, start, length) that holds it; past the end: none."""
+    """Joins (archive, offset) with the volume (archive, volume, start, length) that holds it; past the end: none.
+
+    A volume lies in at most two cells as wide as its length rounded up to a power of two; an
+    offset asks in its own cell of each width there is (64 at most), so the join is by key.
+    """
+    width = F.ceil(F.log2(F.col("length"))).cast("int")
     inside = (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + F.col("length"))
-    return offsets.join(layout, "archive").where(inside).withColumn("within", F.col("offset") - F.col("start"))
+
+    def cell(place: Column) -> Column:
+        return F.call_function("shiftright", place.cast("long"), F.col("__width"))
+
+    sized = layout.where("length > 0").withColumn("__width", width)
+    last = F.col("start") + F.col("length") - 1
+    dealt = sized.withColumn("__cell", F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(last)))))
+    asked = offsets.crossJoin(F.broadcast(sized.select("__width").distinct())).withColumn("__cell", cell(F.col("offset")))
+    found = asked.join(dealt, ["archive", "__width", "__cell"]).where(inside)
+    return found.drop("__width", "__cell").withColumn("within", F.col("offset") - F.col("start"))
 
 
 def directory_order(entries: DataFrame) -> DataFrame:

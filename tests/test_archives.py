@@ -159,6 +159,18 @@ def test_collisions(spark):
         layout.resolve_collisions(placed, "error").collect()
 
 
+def test_offsets_find_their_volumes_by_key(spark):
+    """Volumes of any lengths, overlapping ones, gaps and empty ones; no archive's offsets meet all its volumes."""
+    volumes = [(a, v, (v * 37 + k) % 400 - 50, (v * v + k) % 90) for k, a in enumerate("ab") for v in range(60)] + [("a", 99, -3, 1 << 40), ("a", 98, 7, 0)]
+    offsets = [(a, o) for a in ("a", "b", "c", None) for o in (-60, -51, -3, 0, 1, 63, 64, 65, 200, 399, 1 << 39, 1 << 41)]
+    layout_rows = spark.createDataFrame(volumes, "archive string, volume long, start long, length long")
+    got = layout.locate(spark.createDataFrame(offsets, "archive string, offset long"), layout_rows)
+    assert got.columns == ["archive", "offset", "volume", "start", "length", "within"]
+    expected = [(a, o, v, s, n, o - s) for a, o in offsets for b, v, s, n in volumes if a == b and s <= o < s + n]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert "__cell" in got._jdf.queryExecution().executedPlan().toString().partition("Join [")[2].partition("Inner")[0]
+
+
 def test_selection_does_not_take_siblings(spark):
     names = ["docs/guide.md", "docs/deep/notes.txt", "docs-extra/other.txt", "docs"]
     rows = spark.createDataFrame([(n,) for n in names], "name string")
