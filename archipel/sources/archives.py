@@ -52,20 +52,20 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType([StructField(*_pair(x, " ", kind)) for x in cut(ddl)]))
 
 
-def parsed(data: bytes, fmt: str, with_content: bool, wanted: list[str] | None, password: bytes | None) -> list[dict]:
-    """The entries of one archive; content only of those asked for, so others cannot fail."""
+def asked(name: str, wanted: list[str] | None) -> bool:
+    bare = name.rstrip("/")
+    return not wanted or any(bare == w.rstrip("/") or bare.startswith(w.rstrip("/") + "/") for w in wanted)
 
-    def asked(name: str) -> bool:
-        bare = name.rstrip("/")
-        return not wanted or any(bare == w.rstrip("/") or bare.startswith(w.rstrip("/") + "/") for w in wanted)
 
+def parsed(data: bytes, fmt: str, with_content: bool, wanted: list[str] | None, password: bytes | None) -> list[dict]:
+    """The entries of one archive; content only of those asked for, so others cannot fail."""
     if fmt == "zip":
-        rows = [r for r in zipfmt.entries(data) if asked(r["name"])]
+        rows = [r for r in zipfmt.entries(data) if asked(r["name"], wanted)]
         if with_content:
             for r in rows:
                 r["content"] = zipfmt.content(data, r, password) if r["meta"]["kind"] != "directory" else b""
         return rows
-    return [r for r in tarfmt.entries(tarfmt.unwrapped(data, fmt), with_content) if asked(r["name"])]
+    return [r for r in tarfmt.entries(tarfmt.unwrapped(data, fmt), with_content) if asked(r["name"], wanted)]
 
 
 def entries_of(files: DataFrame, content: bool = False, fmt: str | None = None, selection: list[str] | None = None, password: bytes | None = None) -> DataFrame:
@@ -116,13 +116,8 @@ def _joined(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"path": [key[0].as_py()], "content": pa.array([data.removeprefix(b"PK\x07\x08") if data[:8] == b"PK\x07\x08PK\x03\x04" and len(parts) == 1 else data], pa.binary())})
 
 
-def pack_archives(rows: DataFrame, by: str, fmt: str = "zip", method: str = "deflate", password: bytes | None = None, encryption: str = "aes256", comment: str = "", dialect: str = "pax", sparse: bool = False) -> DataFrame:
-    """(path, content, files): one archive for each value of `by`, of rows (name, kind, content, mtime, mode; inode for hard links).
-
-    Entries are sorted by name, so the bytes do not depend on partitioning (but for the
-    salts of encryption). Each archive is made in one task and must fit in its memory;
-    write many archives, not one, where data is large.
-    """
+def refuse(fmt: str, method: str, password: bytes | None, comment: str, sparse: bool) -> None:
+    """Options that a format cannot keep are errors."""
     if fmt not in formats.WRITABLE:
         raise ValueError(f"{fmt} can only be read")
     if fmt != "zip" and (password is not None or comment or method != "deflate"):
@@ -132,6 +127,16 @@ def pack_archives(rows: DataFrame, by: str, fmt: str = "zip", method: str = "def
     if method not in ("store", "deflate", "bzip2"):
         raise ValueError(f"{method} is not written")
 
+
+def pack_archives(rows: DataFrame, by: str, fmt: str = "zip", method: str = "deflate", password: bytes | None = None, encryption: str = "aes256", comment: str = "", dialect: str = "pax", sparse: bool = False) -> DataFrame:
+    """(path, content, files): one archive for each value of `by`, of rows (name, kind, content, mtime, mode; inode for hard links).
+
+    Entries are sorted by name, so the bytes do not depend on partitioning (but for the
+    salts of encryption). Each archive is made in one task and must fit in its memory;
+    `sections.pack_sections` makes large ones.
+    """
+    refuse(fmt, method, password, comment, sparse)
+
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         own = sorted(group.drop_columns([by]).to_pylist(), key=lambda r: r["name"].encode())
         if fmt == "zip":
